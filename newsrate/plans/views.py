@@ -130,7 +130,7 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         to_line(
             F.col("id"),
             F.date_format("inputtime", TIME_FORMAT),
-            F.col("title"),
+            F.translate("title", "\r", " "),
             F.translate(sanitize(F.col("description")), "\n\r", "  "),
             up,
             down,
