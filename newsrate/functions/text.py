@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import let
 from newsrate.lexicon import DEFAULT_LEXICON
 from newsrate.schemas import TIME_FORMAT
 
@@ -109,16 +110,20 @@ def split_fields(col: Column, strip: bool = False) -> Column:
     return F.split(strip_line(col) if strip else col, ",")
 
 
+def _middle(fields: Column, head: int, tail: int, sep: str, width: int) -> Column:
+    n = F.size(fields)
+    surplus = F.slice(fields, F.lit(head + 1), n - head - tail)
+    return F.when(n > width, F.array_join(surplus, sep)).when(
+        n == width, F.get(fields, F.lit(head))
+    )
+
+
 def middle_text(
     col: Column, head: int = 3, tail: int = 4, sep: str = " ", width: int | None = None
 ) -> Column:
     """The free-text field of a line whose text may itself hold commas; NULL if too short."""
-    width = head + 1 + tail if width is None else width
-    parts = split_fields(col)
-    n = F.size(parts)
-    return F.when(
-        n > width, F.array_join(F.slice(parts, F.lit(head + 1), n - head - tail), sep)
-    ).when(n == width, F.get(parts, F.lit(head)))
+    size = head + 1 + tail if width is None else width
+    return let(split_fields(col), lambda f: _middle(f, head, tail, sep, size))
 
 
 def repair_row(col: Column, head: int = 3, tail: int = 4, sep: str = " ") -> Column:
@@ -127,15 +132,18 @@ def repair_row(col: Column, head: int = 3, tail: int = 4, sep: str = " ") -> Col
     A line of exactly ``head + 1 + tail`` fields is unchanged, a shorter one gives NULL.
     """
     width = head + 1 + tail
-    parts = split_fields(col)
-    n = F.size(parts)
-    joined = F.concat_ws(
-        ",",
-        F.slice(parts, F.lit(1), F.lit(head)),
-        middle_text(col, head, tail, sep),
-        F.slice(parts, n - tail + 1, F.lit(tail)),
-    )
-    return F.when(n > width, joined).when(n == width, col)
+
+    def joined(f: Column) -> Column:
+        n = F.size(f)
+        line = F.concat_ws(
+            ",",
+            F.slice(f, F.lit(1), F.lit(head)),
+            _middle(f, head, tail, sep, width),
+            F.slice(f, n - tail + 1, F.lit(tail)),
+        )
+        return F.when(n >= width, line)
+
+    return let(split_fields(col), joined)
 
 
 def to_line(*cols: Column) -> Column:

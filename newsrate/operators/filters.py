@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind, let
 from newsrate.functions.rating import label_index
 from newsrate.functions.text import NO_RESULT_PHRASE, keyword_match, split_fields, trunc_int
 from newsrate.lexicon import FILTER_TERMS
@@ -71,17 +72,18 @@ def drop_no_result(df: DataFrame, col: str, phrase: str = NO_RESULT_PHRASE) -> D
     return df.filter(~F.coalesce(F.contains(F.col(col), F.lit(phrase)), F.lit(False)))
 
 
-def row_status(col: Column, width: int, ints=(), rate_at: int | None = None, labels=LABELS):
-    """``ok`` or the first fault of a comma line: width, int, rate or label."""
-    parts = split_fields(col, strip=True)
-    status = F.when(F.size(parts) != width, "width")
+def fields_status(
+    fields: Column, width: int, ints=(), rate_at: int | None = None, labels=LABELS
+) -> Column:
+    """``ok`` or the first fault of a split line: width, int, rate or label."""
+    status = F.when(F.size(fields) != width, "width")
     for i in ints:
-        status = status.when(F.get(parts, F.lit(i)).try_cast("int").isNull(), "int")
+        status = status.when(F.get(fields, F.lit(i)).try_cast("int").isNull(), "int")
     if rate_at is not None:
-        rate = trunc_int(F.get(parts, F.lit(rate_at)))
+        rate = trunc_int(F.get(fields, F.lit(rate_at)))
         status = status.when(rate.isNull(), "rate")
         status = status.when(label_index(rate, labels).isNull(), "label")
-    return F.when(col.isNull(), "width").otherwise(status.otherwise("ok"))
+    return F.when(fields.isNull(), "width").otherwise(status.otherwise("ok"))
 
 
 def check_rows(
@@ -94,5 +96,7 @@ def check_rows(
 ) -> tuple[DataFrame, DataFrame]:
     """(good, bad) lines by shape: field count, whole numbers, rating in the list. The bad
     ones carry their ``status``; one bad row never stops the others."""
-    checked = df.withColumn("status", row_status(F.col(col), width, ints, rate_at, labels))
+    fields = split_fields(F.col(col), strip=True)
+    status = let(fields, lambda f: fields_status(f, width, ints, rate_at, labels))
+    checked = bind(df, status=status)
     return checked.filter("status = 'ok'").drop("status"), checked.filter("status <> 'ok'")

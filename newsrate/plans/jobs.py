@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
 from newsrate.functions.rating import label_index, price_move, price_rating, vote_rating
 from newsrate.functions.text import (
     epoch_to_text,
@@ -25,7 +26,7 @@ from newsrate.functions.text import (
 from newsrate.lexicon import DEFAULT_LEXICON, FILTER_TERMS
 from newsrate.operators.encode import MAX_LEN, encode_text
 from newsrate.operators.filters import (
-    check_rows,
+    fields_status,
     keyword_filter,
     ok_pages,
     require_id,
@@ -54,9 +55,10 @@ def label_news(
     news: DataFrame, lexicon: dict[str, str] = DEFAULT_LEXICON, mode: str = "intended"
 ) -> DataFrame:
     """Add pair, vote rating and category. No shuffle; the same on batch and stream."""
-    return news.select(
+    pair = trade_pair(F.col("title"), F.col("description"), lexicon, mode)
+    return bind(news.select(*NEWS_COLUMNS), tp=pair).select(
         *NEWS_COLUMNS,
-        trade_pair(F.col("title"), F.col("description"), lexicon, mode).alias("tp"),
+        "tp",
         vote_rating(F.col("up_count"), F.col("down_count")).alias("rate"),
         F.lit(DEFAULTS["cat"]).alias("cat"),
     )
@@ -79,7 +81,7 @@ def label_by_votes(
 
 def repair_file(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(repaired lines, lines with too few fields)."""
-    fixed = lines.withColumn("_fixed", repair_row(F.col(col)))
+    fixed = bind(lines, _fixed=repair_row(F.col(col)))
     good = fixed.filter(F.col("_fixed").isNotNull()).select(F.col("_fixed").alias(col))
     bad = fixed.filter(F.col("_fixed").isNull()).select(col, F.lit("width").alias("status"))
     return good, bad
@@ -99,7 +101,7 @@ def mark_rows(
     The pair comes from one text column (``description`` by default). News without bars get a
     NULL rating and the status ``no_bars``.
     """
-    paired = with_defaults(news).withColumn("tp", text_pair(F.col(text), lexicon))
+    paired = bind(with_defaults(news).drop("tp"), tp=text_pair(F.col(text), lexicon))
     symbols = with_pair(paired, mode).withColumn("symbol", pair_symbol(F.col("tp")))
     joined = interval_join(symbols, bars, seconds, hot_rows=hot_rows)
     move = price_move(F.col("first_open"), F.col("high"), F.col("low"))
@@ -146,16 +148,17 @@ def post_clean(posts: DataFrame, terms=FILTER_TERMS, mode: str = "intended") ->
 def training_rows(lines: DataFrame, by: str = "votes", col: str = "value") -> DataFrame:
     """(text, label) of well-formed lines: title and vote rating of eight-field lines, or
     description and stored rating of twelve-field lines."""
-    fields = split_fields(F.col(col), strip=True)
+    split = bind(lines, _fields=split_fields(F.col(col), strip=True))
+    fields = F.col("_fields")
 
     def at(i):
         return F.get(fields, F.lit(i))
 
     if by == "votes":
-        good, _ = check_rows(lines, 8, ints=(4, 5), col=col)
+        good = split.filter(fields_status(fields, 8, ints=(4, 5)) == "ok")
         rate = vote_rating(at(4).try_cast("int"), at(5).try_cast("int"))
         return good.select(at(2).alias("text"), label_index(rate).alias("label"))
-    good, _ = check_rows(lines, 12, rate_at=10, col=col)
+    good = split.filter(fields_status(fields, 12, rate_at=10) == "ok")
     return good.select(at(3).alias("text"), label_index(trunc_int(at(10))).alias("label"))
 
 
@@ -177,8 +180,8 @@ def scorable(
     line = strip_line(F.col(col))
     tail = 5 if mode == "compat" else 4
     text = middle_text(F.col("value"), head=3, tail=tail, sep=",", width=8)
-    rows = lines.select(line.alias("value")).withColumn("text", text)
-    return tradable(rows.withColumn("tp", text_pair(F.col("text"), lexicon)))
+    rows = bind(lines.select(line.alias("value")), text=text)
+    return tradable(bind(rows, tp=text_pair(F.col("text"), lexicon)))
 
 
 def batch_score(

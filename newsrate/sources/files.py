@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
 from newsrate.functions.text import split_fields, trunc_int
 from newsrate.schemas import MARKED_COLUMNS, NEWS, TIME_FORMAT
 
@@ -31,9 +32,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def marked_fields(lines: DataFrame, col: str = "value") -> DataFrame:
     """title, description, tp and rate of twelve-field lines; ``rate`` is NULL if unparsable."""
-    parts = split_fields(F.col(col), strip=True)
-    field = {c: F.get(parts, F.lit(i)) for i, c in enumerate(MARKED_COLUMNS)}
-    return lines.filter(F.size(parts) == len(MARKED_COLUMNS)).select(
+    split = bind(lines, _fields=split_fields(F.col(col), strip=True))
+    field = {c: F.get(F.col("_fields"), F.lit(i)) for i, c in enumerate(MARKED_COLUMNS)}
+    return split.filter(F.size("_fields") == len(MARKED_COLUMNS)).select(
         field["title"].alias("title"),
         field["description"].alias("description"),
         field["tp"].alias("tp"),
