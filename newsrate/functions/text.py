@@ -28,7 +28,10 @@ REPLY_START = "回复 \n@"
 NO_RESULT_PHRASE = "你输入的词没有找到任何结果"
 
 # A token is one Han character or one run of other word characters.
-TOKEN_PATTERN = r"\p{IsHan}|[\p{L}\p{N}_&&[^\p{IsHan}]]+"
+HAN = r"\p{IsHan}"
+TOKEN_PATTERN = rf"{HAN}|[\p{{L}}\p{{N}}_&&[^{HAN}]]+"
+# Plain code point ranges around the Han blocks: testing the script of every letter is slow.
+HAN_RANGES = r"[\u2e80-\ufad9\x{16fe2}-\x{3ffff}]"
 
 
 def _quote(word: str) -> str:
@@ -194,4 +197,8 @@ def iso_plain(col: Column) -> Column:
 
 
 def tokens(col: Column) -> Column:
-    return F.regexp_extract_all(F.lower(col), F.lit(TOKEN_PATTERN), F.lit(0))
+    """Lower-cased tokens. Same result as ``TOKEN_PATTERN``, but texts without Han characters
+    (all ASCII ones at once) skip the search for them."""
+    may_have_han = (F.octet_length(col) > F.length(col)) & col.rlike(HAN_RANGES)
+    spaced = F.when(may_have_han, F.regexp_replace(col, f"({HAN})", " $1 ")).otherwise(col)
+    return F.regexp_extract_all(F.lower(spaced), F.lit(f"{WORD}+"), F.lit(0))

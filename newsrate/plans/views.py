@@ -32,7 +32,11 @@ HEAD_CLASSES, HEAD_DIMS, HEAD_EPOCHS = 5, 64, 3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. These are single files of one row group, which one task would read; a
+    scan with fewer splits than cores is spread out. Larger tables are read as they are."""
+    df = use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
