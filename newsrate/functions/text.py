@@ -196,9 +196,14 @@ def iso_plain(col: Column) -> Column:
     return F.replace(F.replace(col, F.lit("T"), F.lit(" ")), F.lit(".000Z"), F.lit(""))
 
 
+def words(col: Column) -> Column:
+    """Lower-cased whole words, as the keyword match sees them."""
+    return F.regexp_extract_all(F.lower(col), F.lit(f"{WORD}+"), F.lit(0))
+
+
 def tokens(col: Column) -> Column:
     """Lower-cased tokens. Same result as ``TOKEN_PATTERN``, but texts without Han characters
     (all ASCII ones at once) skip the search for them."""
     may_have_han = (F.octet_length(col) > F.length(col)) & col.rlike(HAN_RANGES)
     spaced = F.when(may_have_han, F.regexp_replace(col, f"({HAN})", " $1 ")).otherwise(col)
-    return F.regexp_extract_all(F.lower(spaced), F.lit(f"{WORD}+"), F.lit(0))
+    return words(spaced)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsrate.functions.text import tokens
+from newsrate.functions.text import words
 
 # A broadcast lexicon or hot-key list stays below some tens of MB.
 BROADCAST_ROWS = 200_000
@@ -49,9 +49,9 @@ def lexicon_pairs(
 ) -> DataFrame:
     """(key, pair) of the leftmost lexicon word of each text, for lexicons too large for one
     pattern. Single-word keywords only; texts without a hit give no row."""
-    words = df.select(key, F.posexplode(F.array_distinct(tokens(F.col(text_col)))).alias("_pos", "_kw"))
+    found = F.posexplode(F.array_distinct(words(F.col(text_col)))).alias("_pos", "_kw")
     side = lexicon.select(F.col("keyword").alias("_kw"), "pair")
-    hits = unique_side_join(words, side, ["_kw"], "inner", limit)
+    hits = unique_side_join(df.select(key, found), side, ["_kw"], "inner", limit)
     return hits.groupBy(key).agg(F.min_by("pair", "_pos").alias("pair"))
 
 
