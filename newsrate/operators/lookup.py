@@ -71,14 +71,15 @@ def spread_join(
     """
     names = [c for c in right.columns if c not in keys and c != weight]
     values = F.struct(*names)
+    # The salt of a cold key is its hash on both sides; a constant would be optimised away.
+    salt = F.xxhash64(*keys)
     hot = right.filter(F.col(weight) > hot_rows).select(*keys, values.alias("_hot"))
     cold = right.filter(F.col(weight) <= hot_rows).select(
-        *keys, F.lit(-1).alias("_salt"), values.alias("_cold")
+        *keys, salt.alias("_salt"), values.alias("_cold")
     )
     seen = left.join(F.broadcast(hot), keys, "left")
-    salted = seen.withColumn(
-        "_salt", F.when(F.col("_hot").isNull(), F.lit(-1)).otherwise(F.spark_partition_id())
-    )
+    apart = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.spark_partition_id() + 1)
+    salted = seen.withColumn("_salt", salt.bitwiseXOR(apart.cast("bigint")))
     found: Column = F.coalesce("_hot", "_cold")
     return salted.join(cold, keys + ["_salt"], "left").select(
         *left.columns, *[found[c].alias(c) for c in names]

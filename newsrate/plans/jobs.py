@@ -39,7 +39,8 @@ from newsrate.operators.lookup import HOT_ROWS
 from newsrate.operators.ordering import dedup, since
 from newsrate.plans.model import score
 from newsrate.schemas import MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
-from newsrate.sinks.tables import absent_rows
+from newsrate.session import write_table
+from newsrate.sinks.tables import absent_rows, insert_if_absent
 from newsrate.sources.feeds import page_items, read_feed_pages
 
 # Defaults of a row that is not rated yet; category 1 is "policy".
@@ -79,6 +80,23 @@ def label_by_votes(
     return label_news(absent_rows(news, target, "id", order), lexicon, mode)
 
 
+def load_by_votes(
+    news: DataFrame,
+    target: str,
+    lexicon: dict[str, str] = DEFAULT_LEXICON,
+    mode: str = "intended",
+    order: str | list[str] = "inputtime",
+) -> int:
+    """Label the news that are not in the table ``target`` yet and append them; returns how
+    many."""
+    return insert_if_absent(
+        news.select(*NEWS_COLUMNS),
+        target,
+        order=order,
+        prepare=lambda rows: label_news(rows, lexicon, mode),
+    )
+
+
 def repair_file(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(repaired lines, lines with too few fields)."""
     fixed = bind(lines, _fixed=repair_row(F.col(col)))
@@ -95,14 +113,18 @@ def mark_rows(
     seconds: int = WINDOW_SECONDS,
     text: str = "description",
     hot_rows: int = HOT_ROWS,
+    store: bool = True,
 ) -> DataFrame:
     """The twelve marked columns and ``status``: rating from the price move after the news.
 
     The pair comes from one text column (``description`` by default). News without bars get a
-    NULL rating and the status ``no_bars``.
+    NULL rating and the status ``no_bars``. The interval join reads the news twice; with
+    ``store`` the rows with a pair are written once, so that no text is matched twice.
     """
     paired = bind(with_defaults(news).drop("tp"), tp=text_pair(F.col(text), lexicon))
     symbols = with_pair(paired, mode).withColumn("symbol", pair_symbol(F.col("tp")))
+    if store:
+        symbols = write_table(symbols, "paired")
     joined = interval_join(symbols, bars, seconds, hot_rows=hot_rows)
     move = price_move(F.col("first_open"), F.col("high"), F.col("low"))
     marked = joined.withColumn("rate", price_rating(move["rise"], move["drop"]))

@@ -120,8 +120,7 @@ def _loaded(spark, d) -> str:
 @query
 def insert_if_absent(spark, d):
     path = _loaded(spark, d)
-    labelled = jobs.label_news(views.arrivals(spark, d), views.STAND_IN)
-    table_sinks.insert_if_absent(labelled, path)
+    jobs.load_by_votes(views.arrivals(spark, d), path, views.STAND_IN)
     return _time_text(spark.read.parquet(path))
 
 
@@ -655,8 +654,14 @@ def stream_dedup(spark, d):
 def stream_insert(spark, d):
     path = _loaded(spark, d)
     rows = _stream(spark, views.plain_news(spark, d), "news")
-    labelled = streams.stream_label(rows, views.STAND_IN)
-    _finish(streams.stream_insert(labelled, path, scratch_dir(spark, "insert-checkpoint")))
+    _finish(
+        streams.stream_insert(
+            rows,
+            path,
+            scratch_dir(spark, "insert-checkpoint"),
+            prepare=lambda new: jobs.label_news(new, views.STAND_IN),
+        )
+    )
     return _time_text(spark.read.parquet(path))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -18,15 +20,16 @@ def absent_rows(
     return not_in_target(keep_first(new, key, order), target, key)
 
 
-def read_target(df: DataFrame, path: str) -> DataFrame:
-    """The table at ``path``, empty when nothing was written yet, with the schema of ``df``."""
+def read_keys(df: DataFrame, path: str, key: str) -> DataFrame:
+    """The keys of the table at ``path``; empty when nothing was written yet."""
     spark = df.sparkSession
+    schema = df.select(key).schema
     try:
-        return spark.read.schema(df.schema).parquet(path)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], df.schema)
+        return spark.createDataFrame([], schema)
 
 
 def insert_if_absent(
@@ -35,20 +38,24 @@ def insert_if_absent(
     key: str = "id",
     order: str | list[str] = "inputtime",
     prune: bool = True,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Append the rows whose key is new and return their number; stored rows never change.
 
     Running the same batch again inserts nothing, so a failed job is simply repeated. One
     writer per table. With ``prune`` the key range of the batch reaches the scan of the target
-    as a filter: batches of recent keys skip the older row groups.
+    as a filter: batches of recent keys skip the older row groups. ``prepare`` computes further
+    columns of the rows that are inserted, and of no others.
     """
-    stored = read_target(new, target)
+    stored = read_keys(new, target, key)
     if prune:
         low, high = new.agg(F.min(key), F.max(key)).first()
         if low is None:
             return 0
         stored = stored.filter(F.col(key).between(low, high))
+    rows = absent_rows(new, stored, key, order)
+    if prepare is not None:
+        rows = prepare(rows)
     counted = Observation()
-    rows = absent_rows(new, stored, key, order).observe(counted, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("append").parquet(target)
+    rows.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(target)
     return counted.get["n"]

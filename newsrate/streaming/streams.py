@@ -3,6 +3,8 @@ a checkpoint takes the place of the time cutoff."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,11 +45,20 @@ def stream_dedup(df: DataFrame, key: str, time: str, delay: str = "1 hour") -> D
 
 
 def stream_insert(
-    df: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "inputtime"
+    df: DataFrame,
+    target: str,
+    checkpoint: str,
+    key: str = "id",
+    order: str = "inputtime",
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Insert-if-absent per micro-batch; a batch that is replayed inserts nothing twice."""
+
+    def insert(rows: DataFrame, _: int) -> None:
+        insert_if_absent(rows, target, key, order, prepare=prepare)
+
     return (
-        df.writeStream.foreachBatch(lambda rows, _: insert_if_absent(rows, target, key, order))
+        df.writeStream.foreachBatch(insert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
