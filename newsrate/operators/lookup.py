@@ -22,7 +22,7 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
 def unique_side_join(
     left: DataFrame, right: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Equi-join where ``right`` holds each key once.
+    """Equi-join where ``right`` holds each key once and is cheap to count (a stored table).
 
     A small right side is broadcast. A larger one is copied to every salt, and the left rows
     of one key are spread by the task they come from, so that a hot key, even one made of

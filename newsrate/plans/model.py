@@ -6,15 +6,15 @@ from functools import reduce
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsrate.functions.rating import index_to_rate
 from newsrate.functions.text import TOKEN_PATTERN
-from newsrate.functions.vectors import argmax
+from newsrate.functions.vectors import argmax, linear_head, softmax
 from newsrate.operators.metrics import (
     batch_metrics,
     best_epoch,
@@ -31,34 +31,70 @@ EPOCHS = 2
 FEATURES = 1 << 12
 
 
-def fit(
+def _classifier(features: str, label: str, max_iter: int, reg_param: float) -> LogisticRegression:
+    """A linear head with softmax and cross-entropy. Gradients are tree-aggregated; their size
+    is features times classes, whatever the number of rows."""
+    return LogisticRegression(
+        featuresCol=features,
+        labelCol=label,
+        predictionCol="_prediction",
+        rawPredictionCol="_raw",
+        probabilityCol="_probability",
+        family="multinomial",
+        maxIter=max_iter,
+        regParam=reg_param,
+        aggregationDepth=3,
+    )
+
+
+def fit_candidates(
     train: DataFrame,
+    max_iters,
     text_col: str = "text",
     label_col: str = "label",
-    max_iter: int = 20,
     reg_param: float = 0.01,
     features: int = FEATURES,
-) -> PipelineModel:
-    """Multinomial logistic regression on hashed TF-IDF: a linear head, softmax and
-    cross-entropy. Gradients are tree-aggregated; their size is ``features`` times classes,
-    whatever the number of rows."""
-    stages = [
+) -> list[PipelineModel]:
+    """One classifier on hashed TF-IDF per entry of ``max_iters``. Texts are turned into
+    features once; the candidates are fitted on the stored features."""
+    text_stages = [
         RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=TOKEN_PATTERN, gaps=False),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(
-            featuresCol="_features",
-            labelCol=label_col,
-            predictionCol="_prediction",
-            rawPredictionCol="_raw",
-            probabilityCol="_probability",
-            family="multinomial",
-            maxIter=max_iter,
-            regParam=reg_param,
-            aggregationDepth=3,
-        ),
     ]
-    return Pipeline(stages=stages).fit(train)
+    prepared = Pipeline(stages=text_stages).fit(train)
+    stored = write_table(prepared.transform(train).select("_features", label_col), "features")
+    heads = [_classifier("_features", label_col, n, reg_param).fit(stored) for n in max_iters]
+    return [PipelineModel(stages=[*prepared.stages, head]) for head in heads]
+
+
+def fit(train: DataFrame, max_iter: int = 20, **options) -> PipelineModel:
+    return fit_candidates(train, [max_iter], **options)[0]
+
+
+def fit_head(
+    train: DataFrame,
+    vector_col: str,
+    label_col: str = "label",
+    max_iter: int = 20,
+    reg_param: float = 0.01,
+) -> LogisticRegressionModel:
+    """Train the head alone, on vectors that an encoder has already produced."""
+    rows = train.select(array_to_vector(vector_col).alias("_features"), label_col)
+    return _classifier("_features", label_col, max_iter, reg_param).fit(rows)
+
+
+def predict_head(df: DataFrame, model: LogisticRegressionModel, vector_col: str) -> DataFrame:
+    """Add ``probs`` from a head fitted by ``fit_head``."""
+    out = model.transform(df.withColumn("_features", array_to_vector(vector_col)))
+    return out.select(*df.columns, vector_to_array("_probability").alias("probs"))
+
+
+def score_vectors(df: DataFrame, vector_col: str, weights, bias=None) -> DataFrame:
+    """Add ``logits``, ``probs`` and the rating ``label`` from given head weights."""
+    logits = df.withColumn("logits", linear_head(F.col(vector_col), weights, bias))
+    probs = logits.withColumn("probs", softmax(F.col("logits")))
+    return probs.withColumn("label", index_to_rate(argmax(F.col("probs"))))
 
 
 def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
@@ -111,7 +147,7 @@ def fit_and_score(
     max_iters=tuple(10 * e for e in range(1, EPOCHS + 1)),
 ) -> tuple[Evaluation, DataFrame]:
     """Fit one candidate per epoch, keep the best on ``path`` and score ``valid`` with it."""
-    candidates = [fit(train, max_iter=n) for n in max_iters]
+    candidates = fit_candidates(train, max_iters)
     result = evaluate(candidates, valid, key)
     save_best(candidates[(result.best or len(candidates)) - 1], path)
     return result, score(valid.withColumnRenamed("label", "truth"), load_model(path))

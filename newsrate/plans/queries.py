@@ -355,11 +355,9 @@ def argmax_label(spark, d):
 @query
 def head_scoring(spark, d):
     """Linear head, softmax, argmax and rating of every embedding."""
-    probs = _head(spark, d).withColumn("p", vectors.softmax(F.col("logits")))
-    return probs.select(
-        "vec_id",
-        rating.index_to_rate(vectors.argmax(F.col("p"))).alias("rate"),
-        _r(F.array_max("p"), "confidence"),
+    rows = views.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return model.score_vectors(rows, "embedding", views.head_weights()).select(
+        "vec_id", F.col("label").alias("rate"), _r(F.array_max("probs"), "confidence")
     )
 
 
@@ -607,6 +605,17 @@ def fit_and_score(spark, d):
     return scored.select("id", "truth", "label", F.lit(result.best).alias("epoch"))
 
 
+@query
+def fit_head(spark, d):
+    rows = views.table(spark, d, "embeddings").withColumn(
+        "label", (F.col("label") % views.HEAD_CLASSES).cast("int")
+    )
+    scored = model.predict_head(rows, model.fit_head(rows, "embedding"), "embedding")
+    return scored.select(
+        "vec_id", "label", vectors.argmax(F.col("probs")).alias("predicted")
+    )
+
+
 @query
 def batch_score(spark, d):
     fitted = model.fit(_votes(spark, d))

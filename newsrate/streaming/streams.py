@@ -76,42 +76,77 @@ def stream_interval(
     bars: DataFrame,
     seconds: int = WINDOW_SECONDS,
     delay: str = "10 minutes",
+    salts: int = 8,
 ) -> DataFrame:
     """Price rating of each news row once its window is complete.
 
-    ``news``: id, symbol, inputtime; ``bars``: symbol, open_time, open, high, low. A left
-    outer stream-stream join on symbol and time bucket (a symbol alone would be one hot
-    group) with the window as time range, then an aggregate per news row. The watermark drops
-    the state of complete windows.
+    ``news``: id, symbol, inputtime (whole seconds count); ``bars``: symbol, open_time, open,
+    high, low. Bars are first reduced to slots of a second, so a news row meets at most two
+    slots per second of its window, whatever the number of bars. The left outer stream-stream
+    join then works on symbol, time bucket and a salt (a symbol alone would be one hot group;
+    the few slots are copied to every salt), and an aggregate per news row follows. The
+    watermark drops the state of complete windows.
     """
-    second = F.unix_seconds("inputtime")
-    first = second - F.pmod(second, F.lit(seconds))
-    asked = news.withWatermark("inputtime", delay).withColumn(
-        "bucket", F.explode(F.array(first, first + seconds))
+    opened = F.unix_micros("open_time")
+    on_second = F.pmod(opened, F.lit(1_000_000)) == 0
+    slots = (
+        bars.withWatermark("open_time", delay)
+        .groupBy(
+            F.window("open_time", "1 second"),
+            F.col("symbol").alias("bar_symbol"),
+            on_second.alias("on_second"),
+        )
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("open_time").alias("first_time"),
+            F.min_by("open", "open_time").alias("first_open"),
+            F.max(no_nan(F.col("high"))).alias("high"),
+            F.min(no_nan(F.col("low"))).alias("low"),
+        )
+    )
+    second = F.unix_seconds("window.start")
+    keyed_slots = slots.select(
+        "bar_symbol",
+        F.window_time("window").alias("slot_time"),
+        second.alias("first_second"),
+        (second + F.when(F.col("on_second"), 0).otherwise(1)).alias("last_second"),
+        (second - F.pmod(second, F.lit(seconds))).alias("bar_bucket"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("bar_salt"),
+        "n",
+        "first_time",
+        "first_open",
+        "high",
+        "low",
     )
-    opened = F.unix_seconds("open_time")
-    priced = bars.withWatermark("open_time", delay).select(
-        F.col("symbol").alias("bar_symbol"),
-        (opened - F.pmod(opened, F.lit(seconds))).alias("bar_bucket"),
-        "open_time",
-        "open",
-        no_nan(F.col("high")).alias("high"),
-        no_nan(F.col("low")).alias("low"),
+    start = F.unix_seconds("inputtime")
+    own = start - F.pmod(start, F.lit(seconds))
+    asked = news.withWatermark("inputtime", delay).select(
+        "id",
+        "symbol",
+        "inputtime",
+        start.alias("start"),
+        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
+        F.explode(F.array(own, own + seconds)).alias("bucket"),
     )
+    reach = F.expr(f"INTERVAL {int(seconds) + 2} SECONDS")
     in_window = (
         (F.col("symbol") == F.col("bar_symbol"))
         & (F.col("bucket") == F.col("bar_bucket"))
-        & (F.col("open_time") >= F.col("inputtime"))
-        & (F.col("open_time") <= F.col("inputtime") + F.expr(f"INTERVAL {int(seconds)} SECONDS"))
+        & (F.col("salt") == F.col("bar_salt"))
+        & (F.col("first_second") >= F.col("start"))
+        & (F.col("last_second") <= F.col("start") + seconds)
+        # The same range once more, loosely, on the event times, which bounds the join state.
+        & (F.col("slot_time") >= F.col("inputtime") - F.expr("INTERVAL 1 SECOND"))
+        & (F.col("slot_time") <= F.col("inputtime") + reach)
     )
     summary = (
-        asked.join(priced, in_window, "left_outer")
+        asked.join(keyed_slots, in_window, "left_outer")
         .groupBy("id", "inputtime")
         .agg(
-            F.min_by("open", "open_time").alias("first_open"),
+            F.min_by("first_open", "first_time").alias("first_open"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
-            F.count("open_time").alias("n_bars"),
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_bars"),
         )
     )
     move = price_move(F.col("first_open"), F.col("high"), F.col("low"))

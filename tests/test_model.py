@@ -9,7 +9,14 @@ from newsrate.operators.metrics import (
 )
 from newsrate.operators.ordering import batch_number
 from newsrate.plans.jobs import batch_score, training_set
-from newsrate.plans.model import fit_and_score, load_model, predict
+from newsrate.plans.model import (
+    fit_and_score,
+    fit_head,
+    load_model,
+    predict,
+    predict_head,
+    score_vectors,
+)
 from pytest import approx
 
 
@@ -76,3 +83,12 @@ def test_fit_save_score(spark, scratch):
     assert [tuple(r) for r in batch_score(lines, model).collect()] == [
         ("1,t,x,up eth,1,2,3,u", "up eth", "ETH/USDT", 2)
     ]
+
+
+def test_heads(spark):
+    rows = [(i, [float(i % 3 == k) for k in range(3)], i % 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, v array<float>, label int")
+    fitted = predict_head(df, fit_head(df, "v"), "v").collect()
+    assert all(max(range(3), key=r.probs.__getitem__) == r.label for r in fitted)
+    scored = score_vectors(df.drop("label"), "v", [[1, 0, 0], [0, 1, 0], [0, 0, 1]]).collect()
+    assert all(r.label == r.id % 3 - 2 and sum(r.probs) == approx(1.0) for r in scored)
