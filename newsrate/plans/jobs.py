@@ -41,7 +41,7 @@ from newsrate.plans.model import score
 from newsrate.schemas import MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
 from newsrate.session import write_table
 from newsrate.sinks.tables import absent_rows, insert_if_absent
-from newsrate.sources.feeds import page_items, read_feed_pages
+from newsrate.sources.feeds import page_size, read_feed_pages
 
 # Defaults of a row that is not rated yet; category 1 is "policy".
 DEFAULTS = {"risk": 0, "tp": "", "rate": -101, "cat": 1}
@@ -150,7 +150,7 @@ def feed_rows(pages: DataFrame) -> DataFrame:
 
 def ingest_feed(pages: DataFrame, cutoff: str | None = None, mode: str = "intended") -> DataFrame:
     """News of the pages before the first empty one, newer than ``cutoff`` (time text)."""
-    read = until_empty_page(ok_pages(pages), F.size(page_items(F.col("body"))))
+    read = until_empty_page(ok_pages(pages), page_size(F.col("body")))
     rows = feed_rows(read)
     if cutoff is not None:
         rows = since(rows, "inputtime", cutoff, mode)

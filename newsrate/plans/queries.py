@@ -406,7 +406,7 @@ def take_while(spark, d):
 @query
 def until_empty_page(spark, d):
     pages = filters.ok_pages(views.feed_pages(spark, d))
-    size = F.size(feeds.page_items(F.col("body")))
+    size = feeds.page_size(F.col("body"))
     return filters.until_empty_page(pages, size).select("page", size.alias("n_items"))
 
 

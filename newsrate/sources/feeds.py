@@ -15,6 +15,11 @@ def page_items(json_col: Column) -> Column:
     return F.from_json(json_col, FEED_BODY)["data"]
 
 
+def page_size(json_col: Column) -> Column:
+    """Number of items of a page body, without converting their fields; NULL if unreadable."""
+    return F.size(F.from_json(json_col, "data array<struct<id: string>>")["data"])
+
+
 def read_feed_pages(df: DataFrame, json_col: str = "body") -> DataFrame:
     """One row per feed item: the other page columns, ``pos`` and the eight item fields.
     ``inputtime`` stays epoch text; extra keys are dropped."""
