@@ -35,6 +35,37 @@ def test_first_keyword_equals_python(column, values):
     assert column(text.first_keyword, values) == [by_python(s) for s in values]
 
 
+def pair_by_python(s: str):
+    hit = by_python(s)
+    return DEFAULT_LEXICON.get(hit.lower()) if hit else ""
+
+
+def test_text_pair_probes(column):
+    assert column(text.text_pair, PROBES) == [pair_by_python(s) for s in PROBES]
+    assert column(text.text_pair, [None, "K KNC", "knC x", "ﬁl", "ETHß eth"]) == [
+        None, "KNC/USDT", "KNC/USDT", "", "ETH/USDT",
+    ]
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.lists(
+            st.one_of(
+                st.sampled_from([*KEYWORDS, "ETH", "Fil", "fıl", "DAſH", "LİNK", "Knc", "ﬁl", "É"]),
+                st.sampled_from(list(" .,-_2²\u0301买\n'")),
+                st.characters(max_codepoint=0x250, exclude_categories=["Cs"]),
+            ),
+            max_size=8,
+        ).map("".join),
+        min_size=60,
+        max_size=100,
+    )
+)
+def test_text_pair_equals_python(column, values):
+    assert column(text.text_pair, values) == [pair_by_python(s) for s in values]
+
+
 def test_keyword_to_pair(column):
     assert column(text.keyword_to_pair, ["ETH", "比特币", "daſh", "", None]) == [
         "ETH/USDT", "BTC/USDT", None, None, None,
