@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +70,8 @@ def spread_join(
     key in ``weight`` (dropped).
 
     At most ``rows(left) / hot_rows`` keys can be hot: they are broadcast, and their left rows
-    are spread by task number in the shuffle that joins all other keys.
+    are spread by task number in the shuffle that joins all other keys, as are rows without a
+    key.
     """
     names = [c for c in right.columns if c not in keys and c != weight]
     values = F.struct(*names)
@@ -78,7 +82,8 @@ def spread_join(
         *keys, salt.alias("_salt"), values.alias("_cold")
     )
     seen = left.join(F.broadcast(hot), keys, "left")
-    apart = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.spark_partition_id() + 1)
+    keyed = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    apart = F.when(F.col("_hot").isNull() & keyed, F.lit(0)).otherwise(F.spark_partition_id() + 1)
     salted = seen.withColumn("_salt", salt.bitwiseXOR(apart.cast("bigint")))
     found: Column = F.coalesce("_hot", "_cold")
     return salted.join(cold, keys + ["_salt"], "left").select(

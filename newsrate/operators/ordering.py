@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsrate.session import write_table
 
@@ -95,8 +96,11 @@ def shuffle_key(seed: int, *keys: str) -> Column:
 
 
 def seeded_shuffle(df: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """A repeatable random order: a range sort by a seeded hash of the key."""
-    return df.orderBy(shuffle_key(seed, key), *[c for c in df.columns if c == key])
+    """A repeatable random order: a range sort by a seeded hash of the key. Rows of one key are
+    ordered by their other columns; exact copies, which are interchangeable, by task number, so
+    that many of them do not end up in one range."""
+    atomic = [f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)]
+    return df.orderBy(shuffle_key(seed, key), *atomic, F.spark_partition_id())
 
 
 def union_pages(*dfs: DataFrame) -> DataFrame:

@@ -105,6 +105,16 @@ def repair_file(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFr
     return good, bad
 
 
+def bars_between(news: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
+    """The bars in the time span of stored news; the bounds reach the scan of the bars."""
+    start = F.unix_micros("inputtime")
+    low, high = news.agg(F.min(start), F.max(start)).first()
+    if low is None:
+        return bars.limit(0)
+    last = F.timestamp_micros(F.lit(high + seconds * 1_000_000))
+    return bars.filter(F.col("open_time").between(F.timestamp_micros(F.lit(low // 1_000_000 * 1_000_000)), last))
+
+
 def mark_rows(
     news: DataFrame,
     bars: DataFrame,
@@ -125,6 +135,7 @@ def mark_rows(
     symbols = with_pair(paired, mode).withColumn("symbol", pair_symbol(F.col("tp")))
     if store:
         symbols = write_table(symbols, "paired")
+        bars = bars_between(symbols, bars, seconds)
     joined = interval_join(symbols, bars, seconds, hot_rows=hot_rows)
     move = price_move(F.col("first_open"), F.col("high"), F.col("low"))
     marked = joined.withColumn("rate", price_rating(move["rise"], move["drop"]))

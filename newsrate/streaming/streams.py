@@ -17,21 +17,29 @@ from newsrate.schemas import NEWS_COLUMNS
 from newsrate.sinks.tables import insert_if_absent
 
 
-def start_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append everything that is available to a Parquet table, then stop."""
+# Take what is there and stop; pass e.g. {"processingTime": "1 minute"} to keep running.
+ONCE = {"availableNow": True}
+
+
+def start_append(
+    df: DataFrame, path: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
+    """Append to a Parquet table."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
 
-def stream_ingest(pages: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(
+    pages: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """New landed pages -> clean news rows."""
-    return start_append(feed_rows(pages).select(*NEWS_COLUMNS), sink, checkpoint)
+    return start_append(feed_rows(pages).select(*NEWS_COLUMNS), sink, checkpoint, trigger)
 
 
 def stream_dedup(df: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:
@@ -51,6 +59,7 @@ def stream_insert(
     key: str = "id",
     order: str = "inputtime",
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Insert-if-absent per micro-batch; a batch that is replayed inserts nothing twice."""
 
@@ -60,7 +69,7 @@ def stream_insert(
     return (
         df.writeStream.foreachBatch(insert)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

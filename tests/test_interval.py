@@ -8,7 +8,7 @@ from newsrate.operators.interval import (
     interval_join,
     unique_bars,
 )
-from newsrate.plans.jobs import mark_rows
+from newsrate.plans.jobs import bars_between, mark_rows
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 BAR = "symbol string, open_time timestamp, open double, high double, low double"
@@ -65,6 +65,12 @@ def test_one_hot_symbol_and_second(spark):
     assert joined(spark, news, bars, 60, hot_rows=50) == brute(news, bars, 60)
 
 
+def test_rows_without_a_key(spark):
+    news = [(i, None, None) for i in range(200)] + [(200, "a", at(0)), (201, "a", None)]
+    got = joined(spark, news, [("a", at(0), 1.0, 1.0, 1.0)], 60)
+    assert len(got) == 202 and got[200][0] == 1 and got[0][0] == got[201][0] == 0
+
+
 def test_hot_rows_are_spread(spark):
     """The salt stays a join key: constant salts would be turned into a filter."""
     n = spark.createDataFrame([(1, "a", at(0))], "id int, symbol string, inputtime timestamp")
@@ -119,3 +125,8 @@ def test_mark_rows_modes(spark):
     assert compat == {1: "ETH/USDT", 2: "", 3: "NEO/USDT"}
     by_title = {r.id for r in mark_rows(news, bars, text="title").select("id").collect()}
     assert by_title == {1, 2}
+    wide = spark.createDataFrame([("x", at(t), 1.0, 1.0, 1.0) for t in (-1, 0, 11199, 11200)], BAR)
+    assert [r.open_time for r in bars_between(news, wide, 1200).orderBy("open_time").collect()] == [
+        r.open_time for r in wide.collect()[1:3]
+    ]
+    assert bars_between(news.limit(0), wide, 1200).count() == 0

@@ -92,6 +92,17 @@ def test_seeded_shuffle_repeats(spark):
     assert sorted(one) == sorted(other) == list(range(200))
 
 
+def test_shuffle_splits_exact_copies(spark):
+    df = spark.range(4000).select(F.lit(1).alias("id"), F.lit("x").alias("v")).repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = seeded_shuffle(df, 1).withColumn("part", F.spark_partition_id())
+        sizes = [r["count"] for r in parts.groupBy("part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and len(sizes) > 1
+
+
 def test_union_pages(spark):
     assert union_pages(spark.range(2), spark.range(3), spark.range(1)).count() == 6
 

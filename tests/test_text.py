@@ -159,8 +159,8 @@ def test_times(column):
 
 
 def test_links(column):
-    url = "https://twitter.com/whale/status/12"
-    assert column(text.user_from_url, [url, "https://x.org/a"]) == ["whale", None]
+    url = "https://twitter.com/someone/status/12"
+    assert column(text.user_from_url, [url, "https://x.org/a"]) == ["someone", None]
     assert column(text.id_from_href, [url, "/a/12/b"]) == ["12", ""]
 
 
