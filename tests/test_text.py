@@ -42,9 +42,17 @@ def pair_by_python(s: str):
 
 def test_text_pair_probes(column):
     assert column(text.text_pair, PROBES) == [pair_by_python(s) for s in PROBES]
-    assert column(text.text_pair, [None, "K KNC", "knC x", "ﬁl", "ETHß eth"]) == [
-        None, "KNC/USDT", "KNC/USDT", "", "ETH/USDT",
-    ]
+    # The Kelvin sign lower-cases to k; the ligature fi is no hit; a sharp s ends no word.
+    odd = ["\u212anc", "K KNC", "ﬁl", "ETHß eth", "x\u0130ota iota"]
+    assert column(text.text_pair, odd) == [pair_by_python(s) for s in odd]
+    assert column(text.text_pair, [None]) == [None]
+
+
+def test_words_only_where_they_equal_the_pattern(column):
+    greek = {"\u03bf\u03b4\u03bf\u03c3": "X/USDT", "two words": "Y/USDT"}
+    values = ["\u039f\u0394\u039f\u03a3", "a Two words b", "two  words"]
+    assert column(lambda c: text.text_pair(c, greek), values)[1:] == ["Y/USDT", ""]
+    assert column(lambda c: text.first_keyword(c, tuple(greek)), values)[0] == values[0]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
