@@ -37,17 +37,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 class BoundedCache(dict):
-    """A dict that computes missing values. When it holds ``limit`` more keys than it began with
-    it returns to its first state, so its memory is bounded whatever passes through."""
+    """A dict that computes missing values and holds 2 * ``limit`` of them at most. When the
+    newer ``limit`` are full they become the older ones, and the older are dropped unless they
+    are asked for again, so frequent keys stay. ``first`` is kept for good."""
 
     def __init__(self, compute, limit: int, first: dict | None = None):
         super().__init__(first or {})
-        self.compute, self.first = compute, first or {}
-        self.most = len(self.first) + limit
+        self.compute, self.limit, self.first, self.older = compute, limit, first or {}, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit + len(self.first):
+            self.older = dict(self)
             self.clear()
             self.update(self.first)
-        value = self[key] = self.compute(key)
+        self[key] = value
         return value

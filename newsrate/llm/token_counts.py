@@ -23,7 +23,11 @@ from pyspark.sql import functions as F
 
 from newsrate.llm.common import BoundedCache
 
-UNIT = re.compile(rb"[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+")
+#: White space with the word after it, which ends after an ASCII letter that no letter follows: no
+#: token reaches over that place. Else up to the next white space.
+UNIT = re.compile(
+    rb"[\t-\r ]*+[A-Za-z\x80-\xff]*[A-Za-z](?![A-Za-z\x80-\xff])|[\t-\r ]*+[^\t-\r ]+|[\t-\r ]+"
+)
 #: White space, or what some Unicode version or language takes for it, outside ``[\t-\r ]``.
 ODD_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 

@@ -8,6 +8,7 @@ place (``rank``) and looked up by occurrence (``select``) without unpacking the
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from newsrate.llm.common import BoundedCache
 from newsrate.llm.token_counts import load_tokenizer
 
 BLOCK = 512
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 LONGEST_CACHED = 64
 MAGIC = b"WMX1"
 HEAD = struct.Struct("<4sBQQ")
@@ -29,7 +30,7 @@ HEAD = struct.Struct("<4sBQQ")
 SHARD_TYPE = "part int, shard int, n_docs long, n_tokens long, data binary"
 DOC_TYPE = "part int, shard int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
-_ready: dict[str, BoundedCache] = {}
+_ready: dict[str, Encoder] = {}
 
 
 class WaveletMatrix:
@@ -166,32 +167,62 @@ def unpack_shard(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarr
     return WaveletMatrix(n, planes), doc_ids, lengths
 
 
-def _word_ids(path: str) -> BoundedCache:
-    """Ids of words as bytes. The tokenizer drops white space and never merges over it, so a text
-    is encoded word by word (ASCII white space) with the same ids."""
-    if path not in _ready:
-        tokenizer = load_tokenizer(path)
-
-        def ids(word: bytes) -> bytes:
-            return np.array(
-                tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4"
-            ).tobytes()
-
-        _ready[path] = BoundedCache(ids, CACHED_WORDS)
-    return _ready[path]
+#: A word up to an ASCII letter that no letter follows, else up to the next white space. The
+#: tokenizer drops white space and merges over neither, so a text is encoded piece by piece.
+PIECE = re.compile(rb"[a-z\x80-\xff]*[a-z](?![a-z\x80-\xff])|[^\t-\r ]+")
+
+
+PLAIN = re.compile(rb"[a-z]+")
+
+
+class Encoder:
+    """Ids of texts, of their words and of the words' pieces, the last two from bounded caches."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load_tokenizer(path)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [t.content.lower().encode() for t in added]
+        normal = self.tokenizer.normalizer
+        self.folds = normal is not None and normal.normalize_str("A") == "a"
+        self.model = self.tokenizer.model
+        self.pieces = BoundedCache(self.piece, CACHED_WORDS)
+        self.words = BoundedCache(self.word, CACHED_WORDS)
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def piece(self, piece: bytes) -> bytes:
+        if PLAIN.fullmatch(piece):  # neither normalised nor split: straight to the merges
+            ids = [t.id for t in self.model.tokenize(piece.decode())]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self.whole(piece.decode())
+
+    def word(self, word: bytes) -> bytes:
+        if len(word) > LONGEST_CACHED:
+            return b"".join(map(self.piece, PIECE.findall(word)))
+        return b"".join(map(self.pieces.__getitem__, PIECE.findall(word)))
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text as little-endian 32-bit integers. Texts with a special token's
+        string, and all where the tokenizer keeps capitals apart, go to the library whole."""
+        if not text:
+            return b""
+        folded = text.encode().lower()
+        if not self.folds or any(s in folded for s in self.special):
+            return self.whole(text)
+        words = folded.split()
+        if max(map(len, words), default=0) <= LONGEST_CACHED:
+            return b"".join(map(self.words.__getitem__, words))
+        return b"".join(
+            self.words[w] if len(w) <= LONGEST_CACHED else self.word(w) for w in words
+        )
 
 
 def encode(text: str | None, path: str) -> bytes:
-    """Ids of a whole text as little-endian 32-bit integers."""
-    if not text:
-        return b""
-    cache = _word_ids(path)
-    words = text.encode().split()
-    if len(text) > LONGEST_CACHED and max(map(len, words), default=0) > LONGEST_CACHED:
-        return b"".join(
-            cache[w] if len(w) <= LONGEST_CACHED else cache.compute(w) for w in words
-        )
-    return b"".join(map(cache.__getitem__, words))
+    if path not in _ready:
+        _ready[path] = Encoder(path)
+    return _ready[path].encode(text)
 
 
 def write_token_files(
