@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsrate.llm import mixing, token_counts, warc, wavelet
+from newsrate.llm import mixing, near_dup, token_counts, toxicity, warc, wavelet
 from newsrate.session import scratch_dir
 
 
@@ -25,6 +25,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -37,9 +41,15 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(spark, path)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
+    "op3_near_dup": op3_near_dup,
     "op4_mixing": op4_mixing,
     "op5_token_output": op5_token_output,
+    "op10_toxicity": op10_toxicity,
 }
