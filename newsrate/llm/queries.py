@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsrate.llm import mixing, near_dup, token_counts, toxicity, warc, wavelet
+from newsrate.llm import decontaminate, mixing, near_dup, token_counts, toxicity, warc, wavelet
 from newsrate.session import scratch_dir
 
 
@@ -41,6 +41,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(spark, path)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,5 +57,6 @@ QUERIES = {
     "op3_near_dup": op3_near_dup,
     "op4_mixing": op4_mixing,
     "op5_token_output": op5_token_output,
+    "op8_decontamination": op8_decontamination,
     "op10_toxicity": op10_toxicity,
 }

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsrate.llm.common import BoundedCache, crc_fold
@@ -141,12 +141,12 @@ def score_text(text: str | None, cache: BoundedCache, weights: dict[int, float],
     return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row; repeated rows and null ids included.
-    Only the text enters a score; null and empty texts get that of a text without features.
-    Held-out rows are those whose crc32 of the id is 1 modulo 3; they are never learned from."""
-    spark = docs.sparkSession
-    weights, bias = fit(training_rows(docs, labels, max_rows))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS):
+    return fit(training_rows(docs, labels, max_rows))
+
+
+def scorer(spark: SparkSession, weights: dict[int, float], bias: float):
+    """A function from a text column to its score."""
     model = spark.sparkContext.broadcast((weights, bias))
 
     @F.pandas_udf("double")
@@ -160,6 +160,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
         for texts in batches:
             yield pd.Series([score_text(t, cache, weights, bias) for t in texts], dtype="f8")
 
+    return score
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row; repeated rows and null ids included.
+    Only the text enters a score; null and empty texts get that of a text without features.
+    Held-out rows are those whose crc32 of the id is 1 modulo 3; they are never learned from."""
+    score = scorer(docs.sparkSession, *train(docs, labels, max_rows))
     return docs.select(
         "doc_id",
         (crc_fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"),
