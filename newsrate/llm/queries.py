@@ -5,7 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsrate.llm import decontaminate, mixing, near_dup, token_counts, toxicity, warc, wavelet
+from newsrate.llm import (
+    decontaminate,
+    licenses,
+    mixing,
+    near_dup,
+    quality,
+    token_counts,
+    toxicity,
+    warc,
+    wavelet,
+)
 from newsrate.session import scratch_dir
 
 
@@ -41,6 +51,14 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_token_files(spark, path)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -57,6 +75,8 @@ QUERIES = {
     "op3_near_dup": op3_near_dup,
     "op4_mixing": op4_mixing,
     "op5_token_output": op5_token_output,
+    "op6_quality": op6_quality,
     "op8_decontamination": op8_decontamination,
+    "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
 }
