@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from newsrate.llm import (
     decontaminate,
+    language_model,
     licenses,
     mixing,
     near_dup,
@@ -55,8 +56,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(table(spark, sf_dir, "documents"))
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -76,6 +81,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_token_output": op5_token_output,
     "op6_quality": op6_quality,
+    "op7_language_model": op7_language_model,
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
