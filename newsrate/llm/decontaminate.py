@@ -29,7 +29,7 @@ from newsrate.llm.common import stored
 BLOCK = 16
 PASSAGE_WORDS = 48
 BLOCK_ITEMS = 2000
-RANK, OVERSAMPLING = 96, 8
+RANK, OVERSAMPLING = 64, 8
 #: Weight of the benchmark's own rows in the decomposition, against all windows.
 BENCHMARK_ENERGY = 4.0
 COSINE = 0.27

@@ -44,8 +44,10 @@ _SALT = _random.integers(0, 1 << 63, SYMBOLS, dtype="u8")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 SKETCHES = [f"s{i}" for i in range(-(-SYMBOLS // 16))]
+MAPS = [f"m{i}" for i in range(16)]
+MAP_BITS = 64 * len(MAPS)
 SKETCH_TYPE = "doc_id long, n_shingles long, set_key binary, symbols binary, " + ", ".join(
-    f"{s} long" for s in SKETCHES
+    f"{s} long" for s in SKETCHES + MAPS
 )
 
 
@@ -88,17 +90,26 @@ def _packed(symbols: np.ndarray) -> np.ndarray:
     return (bits.reshape(len(symbols), -1, 16) << steps).sum(2, dtype="u8").view("i8")
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each shingle, by its hash, in ``MAPS`` integers."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(shingles & np.uint64(MAP_BITS - 1)).astype("i8")] = True
+    return np.packbits(bits).view("i8")
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, rows = [], [], []
+        sizes, keys, rows, maps = [], [], [], []
         for text in batch.column(1):
             shingles = shingle_set(text.as_py())
             sizes.append(len(shingles))
             keys.append(hashlib.md5(shingles.tobytes()).digest())
+            maps.append(_bitmap(shingles))
             empty = np.zeros(SYMBOLS, "u2")
             rows.append(signature(shingles) if len(shingles) else empty)
         symbols = np.array(rows, "<u2").reshape(-1, SYMBOLS)
         packed = _packed(symbols)
+        maps = np.array(maps, "i8").reshape(-1, len(MAPS))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
@@ -106,8 +117,9 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(keys, pa.binary()),
                 pa.array([r.tobytes() for r in symbols], pa.binary()),
                 *[pa.array(packed[:, i]) for i in range(len(SKETCHES))],
+                *[pa.array(maps[:, i]) for i in range(len(MAPS))],
             ],
-            ["doc_id", "n_shingles", "set_key", "symbols", *SKETCHES],
+            ["doc_id", "n_shingles", "set_key", "symbols", *SKETCHES, *MAPS],
         )
 
 
@@ -157,15 +169,23 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _far(left: str, right: str) -> Column:
-    """How many symbols differ for certain, by their four bits: never more than truly differ."""
-    total = F.lit(0)
+def _close(left: str, right: str) -> Column:
+    """Whether two classes can be similar. Their symbols differ in no more than ``DISTANCE``
+    places, by four bits each, which never shows more than truly differ. And with D elements in
+    one set only and sizes m and n, similarity needs 185 D <= 15 (m + n); each bit that differs
+    between the bitmaps is such an element."""
+    far = F.lit(0)
     for s in SKETCHES:
         x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return total
+        far = far + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    apart = F.lit(0)
+    for m in MAPS:
+        apart = apart + F.bit_count(F.col(f"{left}.{m}").bitwiseXOR(F.col(f"{right}.{m}")))
+    sizes = F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles")
+    whole, part = 100 + SIMILARITY_PERCENT, 100 - SIMILARITY_PERCENT
+    return (far <= DISTANCE) & (apart * whole <= sizes * part)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -197,7 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketched = stored(docs.mapInArrow(_sketches, SKETCH_TYPE), "sketches")
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stored(
-        known.groupBy("set_key", "symbols", *SKETCHES).agg(F.min("doc_id").alias("rep")),
+        known.groupBy("set_key", "n_shingles", "symbols", *SKETCHES, *MAPS).agg(F.min("doc_id").alias("rep")),
         "classes",
     )
     links = _links(classes, docs)
@@ -228,13 +248,13 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
         .drop("_last")
     )
     index = stored(keys.join(shared, "key"), "index")
-    sketch = classes.select("rep", *SKETCHES)
+    sketch = classes.select("rep", "n_shingles", *SKETCHES, *MAPS)
 
     stars = index.filter("rep != leader").select("leader", "rep").distinct()
     near = (
         stars.join(sketch.alias("r"), "rep")
         .join(sketch.withColumnRenamed("rep", "leader").alias("l"), "leader")
-        .filter(_far("l", "r") <= DISTANCE)
+        .filter(_close("l", "r"))
     )
     first = stored(near.select(F.col("leader").alias("a"), F.col("rep").alias("b")), "stars")
     first = stored(_confirmed(first, docs), "links")
@@ -264,7 +284,7 @@ def _links(classes: DataFrame, docs: DataFrame) -> DataFrame:
             (F.col("m.key") == F.col("o.key"))
             & (F.col("m.comp") != F.col("o.comp"))
             & ((F.col("m.comp") == F.col("m.main")) | (F.col("m.rep") < F.col("o.rep")))
-            & (_far("m", "o") <= DISTANCE),
+            & _close("m", "o"),
         )
         .select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))
         .distinct()
