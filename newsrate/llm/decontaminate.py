@@ -32,7 +32,7 @@ BLOCK_ITEMS = 2000
 RANK, OVERSAMPLING = 64, 8
 #: Weight of the benchmark's own rows in the decomposition, against all windows.
 BENCHMARK_ENERGY = 4.0
-COSINE = 0.27
+COSINE = 0.25
 LCS, LCS_WITH_ANSWER = 0.8, 0.6
 ANSWER_SHARE = 0.25
 TERM_ROWS = 256

@@ -168,17 +168,20 @@ def estimate(votes: DataFrame) -> tuple[dict[str, dict[int, float]], float]:
     model: dict[str, dict[int, float]] = {n: {-1: 0.0, 1: 0.0} for n in names}
     prior = 0.5
     for _ in range(ROUNDS):
-        shares = [(F.col("_rows") * good).alias("a"), (F.col("_rows") * (1 - good)).alias("b")]
+        shares = [
+            (F.col("_rows") * good).alias("_good"),
+            (F.col("_rows") * (1 - good)).alias("_bad"),
+        ]
         sums = (
             patterns.select(*names, *shares)
-            .select("a", "b", cast)
+            .select("_good", "_bad", cast)
             .groupBy("rule", "vote")
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            .agg(F.sum("_good").alias("good"), F.sum("_bad").alias("bad"))
             .collect()
         )
         if not sums:
             break
-        got = {(r.rule, r.vote): (r.a, r.b) for r in sums}
+        got = {(r.rule, r.vote): (r.good, r.bad) for r in sums}
         ones, zeros = (
             sum(got.get((names[0], v), (0.0, 0.0))[k] for v in (-1, 0, 1)) + SMOOTHING for k in (0, 1)
         )
