@@ -10,8 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsrate.llm.common import stored
+from newsrate.operators.lookup import fits_broadcast
+
 #: Payloads from this size on are revisited instead of repeated.
 REVISIT_BYTES = 1000
+#: Owners of payloads (about 60 bytes each) that may be broadcast.
+BROADCAST_OWNERS = 500_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
@@ -50,15 +55,22 @@ def write_archive(
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).alias("url"),
-        F.sha2(payload, 256).alias("key"),
+        F.unhex(F.sha2(payload, 256)).alias("key"),
         F.sha1(payload).alias("sha1"),
         F.octet_length(payload).cast("long").alias("n"),
     )
     # What is equal by its digest must agree in length and in a second digest.
-    groups = rows.groupBy("key").agg(
-        F.max("page_id").alias("first_id"),
-        ((F.min("n") == F.max("n")) & (F.min("sha1") == F.max("sha1"))).alias("same"),
-    )
+    owned = rows.groupBy("key", "page_id").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min("n").alias("n"), F.max("n").alias("n2"), F.min("sha1").alias("s"), F.max("sha1").alias("s2"),
+    )
+    groups = stored(
+        owned.groupBy("key").agg(
+            F.max(F.struct("page_id", "copies")).alias("own"),
+            ((F.min("n") == F.max("n2")) & (F.min("s") == F.max("s2"))).alias("same"),
+        ).select("key", F.col("own.page_id").alias("first_id"), F.col("own.copies").alias("copies"), "same"),
+        "payload-owners",
+    )
     revisit = (
         (F.col("n") >= revisit_bytes)
         & F.col("first_id").isNotNull()
@@ -93,24 +105,43 @@ def write_archive(
     headers = (
         rows.join(groups, "key")
         .withColumn("key", checked)
+        .drop("copies")
         .withColumns({"revisit": revisit, "http": http})
         .select("key", header.cast("binary").alias("header"))
     )
-    bodies = pages.select(F.sha2(payload, 256).alias("key"), payload.alias("payload"))
-    store = bodies.groupBy("key").agg(F.first("payload").alias("payload"))
+    bodies = pages.select(
+        F.col(id_col).cast("long").alias("page_id"),
+        F.unhex(F.sha2(payload, 256)).alias("key"),
+        payload.alias("payload"),
+    )
+    store = _stored_once(bodies, groups)
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
     store.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
+def _stored_once(bodies: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, payload), each key once. While the list of owners is small enough to broadcast, only
+    the payloads of repeated owners are shuffled; else all are, combined in each task first."""
+    if not fits_broadcast(groups, BROADCAST_OWNERS):
+        return bodies.groupBy("key").agg(F.first("payload").alias("payload"))
+    owner = groups.select(
+        F.col("key").alias("_key"), F.col("first_id").alias("_id"), "copies"
+    )
+    same = (F.col("key") == F.col("_key")) & F.col("page_id").eqNullSafe(F.col("_id"))
+    own = bodies.join(F.broadcast(owner), same).select("key", "payload", "copies")
+    again = own.filter("copies > 1").groupBy("key").agg(F.first("payload").alias("payload"))
+    return own.filter("copies = 1").select("key", "payload").union(again)
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """Every record: ``header`` and ``payload`` as stored, ``record`` as its bytes in a WARC file.
     A payload that does not have its digest stops the read."""
-    headers = spark.read.schema("key string, header binary").parquet(f"{path}/headers")
-    store = spark.read.schema("key string, payload binary").parquet(f"{path}/payloads")
+    headers = spark.read.schema("key binary, header binary").parquet(f"{path}/headers")
+    store = spark.read.schema("key binary, payload binary").parquet(f"{path}/payloads")
     text = F.col("header").cast("string")
     joined = headers.join(store, "key").withColumn(
         "payload",
-        F.when(F.sha2("payload", 256) == F.col("key"), F.col("payload")).otherwise(
+        F.when(F.unhex(F.sha2("payload", 256)) == F.col("key"), F.col("payload")).otherwise(
             F.raise_error(F.lit("a payload does not have its digest"))
         ),
     )
