@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from newsrate.llm.common import BoundedCache, crc_fold
 
-MAX_ROWS = 12_000
+MAX_ROWS = 8_000
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
-SPACE = 1 << 22
+SPACE = 1 << 20
 PREFIXES = (4, 5, 6, 7, 8)
 LEAST_DOCS, LEAST_Z = 4, 5.0
 L2, COUNTERFACTUAL, STEPS = 2e-4, 1.0, 300
