@@ -16,14 +16,14 @@ WEAK_MOVE = 0.01
 
 def up_ratio(up: Column, down: Column) -> Column:
     """Share of up votes; NULL without votes."""
-    votes = up + down
+    votes = up.cast("bigint") + down
     return F.when(votes > 0, up.cast("double") / votes)
 
 
 def vote_rating(up: Column, down: Column) -> Column:
     """Rating -2..2 from the share of up votes; 0 without votes."""
     share = up_ratio(up, down)
-    steps = F.when(up + down <= 0, F.lit(0))
+    steps = F.when(up.cast("bigint") + down <= 0, F.lit(0))
     for bound, rating in VOTE_BOUNDS:
         steps = steps.when(share > bound, F.lit(rating))
     return steps.when(share.isNotNull(), F.lit(min(LABELS)))
@@ -38,8 +38,10 @@ def price_move(open_: Column, high: Column, low: Column) -> Column:
 def price_rating(
     rise: Column, drop: Column, l2: float = STRONG_MOVE, l1: float = WEAK_MOVE
 ) -> Column:
-    """Rating -2..2 from the larger move; a tie counts as a drop; NULL without prices."""
-    rated = F.when(rise.isNull() | drop.isNull(), F.lit(None).cast("int"))
+    """Rating -2..2 from the larger move; a tie counts as a drop; NULL without prices or where a
+    price is not a number."""
+    unknown = rise.isNull() | drop.isNull() | F.isnan(rise) | F.isnan(drop)
+    rated = F.when(unknown, F.lit(None).cast("int"))
     for level, size in ((l2, 2), (l1, 1)):
         rated = rated.when((rise > level) & (rise > drop), F.lit(size))
         rated = rated.when(drop > level, F.lit(-size))

@@ -11,9 +11,6 @@ from newsrate.functions.text import NO_RESULT_PHRASE, keyword_match, split_field
 from newsrate.lexicon import FILTER_TERMS
 from newsrate.schemas import LABELS
 
-# Fixed value: the number of feed pages that are read at most.
-MAX_PAGES = 20000
-
 
 def keyword_filter(
     df: DataFrame, col: str, terms=FILTER_TERMS, mode: str = "intended"
@@ -26,12 +23,14 @@ def ok_pages(pages: DataFrame, status_col: str = "status") -> DataFrame:
 
 
 def until_empty_page(
-    pages: DataFrame, size: Column, page_col: str = "page", max_pages: int = MAX_PAGES
+    pages: DataFrame, size: Column, page_col: str = "page", max_pages: int | None = None
 ) -> DataFrame:
-    """Pages before the first one without items (``size`` 0 or NULL), at most ``max_pages``."""
+    """Pages before the first one without items (``size`` 0), below ``max_pages`` if given. A
+    page that cannot be read (``size`` NULL) ends nothing."""
     page = F.col(page_col)
-    empty = pages.filter(F.coalesce(size, F.lit(0)) <= 0).agg(F.min(page)).scalar()
-    return pages.filter((page < max_pages) & F.coalesce(page < empty, F.lit(True)))
+    empty = pages.filter(size == 0).agg(F.min(page)).scalar()
+    found = pages.filter(F.coalesce(page < empty, F.lit(True)))
+    return found if max_pages is None else found.filter(page < max_pages)
 
 
 def with_pair(df: DataFrame, mode: str = "intended", col: str = "tp") -> DataFrame:

@@ -49,7 +49,7 @@ def bar_slots(bars: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
             F.count(F.lit(1)).alias("n_bars"),
             F.min("open_time").alias("first_time"),
             F.max("open_time").alias("last_time"),
-            F.min_by("open", "open_time").alias("first_open"),
+            F.min_by(no_nan(F.col("open")), "open_time").alias("first_open"),
             F.max(no_nan(F.col("high"))).alias("high"),
             F.min(no_nan(F.col("low"))).alias("low"),
         )

@@ -50,6 +50,11 @@ def since(
     return df.filter(F.col(time_col) > F.lit(cutoff))
 
 
+def _file_number(file: tuple[str, int]) -> tuple[int, str]:
+    """Written files by their task number; as text, part-100000 would come before part-99999."""
+    return int(file[0].split("part-")[1].split("-")[0]), file[0]
+
+
 def global_position(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
     """Add ``position``, the 0-based rank by ``order`` (a unique key) inside ``by``.
 
@@ -66,7 +71,7 @@ def global_position(df: DataFrame, order: list[str], by: list[str] | None = None
     # One row per written file.
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows")).collect()
     offsets, total = [], 0
-    for name, rows in sorted((r["_file"], r["_rows"]) for r in sizes):
+    for name, rows in sorted(((r["_file"], r["_rows"]) for r in sizes), key=_file_number):
         offsets.append((name, total))
         total += rows
     starts = df.sparkSession.createDataFrame(offsets, "_file string, _offset bigint")

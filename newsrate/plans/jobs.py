@@ -168,6 +168,18 @@ def ingest_feed(pages: DataFrame, cutoff: str | None = None, mode: str = "intend
     return rows.select(*NEWS_COLUMNS)
 
 
+def feed_quarantine(pages: DataFrame) -> DataFrame:
+    """(page, pos, status) of what ``ingest_feed`` cannot read: whole pages whose body is not JSON
+    (``pos`` NULL) and items without a readable time."""
+    size = page_size(F.col("body"))
+    read = until_empty_page(ok_pages(pages), size)
+    bodies = read.filter(size.isNull()).select(
+        "page", F.lit(None).cast("int").alias("pos"), F.lit("body").alias("status")
+    )
+    late = feed_rows(read).filter(F.col("inputtime").isNull())
+    return bodies.unionByName(late.select("page", "pos", F.lit("time").alias("status")))
+
+
 def post_clean(posts: DataFrame, terms=FILTER_TERMS, mode: str = "intended") -> DataFrame:
     """Posts with an id, once per id, that mention a filter term."""
     ids = require_id(posts.withColumn("tweet_id", id_from_href(F.col("href"))))

@@ -146,8 +146,12 @@ def fit_and_score(
     key: str = "id",
     max_iters=tuple(10 * e for e in range(1, EPOCHS + 1)),
 ) -> tuple[Evaluation, DataFrame]:
-    """Fit one candidate per epoch, keep the best on ``path`` and score ``valid`` with it."""
+    """Fit one candidate per epoch, keep the best on ``path`` and score ``valid`` with it. Where
+    no epoch is better than 0 nothing is kept, and the last candidate scores."""
     candidates = fit_candidates(train, max_iters)
     result = evaluate(candidates, valid, key)
-    save_best(candidates[(result.best or len(candidates)) - 1], path)
-    return result, score(valid.withColumnRenamed("label", "truth"), load_model(path))
+    chosen = candidates[-1]
+    if result.best:
+        save_best(candidates[result.best - 1], path)
+        chosen = load_model(path)
+    return result, score(valid.withColumnRenamed("label", "truth"), chosen)

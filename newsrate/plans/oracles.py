@@ -280,6 +280,8 @@ ORACLES: dict[str, str] = {
         WHERE inputtime > TIMESTAMP '{views.CUTOFF}'""",
     "until_empty_page": f"""WITH {FEED} SELECT page, count(*)::INTEGER AS n_items FROM feed
         WHERE status = 200 AND page < c GROUP BY page""",
+    "feed_quarantine": f"""WITH {FEED} SELECT page, 'body' AS status FROM feed
+        WHERE status = 200 AND page < c AND page % 7 = 3 GROUP BY page""",
     "tradable_news": f"WITH {NEWS}, {LABELLED} SELECT id, tp FROM labelled WHERE tp <> ''",
     "alerts": f"WITH {NEWS}, {LABELLED} SELECT id, tp, rate FROM labelled WHERE rate <> 0",
     "author_range": f"""WITH {NEWS} SELECT id, inputtime::DATE::VARCHAR AS date FROM news

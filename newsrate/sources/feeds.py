@@ -16,8 +16,11 @@ def page_items(json_col: Column) -> Column:
 
 
 def page_size(json_col: Column) -> Column:
-    """Number of items of a page body, without converting their fields; NULL if unreadable."""
-    return F.size(F.from_json(json_col, "data array<struct<id: string>>")["data"])
+    """Number of items of a page body, without converting their fields: 0 without an item list,
+    NULL if the body is not JSON."""
+    items = F.from_json(json_col, "data array<struct<id: string>>")["data"]
+    readable = F.get_json_object(json_col, "$").isNotNull()
+    return F.when(items.isNotNull(), F.size(items)).when(readable, F.lit(0))
 
 
 def read_feed_pages(df: DataFrame, json_col: str = "body") -> DataFrame:

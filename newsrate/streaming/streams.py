@@ -108,7 +108,7 @@ def stream_interval(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.min("open_time").alias("first_time"),
-            F.min_by("open", "open_time").alias("first_open"),
+            F.min_by(no_nan(F.col("open")), "open_time").alias("first_open"),
             F.max(no_nan(F.col("high"))).alias("high"),
             F.min(no_nan(F.col("low"))).alias("low"),
         )

@@ -164,3 +164,16 @@ def test_check_rows(spark):
     good, bad = check_rows(spark.createDataFrame([(x,) for x in rated], "value string"), 2, rate_at=0)
     assert good.count() == 3
     assert sorted(r.status for r in bad.collect()) == ["label", "rate"]
+
+
+def test_pages_beyond_any_number_and_broken_pages(spark):
+    from newsrate.plans.jobs import feed_quarantine, ingest_feed
+
+    item = '{"id":%d,"inputtime":"%s","title":"t","description":"d","up_count":1,"down_count":0,"hits":1,"url":"u"}'
+    body = lambda i, time="1700000000": '{"data":[%s]}' % (item % (i, time))
+    rows = [(0, 200, body(1)), (1, 200, "<html>"), (2, 200, body(2, "soon")), (25000, 200, body(3)),
+            (25001, 200, '{"data":null}'), (25002, 200, body(4))]
+    pages = spark.createDataFrame(rows, "page int, status int, body string")
+    assert {r.id for r in ingest_feed(pages).collect()} == {1, 2, 3}
+    bad = sorted(tuple(r) for r in feed_quarantine(pages).select("page", "status").collect())
+    assert bad == [(1, "body"), (2, "time")]

@@ -62,3 +62,18 @@ def test_linear_head(column):
         "array<float>",
     )
     assert got == [[1.5, -1.0], None, [0.5, -3.0]]
+
+
+def test_prices_that_are_no_numbers_and_many_votes(spark):
+    from pyspark.sql import functions as F
+
+    from newsrate.functions.rating import price_move, price_rating, vote_rating
+
+    nan = float("nan")
+    rows = [(nan, 1.0, 1.0), (1.0, nan, 1.0), (1.0, 1.0, nan), (1.0, 1.09, 1.0)]
+    df = spark.createDataFrame(rows, "o double, h double, l double")
+    move = price_move(F.col("o"), F.col("h"), F.col("l"))
+    rated = df.select(price_rating(move["rise"], move["drop"]).alias("r")).collect()
+    assert [r.r for r in rated] == [None, None, None, 2]
+    many = spark.createDataFrame([(2147483647, 2147483647)], "u int, d int")
+    assert many.select(vote_rating(F.col("u"), F.col("d")).alias("r")).first().r == 0
