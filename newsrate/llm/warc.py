@@ -15,8 +15,8 @@ from newsrate.operators.lookup import fits_broadcast
 
 #: Payloads from this size on are revisited instead of repeated.
 REVISIT_BYTES = 1000
-#: Owners of payloads (about 60 bytes each) that may be broadcast.
-BROADCAST_OWNERS = 500_000
+#: Owners of payloads (about 200 bytes each in a broadcast table) that may be broadcast.
+BROADCAST_OWNERS = 200_000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"

@@ -120,3 +120,12 @@ def test_quotas_are_highest_quotients(spark):
             best = max(seats, key=lambda s: target[s] / (2 * seats[s] + 1))
             seats[best] += 1
         assert seats == have
+
+
+def test_payloads_are_stored_once_without_a_broadcast_too(spark, scratch, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_OWNERS", 0)
+    rows = [(i % 5, "u", "z" * 1500 if i % 2 else None, "") for i in range(20)]
+    warc.write_archive(spark.createDataFrame(rows, PAGES), scratch("s"))
+    assert spark.read.parquet(scratch("s") + "/payloads").count() == 2
+    got = warc.page_records(spark, scratch("s")).collect()
+    assert sorted((r.payload_bytes, r.refers_to) for r in got if r.payload_bytes and r.page_id == 1) == [(1500, 4)] * 2
