@@ -9,10 +9,6 @@ from newsrate.functions.binding import let
 from newsrate.lexicon import DEFAULT_LEXICON
 from newsrate.schemas import TIME_FORMAT
 
-# One alternation per text is fine for a hand-kept list; larger lexicons are joined
-# (operators.lookup.lexicon_pairs).
-MAX_PATTERN_WORDS = 1000
-
 # Letters, digits and the underscore, in every script (so CJK characters are word characters).
 WORD = r"[\p{L}\p{N}_]"
 _PLAIN = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
@@ -43,8 +39,6 @@ def whole_word_pattern(words) -> str:
     words = [w for w in dict.fromkeys(words) if w]
     if not words:
         raise ValueError("no words to match")
-    if len(words) > MAX_PATTERN_WORDS:
-        raise ValueError(f"more than {MAX_PATTERN_WORDS} words: join them instead of matching")
     return f"(?iu)(?<!{WORD})({'|'.join(map(_quote, words))})(?!{WORD})"
 
 

@@ -5,30 +5,32 @@ from __future__ import annotations
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
 from newsrate.functions.text import tokens
-from newsrate.operators.lookup import BROADCAST_ROWS, unique_side_join
+from newsrate.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, HOT_ROWS, is_small, unique_side_join
+from newsrate.operators.ordering import global_position
+from newsrate.session import write_table
 
 # Ids of padding, unknown word, start and end marker; words follow.
 PAD_ID, UNKNOWN_ID, START_ID, END_ID, FIRST_WORD_ID = 0, 100, 101, 102, 106
 MAX_LEN = 256
-# Fixed value: words in the default vocabulary.
-VOCABULARY_SIZE = 21128 - FIRST_WORD_ID
 
 
-def build_vocabulary(df: DataFrame, col: str, size: int = VOCABULARY_SIZE) -> DataFrame:
-    """The ``size`` most frequent tokens as (token, token_id); ties by token.
+def build_vocabulary(df: DataFrame, col: str, size: int | None = None) -> DataFrame:
+    """All tokens, or the ``size`` most frequent ones, as (token, token_id); ties by token.
 
-    A word count (combined before its shuffle), a top-k, and a rank over those k rows only.
+    A word count, combined before its shuffle, and a rank from a range sort of the words.
     """
     counts = (
         df.select(F.explode(tokens(F.col(col))).alias("token")).groupBy("token").count()
     )
-    top = counts.orderBy(F.desc("count"), "token").limit(size)
-    rank = F.row_number().over(W.orderBy(F.desc("count"), "token"))
-    return top.select("token", (rank + (FIRST_WORD_ID - 1)).cast("int").alias("token_id"))
+    rarity = counts.select((-F.col("count")).alias("rarity"), "token")
+    ranked = global_position(rarity, ["rarity", "token"])
+    if size is not None:
+        ranked = ranked.filter(F.col("position") < size)
+    return ranked.select("token", (F.col("position") + FIRST_WORD_ID).cast("int").alias("token_id"))
 
 
 def _look_up(words: pa.Table, col: Column) -> Column:
@@ -64,30 +66,39 @@ def encode_text(
     vocab: DataFrame,
     max_len: int = MAX_LEN,
     limit: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Add ``input_ids``, ``token_type_ids`` and ``attention_mask`` of length ``max_len``.
+    """Add ``n_tokens``, all tokens of the text, and ``input_ids``, ``token_type_ids`` and
+    ``attention_mask`` of length ``max_len``.
 
-    Tokens beyond ``max_len - 2`` are cut off, as the fixed length demands. ``vocab`` should
-    be a stored table. Up to ``limit`` words travel with the tasks and nothing is shuffled; a
-    larger vocabulary is joined to the distinct texts word by word.
+    Tokens beyond ``max_len - 2`` are cut off, as the fixed length demands; ``n_tokens`` shows
+    it. ``vocab`` should be a stored table. Up to ``limit`` words of 64 MB in all travel with
+    the tasks and nothing is shuffled; a larger vocabulary is joined to the tokens of the
+    distinct texts. Texts are told apart by their SHA-256, so none is a key of a shuffle.
     """
-    kept = F.coalesce(F.slice(tokens(F.col(col)), 1, max_len - 2), F.array())
+    split = bind(df, _all=F.coalesce(tokens(F.col(col)), F.array().cast("array<string>")))
+    counted = split.withColumns(
+        {"n_tokens": F.size("_all"), "_kept": F.slice("_all", 1, max_len - 2)}
+    ).drop("_all")
     words = vocab.select("token", "token_id")
-    small = words.limit(limit + 1).toArrow()
-    if small.num_rows <= limit:
-        coded = df.withColumn("_ids", _look_up(small, kept))
+    if is_small(words, limit):
+        coded = counted.withColumn("_ids", _look_up(words.toArrow(), F.col("_kept")))
     else:
-        texts = df.select(col).distinct()
-        exploded = texts.select(col, F.posexplode(kept).alias("_pos", "token"))
-        found = unique_side_join(exploded, words, ["token"], "left", limit)
+        keyed = counted.withColumn("_key", F.unhex(F.sha2(F.col(col), 256)))
+        texts = keyed.groupBy("_key").agg(F.first("_kept").alias("_kept"))
+        exploded = texts.select("_key", F.posexplode("_kept").alias("_pos", "token"))
+        found = unique_side_join(exploded, words, ["token"], "left", limit, hot_rows)
         pair = F.struct("_pos", F.coalesce("token_id", F.lit(UNKNOWN_ID)).alias("i"))
         ids = (
-            found.groupBy(col)
+            found.groupBy("_key")
             .agg(F.sort_array(F.collect_list(pair)).alias("_pairs"))
-            .select(col, F.transform("_pairs", lambda x: x["i"]).alias("_ids"))
-        )
-        coded = unique_side_join(df, ids, [col], "left", limit).select(
-            *df.columns, F.coalesce("_ids", F.array().cast("array<int>")).alias("_ids")
+            .select("_key", F.transform("_pairs", lambda x: x["i"]).alias("_ids"))
         )
+        few = min(limit, BROADCAST_BYTES // (8 * max_len))
+        coded = unique_side_join(
+            keyed, write_table(ids, "coded"), ["_key"], "left", few, hot_rows
+        ).withColumn("_ids", F.coalesce("_ids", F.array().cast("array<int>")))
+        coded = coded.drop("_key")
+    coded = coded.drop("_kept")
     marked = F.concat(F.array(F.lit(START_ID)), F.col("_ids"), F.array(F.lit(END_ID)))
     return coded.withColumn("_ids", marked).withColumns(_pad(F.col("_ids"), max_len)).drop("_ids")

@@ -10,32 +10,46 @@ from pyspark.sql import functions as F
 
 from newsrate.functions.text import words
 
-# A broadcast lexicon or hot-key list stays below some tens of MB.
+# A broadcast lexicon or hot-key list stays below some tens of MB: by rows and by bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # Keys with more left rows than this leave the shuffle of spread_join.
 HOT_ROWS = 1_000_000
-# Copies of the unique side when it is too large to broadcast.
-SALTS = 16
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` (a stored table: it is read once for this) has at most ``rows`` rows and
+    ``size`` bytes."""
+    if not fits_broadcast(df, rows):
+        return False
+    used = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return (used or 0) <= size
+
+
 def unique_side_join(
-    left: DataFrame, right: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_ROWS
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    limit: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi-join where ``right`` holds each key once and is cheap to count (a stored table).
+    """Equi-join, ``inner`` or ``left``, where ``right`` holds each key once and is cheap to
+    count (a stored table).
 
-    A small right side is broadcast. A larger one is copied to every salt, and the left rows
-    of one key are spread by the task they come from, so that a hot key, even one made of
-    exact copies, never meets in one task; the task number is stable when a task is re-run.
+    A small right side is broadcast. For a larger one the left rows of each key are counted
+    (combined before their shuffle), and ``spread_join`` spreads the keys with many.
     """
-    if fits_broadcast(right, limit):
+    if is_small(right, limit):
         return left.join(F.broadcast(right), keys, how)
-    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, keys + ["_salt"], how).drop("_salt")
+    weights = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_weight"))
+    weighted = right.join(weights, keys).withColumn("_found", F.lit(True))
+    joined = spread_join(left, weighted, keys, "_weight", hot_rows)
+    return (joined.filter("_found") if how == "inner" else joined).drop("_found")
 
 
 def lexicon_join(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsrate.operators.lookup import BROADCAST_ROWS, HOT_ROWS, is_small, spread_join
 from newsrate.session import write_table
 
 
@@ -55,11 +56,19 @@ def _file_number(file: tuple[str, int]) -> tuple[int, str]:
     return int(file[0].split("part-")[1].split("-")[0]), file[0]
 
 
-def global_position(df: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+def global_position(
+    df: DataFrame,
+    order: list[str],
+    by: list[str] | None = None,
+    limit: int = BROADCAST_ROWS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Add ``position``, the 0-based rank by ``order`` (a unique key) inside ``by``.
 
     The rows are range-sorted into a written table; a row's rank is its index in its file
-    plus the rows of the files before it. No task ever holds a whole group.
+    plus the rows of the files before it. The first rank of each group is broadcast while the
+    groups are few; beyond ``limit`` groups the rows of those with more than ``hot_rows`` are
+    spread. No task ever holds a whole group.
     """
     by = by or []
     stored = write_table(df.orderBy(*by, *order), "sorted")
@@ -80,12 +89,19 @@ def global_position(df: DataFrame, order: list[str], by: list[str] | None = None
     )
     if not by:
         return ranked.select(*df.columns, F.col("_global").alias("position"))
-    groups = [F.col(c).alias(f"_by_{c}") for c in by]
-    first = ranked.groupBy(*groups).agg(F.min("_global").alias("_base"))
-    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
-    return ranked.join(first, same).select(
-        *df.columns, (F.col("_global") - F.col("_base")).alias("position")
+    # As JSON, a missing part of the key is a value of its own.
+    keyed = ranked.withColumn("_group", F.to_json(F.struct(*by)))
+    first = write_table(
+        keyed.groupBy("_group").agg(
+            F.min("_global").alias("_base"), F.count(F.lit(1)).alias("_weight")
+        ),
+        "groups",
     )
+    if is_small(first, limit):
+        placed = keyed.join(F.broadcast(first), "_group")
+    else:
+        placed = spread_join(keyed, first, ["_group"], "_weight", hot_rows)
+    return placed.select(*df.columns, (F.col("_global") - F.col("_base")).alias("position"))
 
 
 def batch_number(

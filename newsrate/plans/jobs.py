@@ -190,9 +190,12 @@ def post_clean(posts: DataFrame, terms=FILTER_TERMS, mode: str = "intended") ->
     return keyword_filter(texts, "text", terms, mode).select(*POST_COLUMNS)
 
 
-def training_rows(lines: DataFrame, by: str = "votes", col: str = "value") -> DataFrame:
-    """(text, label) of well-formed lines: title and vote rating of eight-field lines, or
-    description and stored rating of twelve-field lines."""
+def training_rows(
+    lines: DataFrame, by: str = "votes", col: str = "value"
+) -> tuple[DataFrame, DataFrame]:
+    """(good, bad): (text, label) of well-formed lines, which is title and vote rating of
+    eight-field lines, or description and stored rating of twelve-field lines; and (value,
+    status) of all others."""
     split = bind(lines, _fields=split_fields(F.col(col), strip=True))
     fields = F.col("_fields")
 
@@ -200,18 +203,24 @@ def training_rows(lines: DataFrame, by: str = "votes", col: str = "value") -> Da
         return F.get(fields, F.lit(i))
 
     if by == "votes":
-        good = split.filter(fields_status(fields, 8, ints=(4, 5)) == "ok")
-        rate = vote_rating(at(4).try_cast("int"), at(5).try_cast("int"))
-        return good.select(at(2).alias("text"), label_index(rate).alias("label"))
-    good = split.filter(fields_status(fields, 12, rate_at=10) == "ok")
-    return good.select(at(3).alias("text"), label_index(trunc_int(at(10))).alias("label"))
+        status = fields_status(fields, 8, ints=(4, 5))
+        text, rate = at(2), vote_rating(at(4).try_cast("int"), at(5).try_cast("int"))
+    else:
+        status = fields_status(fields, 12, rate_at=10)
+        text, rate = at(3), trunc_int(at(10))
+    checked = bind(split, status=status)
+    good = checked.filter("status = 'ok'")
+    return good.select(text.alias("text"), label_index(rate).alias("label")), checked.filter(
+        "status <> 'ok'"
+    ).select(F.col(col).alias("value"), "status")
 
 
 def training_set(
     lines: DataFrame, vocab: DataFrame, by: str = "votes", max_len: int = MAX_LEN
-) -> DataFrame:
-    """Encoded texts and class indexes."""
-    return encode_text(training_rows(lines, by), "text", vocab, max_len)
+) -> tuple[DataFrame, DataFrame]:
+    """(encoded texts and class indexes, malformed lines with a status)."""
+    good, bad = training_rows(lines, by)
+    return encode_text(good, "text", vocab, max_len), bad
 
 
 def scorable(
@@ -219,14 +228,16 @@ def scorable(
     lexicon: dict[str, str] = DEFAULT_LEXICON,
     mode: str = "intended",
     col: str = "value",
-) -> DataFrame:
-    """(value, text, tp) of the lines whose text names a pair. ``compat`` cuts one fragment
-    more from the end of the text of ragged lines."""
+) -> tuple[DataFrame, DataFrame]:
+    """((value, text, tp) of the lines whose text names a pair, lines too short to have a text
+    with a status). ``compat`` cuts one fragment more from the end of the text of ragged lines.
+    """
     line = strip_line(F.col(col))
     tail = 5 if mode == "compat" else 4
     text = middle_text(F.col("value"), head=3, tail=tail, sep=",", width=8)
     rows = bind(lines.select(line.alias("value")), text=text)
-    return tradable(bind(rows, tp=text_pair(F.col("text"), lexicon)))
+    short = rows.filter(F.col("text").isNull()).select("value", F.lit("width").alias("status"))
+    return tradable(bind(rows, tp=text_pair(F.col("text"), lexicon))), short
 
 
 def batch_score(
@@ -234,6 +245,8 @@ def batch_score(
     model: PipelineModel,
     lexicon: dict[str, str] = DEFAULT_LEXICON,
     mode: str = "intended",
-) -> DataFrame:
-    """value, text, tp and the predicted rating ``label``; ``append_predictions`` writes it."""
-    return score(scorable(lines, lexicon, mode), model).select("value", "text", "tp", "label")
+) -> tuple[DataFrame, DataFrame]:
+    """(value, text, tp and the predicted rating ``label``, which ``append_predictions`` writes;
+    lines that are too short with a status)."""
+    good, short = scorable(lines, lexicon, mode)
+    return score(good, model).select("value", "text", "tp", "label"), short

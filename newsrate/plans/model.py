@@ -28,7 +28,7 @@ from newsrate.session import write_table
 # Rows per metric batch and number of epochs.
 BATCH_ROWS = 4
 EPOCHS = 2
-FEATURES = 1 << 12
+FEATURES = 1 << 18
 
 
 def _classifier(features: str, label: str, max_iter: int, reg_param: float) -> LogisticRegression:
@@ -119,6 +119,7 @@ def load_model(path: str) -> PipelineModel:
 class Evaluation(NamedTuple):
     epochs: DataFrame
     best: int | None
+    splits: DataFrame
 
 
 def evaluate(
@@ -127,16 +128,23 @@ def evaluate(
     key: str = "id",
     batch_rows: int = BATCH_ROWS,
     mode: str = "intended",
+    train: DataFrame | None = None,
 ) -> Evaluation:
-    """Metrics per candidate (= epoch, from 1) on ``valid`` and the best epoch, if any."""
+    """Metrics per candidate (= epoch, from 1) on ``valid``, the best epoch, if any, and the
+    metrics per epoch and split, those of ``train`` included if it is given."""
+    sides = {"valid": valid} if train is None else {"train": train, "valid": valid}
     parts = [
-        predict(valid, m).select(key, "label", "probs", F.lit(e).alias("epoch"))
+        predict(rows, m).select(
+            key, "label", "probs", F.lit(e).alias("epoch"), F.lit(split).alias("split")
+        )
         for e, m in enumerate(candidates, 1)
+        for split, rows in sides.items()
     ]
-    preds = reduce(DataFrame.unionByName, parts).withColumn("split", F.lit("valid"))
+    preds = reduce(DataFrame.unionByName, parts)
     batches = batch_number(score_rows(preds, mode), batch_rows, [key], ["epoch", "split"])
-    epochs = write_table(epoch_metrics(batch_metrics(batches)), "epochs")
-    return Evaluation(running_best(epochs), best_epoch(epochs).first()["epoch"])
+    splits = write_table(epoch_metrics(batch_metrics(batches)), "epochs")
+    epochs = splits.filter("split = 'valid'")
+    return Evaluation(running_best(epochs), best_epoch(epochs).first()["epoch"], splits)
 
 
 def fit_and_score(
@@ -149,7 +157,7 @@ def fit_and_score(
     """Fit one candidate per epoch, keep the best on ``path`` and score ``valid`` with it. Where
     no epoch is better than 0 nothing is kept, and the last candidate scores."""
     candidates = fit_candidates(train, max_iters)
-    result = evaluate(candidates, valid, key)
+    result = evaluate(candidates, valid, key, train=train)
     chosen = candidates[-1]
     if result.best:
         save_best(candidates[result.best - 1], path)

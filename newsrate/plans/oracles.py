@@ -143,7 +143,7 @@ def _tokens(source: str, key: str, text: str) -> str:
 
 VOCAB = """vocab AS (
   SELECT token, 105 + row_number() OVER (ORDER BY n DESC, token) AS token_id FROM (
-    SELECT token, count(*) AS n FROM {tok} GROUP BY token ORDER BY n DESC, token LIMIT 21022))"""
+    SELECT token, count(*) AS n FROM {tok} GROUP BY token ORDER BY n DESC, token))"""
 CODED = """coded AS (
   SELECT k, list(coalesce(token_id, 100) ORDER BY pos) AS ids
   FROM tok LEFT JOIN vocab USING (token) WHERE pos <= 254 GROUP BY k)"""
@@ -182,13 +182,20 @@ PREDS = (
 ORACLES: dict[str, str] = {
     "scan_project": f"WITH {NEWS} SELECT {NEWS_TEXT_TIME} FROM news",
     "csv_news": f"""WITH {NEWS} SELECT id, {INPUT_TIME} AS inputtime, nullif(title, '') AS title,
-        nullif(description, '') AS description, up_count, down_count, hits, url FROM news""",
+        nullif(description, '') AS description, up_count, down_count, hits, url, 'ok' AS status,
+        NULL AS value FROM news UNION ALL
+        SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'record',
+        concat_ws(',', id, up_count, hits) FROM news""",
     "line_scan": f"WITH {RAW_LINES} SELECT value FROM lines",
     "marked_scan": f"""WITH {NEWS} SELECT title,
         {LINE.format(_sanitize('description'))} AS description, sym AS tp,
         (CASE WHEN up_count + down_count = 0 THEN 0 WHEN up_count > 20 THEN NULL
-          ELSE up_count % 7 - 3 END)::INTEGER AS rate
-        FROM news WHERE NOT contains(title, ',')""",
+          ELSE up_count % 7 - 3 END)::INTEGER AS rate, 'ok' AS status, NULL AS value
+        FROM news WHERE NOT contains(title, ',') UNION ALL
+        SELECT NULL, NULL, NULL, NULL, 'width', concat_ws(',', id, {INPUT_TIME}, title,
+          {LINE.format(_sanitize('description'))}, up_count, down_count, hits, url, 0, sym,
+          CASE WHEN up_count + down_count = 0 THEN '' WHEN up_count > 20 THEN 'x'
+            ELSE (up_count % 7 - 3) || '.9' END, 1) FROM news WHERE contains(title, ',')""",
     "feed_explode": f"""WITH {FEED} SELECT page, status, pos::INTEGER AS pos, id,
         epoch(inputtime)::BIGINT::VARCHAR AS inputtime, title, description, up_count, down_count,
         hits, url FROM feed""",
@@ -254,8 +261,9 @@ ORACLES: dict[str, str] = {
     "iso_plain": f"WITH {POST_RAW} SELECT seq, {TIME.format('posted')} AS time FROM post_raw",
     "encode_text": f"""WITH {_tokens('documents', 'doc_id', 'text')},
         {VOCAB.format(tok='tok')}, {CODED}
-        SELECT doc_id, {PADDED} AS input_ids, (len(coalesce(ids, [])) + 2)::INTEGER AS n_ids,
-          0 AS max_type FROM documents LEFT JOIN coded ON k = doc_id""",
+        SELECT doc_id, coalesce(len(list), 0)::INTEGER AS n_tokens, {PADDED} AS input_ids, (len(coalesce(ids, [])) + 2)::INTEGER AS n_ids,
+          0 AS max_type FROM documents LEFT JOIN coded ON coded.k = doc_id
+          LEFT JOIN found ON found.k = doc_id""",
     "linear_head": f"WITH {_heads([1])} SELECT vec_id, "
     + ", ".join(f"round(z[{k + 1}], 6) AS z{k}" for k in range(5))
     + " FROM probs",
@@ -276,8 +284,11 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, 'compat' FROM documents WHERE regexp_matches(text, '[\p{{L}}\p{{N}}_]')""",
     "since_cutoff": f"""WITH {NEWS} SELECT id, {INPUT_TIME} AS inputtime FROM news
         WHERE inputtime > TIMESTAMP '{views.CUTOFF}'""",
-    "take_while": f"""WITH {NEWS} SELECT id, {INPUT_TIME} AS inputtime FROM news
-        WHERE inputtime > TIMESTAMP '{views.CUTOFF}'""",
+    "take_while": f"""WITH {NEWS}, fed AS (
+          SELECT *, row_number() OVER (ORDER BY id // 20 DESC, id) AS n FROM news)
+        SELECT id, {INPUT_TIME} AS inputtime FROM fed WHERE n < (
+          SELECT coalesce(min(n), 9223372036854775807) FROM fed
+          WHERE inputtime <= TIMESTAMP '{views.EARLY}')""",
     "until_empty_page": f"""WITH {FEED} SELECT page, count(*)::INTEGER AS n_items FROM feed
         WHERE status = 200 AND page < c GROUP BY page""",
     "feed_quarantine": f"""WITH {FEED} SELECT page, 'body' AS status FROM feed
@@ -345,8 +356,13 @@ ORACLES: dict[str, str] = {
     "training_set": f"""WITH {NEWS}, {_tokens('news', 'id', 'title')},
         {VOCAB.format(tok='tok')}, {CODED}
         SELECT {_sanitize('title')} AS text, ({RATE} + 2)::INTEGER AS label,
-          {PADDED} AS input_ids FROM news LEFT JOIN coded ON k = id""",
-    "stream_ingest": f"WITH {FEED} SELECT {FEED_ITEM} FROM feed WHERE status = 200",
+          {PADDED} AS input_ids, 'ok' AS status, NULL AS value
+        FROM news LEFT JOIN coded ON k = id UNION ALL
+        SELECT NULL, NULL, NULL, CASE WHEN len(f) <> 8 THEN 'width' ELSE 'int' END, value FROM (
+          SELECT *, string_split(value, ',') AS f FROM (
+            SELECT {LINE.format('text')} AS value FROM documents))""",
+    "stream_ingest": f"""WITH {FEED} SELECT {FEED_ITEM} FROM feed
+        WHERE status = 200 AND page < c AND inputtime > TIMESTAMP '{views.CUTOFF}'""",
     "stream_dedup": "SELECT doc_id AS id FROM documents",
     "stream_insert": f"""WITH {NEWS}, {STORED}, {LABELLED}, loaded AS (
           SELECT * FROM stored UNION ALL SELECT * FROM {FRESH})

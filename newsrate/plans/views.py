@@ -28,6 +28,7 @@ START_EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 PAGE_ITEMS = 20
 BARS_PER_PAGE = 100
 CUTOFF = "2024-01-05 00:00:00"
+EARLY = "2024-01-01 02:00:00"
 HEAD_CLASSES, HEAD_DIMS, HEAD_EPOCHS = 5, 64, 3
 
 

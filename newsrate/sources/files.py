@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsrate.functions.binding import bind
 from newsrate.functions.text import split_fields, trunc_int
 from newsrate.schemas import MARKED_COLUMNS, NEWS, TIME_FORMAT
 
 
-def read_news_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Header-less eight-column CSV. Quoted fields may span lines, which makes a file one
-    split: ``append_csv`` bounds its files for this reason. Pass ``multi_line=False`` for
-    files without line breaks in fields, so that large ones are split."""
-    return (
-        spark.read.schema(NEWS)
+def read_news_csv(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(news, bad records) of header-less eight-column CSV. A record with another number of
+    fields, or with a field that its type can not hold, is bad: (value, status), never shifted.
+
+    Quoted fields may span lines, which makes a file one split: ``append_csv`` bounds its files
+    for this reason. Pass ``multi_line=False`` for files without line breaks in fields, so that
+    large ones are split."""
+    read = (
+        spark.read.schema(T.StructType([*NEWS.fields, T.StructField("_record", T.StringType())]))
+        .option("columnNameOfCorruptRecord", "_record")
+        .option("columnPruning", False)
         .option("header", False)
         .option("multiLine", multi_line)
         .option("quote", '"')
@@ -23,6 +31,14 @@ def read_news_csv(spark: SparkSession, path: str, multi_line: bool = True) -> Da
         .option("timestampFormat", TIME_FORMAT)
         .csv(path)
     )
+    # Always true. A field that a query does not need is not parsed, and its fault not found.
+    read = read.filter(F.abs(F.hash(*NEWS.fieldNames()).cast("bigint")) >= 0)
+    record = F.col("_record")
+    good = read.filter(record.isNull()).drop("_record")
+    bad = read.filter(record.isNotNull()).select(
+        record.alias("value"), F.lit("record").alias("status")
+    )
+    return good, bad
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -30,19 +46,22 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def marked_fields(lines: DataFrame, col: str = "value") -> DataFrame:
-    """title, description, tp and rate of twelve-field lines; ``rate`` is NULL if unparsable."""
+def marked_fields(lines: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(title, description, tp and rate of twelve-field lines, other lines with a status);
+    ``rate`` is NULL if unparsable."""
     split = bind(lines, _fields=split_fields(F.col(col), strip=True))
     field = {c: F.get(F.col("_fields"), F.lit(i)) for i, c in enumerate(MARKED_COLUMNS)}
-    return split.filter(F.size("_fields") == len(MARKED_COLUMNS)).select(
+    whole = F.coalesce(F.size("_fields") == len(MARKED_COLUMNS), F.lit(False))
+    good = split.filter(whole).select(
         field["title"].alias("title"),
         field["description"].alias("description"),
         field["tp"].alias("tp"),
         trunc_int(field["rate"]).alias("rate"),
     )
+    return good, split.filter(~whole).select(F.col(col).alias("value"), F.lit("width").alias("status"))
 
 
-def read_marked(spark: SparkSession, path: str) -> DataFrame:
+def read_marked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return marked_fields(read_lines(spark, path))
 
 

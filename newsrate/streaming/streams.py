@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsrate.functions.rating import price_move, price_rating
 from newsrate.lexicon import DEFAULT_LEXICON
 from newsrate.operators.interval import WINDOW_SECONDS, no_nan
+from newsrate.operators.ordering import since
 from newsrate.plans.jobs import feed_rows, label_news
 from newsrate.schemas import NEWS_COLUMNS
 from newsrate.sinks.tables import insert_if_absent
@@ -36,10 +37,18 @@ def start_append(
 
 
 def stream_ingest(
-    pages: DataFrame, sink: str, checkpoint: str, trigger: dict = ONCE
+    pages: DataFrame,
+    sink: str,
+    checkpoint: str,
+    cutoff: str | None = None,
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
-    """New landed pages -> clean news rows."""
-    return start_append(feed_rows(pages).select(*NEWS_COLUMNS), sink, checkpoint, trigger)
+    """New landed pages -> clean news rows, each id once however often its page is polled, newer
+    than ``cutoff`` (time text) if given. A poll lands no page after its first empty one."""
+    rows = feed_rows(pages)
+    if cutoff is not None:
+        rows = since(rows, "inputtime", cutoff)
+    return stream_insert(rows.select(*NEWS_COLUMNS), sink, checkpoint, trigger=trigger)
 
 
 def stream_dedup(df: DataFrame, key: str, time: str, delay: str = "1 hour") -> DataFrame:

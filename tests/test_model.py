@@ -31,19 +31,27 @@ def test_encode_both_ways(spark):
     vocab = spark.createDataFrame([("a", 106), ("b", 107), ("买", 108)], "token string, token_id int")
     texts = ["A b", "zz 买b", "", None, "a " * 20, "a b", "A b"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    small = [tuple(r) for r in encode_text(df, "t", vocab, 8).orderBy("id").collect()]
+    rows = encode_text(df, "t", vocab, 8).orderBy("id").collect()
+    assert [r.n_tokens for r in rows] == [2, 3, 0, 0, 20, 2, 2]
+    columns = ["id", "t", "input_ids", "token_type_ids", "attention_mask", "n_tokens"]
+    small = [tuple(r[c] for c in columns[:5]) for r in rows]
     assert small[0][2:] == ([101, 106, 107, 102, 0, 0, 0, 0], [0] * 8, [1, 1, 1, 1, 0, 0, 0, 0])
     assert small[1][2] == [101, 100, 108, 107, 102, 0, 0, 0]
     assert small[2][2] == small[3][2] == [101, 102] + [0] * 6
     assert small[4][2:] == ([101] + [106] * 6 + [102], [0] * 8, [1] * 8)
-    large = encode_text(df, "t", vocab, 8, limit=1).orderBy("id").collect()
-    assert [tuple(r) for r in large] == small
+    # Beyond the broadcast, with a word that is hot.
+    large = encode_text(df, "t", vocab, 8, limit=1, hot_rows=3).orderBy("id").collect()
+    assert [tuple(r[c] for c in columns) for r in large] == [
+        (*s, r.n_tokens) for s, r in zip(small, rows)
+    ]
 
 
 def test_training_set(spark):
     lines = spark.createDataFrame([("1,t,a b,d,9,0,3,u",), ("bad",)], "value string")
     vocab = spark.createDataFrame([("a", 106)], "token string, token_id int")
-    rows = training_set(lines, vocab, max_len=5).collect()
+    good, bad = training_set(lines, vocab, max_len=5)
+    assert [tuple(r) for r in bad.collect()] == [("bad", "width")]
+    rows = good.collect()
     assert [(r.text, r.label, r.input_ids) for r in rows] == [("a b", 4, [101, 106, 100, 102, 0])]
 
 
@@ -76,11 +84,14 @@ def test_fit_save_score(spark, scratch):
     df = spark.createDataFrame(rows, "id int, text string, label int")
     result, scored = fit_and_score(df, df, scratch("model"), max_iters=(5, 10))
     assert result.best == 1 and result.epochs.count() == 2
+    assert sorted((r.epoch, r.split, r.acc) for r in result.splits.collect()) == [
+        (e, split, approx(1.0)) for e in (1, 2) for split in ("train", "valid")
+    ]
     assert scored.filter("label = truth - 2").count() == 90
     model = load_model(scratch("model"))
     assert sum(predict(df, model).first().probs) == approx(1.0)
     lines = spark.createDataFrame([("1,t,x,up eth,1,2,3,u",), ("2,t,x,none,1,2,3,u",)], "value string")
-    assert [tuple(r) for r in batch_score(lines, model).collect()] == [
+    assert [tuple(r) for r in batch_score(lines, model)[0].collect()] == [
         ("1,t,x,up eth,1,2,3,u", "up eth", "ETH/USDT", 2)
     ]
 

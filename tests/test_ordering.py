@@ -177,3 +177,15 @@ def test_pages_beyond_any_number_and_broken_pages(spark):
     assert {r.id for r in ingest_feed(pages).collect()} == {1, 2, 3}
     bad = sorted(tuple(r) for r in feed_quarantine(pages).select("page", "status").collect())
     assert bad == [(1, "body"), (2, "time")]
+
+
+def test_positions_by_many_groups(spark):
+    """Few and many groups, a hot one, and missing parts of a key."""
+    rows = [(i, None if i % 5 == 0 else "" if i % 5 == 1 else "hot", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string, h int").repartition(5)
+    want = {}
+    for i, g, h in rows:
+        want[i] = sum(1 for j, *k in rows if k == [g, h] and j < i)
+    for limit, hot in ((100, 100), (1, 100), (1, 5)):
+        got = global_position(df, ["id"], ["g", "h"], limit, hot).collect()
+        assert {r.id: r.position for r in got} == want

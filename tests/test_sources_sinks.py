@@ -99,8 +99,16 @@ def test_csv_round_trip(spark, scratch):
     df = spark.createDataFrame(rows, NEWS)
     append_csv(df, scratch("csv"), NEWS_COLUMNS)
     append_csv(df.filter("id = 2"), scratch("csv"), ["id"] + NEWS_COLUMNS[1:])
-    got = sorted(map(tuple, read_news_csv(spark, scratch("csv")).collect()), key=lambda r: r[0])
+    append_csv(df, scratch("csv"), ["id", "title"])
+    with open(scratch("csv") + "/long.csv", "w") as f:
+        f.write("3,2024-01-01 00:00:00,t,d,part two,1,2,3,u\n4,,t,d,many,0,0,u\n")
+    good, bad = read_news_csv(spark, scratch("csv"))
+    got = sorted(map(tuple, good.collect()), key=lambda r: r[0])
     assert got == [rows[0], rows[1][:7] + (None,), rows[1][:7] + (None,)]
+    lines = sorted(tuple(r) for r in bad.collect())
+    assert [r[0][:7] for r in lines] == ['1,"a ""', "2,", "3,2024-", "4,,t,d,"]
+    assert {r[1] for r in lines} == {"record"} and (good.count(), bad.count()) == (3, 4)
+    assert sorted(r.id for r in good.select("id").collect()) == [1, 2, 2]
 
 
 def test_lines_and_repair(spark, scratch):
@@ -117,23 +125,29 @@ def test_lines_and_repair(spark, scratch):
 def test_marked(spark, scratch):
     with open(scratch("m.csv"), "w") as f:
         f.write("1,t,title,desc,1,2,3,u,0,ETH/USDT,-1.0,1\n2,t,a,b,1,2,3,u,0,,,1\n3,short\n")
-    rows = sorted(map(tuple, read_marked(spark, scratch("m.csv")).collect()))
-    assert rows == [("a", "b", "", 0), ("title", "desc", "ETH/USDT", -1)]
-    texts = training_rows(read_lines(spark, scratch("m.csv")), by="marked")
+    good, bad = read_marked(spark, scratch("m.csv"))
+    assert sorted(map(tuple, good.collect())) == [("a", "b", "", 0), ("title", "desc", "ETH/USDT", -1)]
+    assert [tuple(r) for r in bad.collect()] == [("3,short", "width")]
+    texts, rest = training_rows(read_lines(spark, scratch("m.csv")), by="marked")
+    assert [tuple(r) for r in rest.collect()] == [("3,short", "width")]
     assert sorted(map(tuple, texts.collect())) == [("b", 2), ("desc", 1)]
 
 
 def test_training_rows_by_votes(spark):
     lines = ["1,t,up,d,9,0,3,u", "2,t,none,d,0,0,3,u", "3,t,bad,d,x,0,3,u", "4,t,a,b,c,1,1,3,u"]
-    df = spark.createDataFrame([(x,) for x in lines], "value string")
-    assert sorted(map(tuple, training_rows(df).collect())) == [("none", 2), ("up", 4)]
+    df = spark.createDataFrame([(x,) for x in [*lines, None]], "value string")
+    good, bad = training_rows(df)
+    assert sorted(map(tuple, good.collect())) == [("none", 2), ("up", 4)]
+    assert {tuple(r) for r in bad.collect()} == {(lines[2], "int"), (lines[3], "width"), (None, "width")}
 
 
 def test_scorable_modes(spark):
     lines = ["1,t,x,a neo,1,2,3,u", "2,t,x,a,eth,1,2,3,u", "3,t,x,nothing,1,2,3,u", "4"]
     df = spark.createDataFrame([(x,) for x in lines], "value string")
-    assert sorted(r.tp for r in scorable(df).collect()) == ["ETH/USDT", "NEO/USDT"]
-    assert [r.tp for r in scorable(df, mode="compat").collect()] == ["NEO/USDT"]
+    good, short = scorable(df)
+    assert sorted(r.tp for r in good.collect()) == ["ETH/USDT", "NEO/USDT"]
+    assert [tuple(r) for r in short.collect()] == [("4", "width")]
+    assert [r.tp for r in scorable(df, mode="compat")[0].collect()] == ["NEO/USDT"]
 
 
 def test_append_predictions(spark, scratch):
@@ -159,6 +173,23 @@ def test_insert_if_absent(spark, scratch):
     stored = spark.read.parquet(path)
     assert sorted((r.id, r.title) for r in stored.collect()) == [(1, "early"), (2, "b"), (3, "c")]
     assert absent_rows(more, stored).count() == 0
+    keyless = news(spark, [(None, day[0], "x"), (4, day[0], "y")])
+    assert insert_if_absent(keyless, path) == 1
+
+
+def test_insert_from_a_growing_source(spark, scratch):
+    """Rows that arrive between the two reads of a batch never double a stored key."""
+    day, path, landed = datetime(2024, 1, 1), scratch("target"), scratch("landed")
+    news(spark, [(1, day, "old"), (9, day, "old")]).write.parquet(path)
+    news(spark, [(4, day, "a"), (5, day, "b")]).write.parquet(landed)
+
+    def late(rows):
+        # Runs after the key range was read and before the rows are.
+        news(spark, [(9, day, "again"), (5, day, "b")]).write.mode("append").parquet(landed)
+        return rows.sparkSession.read.schema(NEWS).parquet(landed).join(rows.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+    assert insert_if_absent(spark.read.schema(NEWS).parquet(landed), path, prepare=late) == 2
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 4, 5, 9]
 
 
 def test_label_by_votes(spark):

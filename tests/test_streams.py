@@ -42,6 +42,8 @@ def test_ingest_continues_after_a_stop(spark, scratch, landed):
     for df in (first, second):
         land(df)
         stream_ingest(read(), scratch("news"), scratch("check")).awaitTermination()
+    land(second)  # polled again
+    stream_ingest(read(), scratch("news"), scratch("check")).awaitTermination()
     batch = feed_rows(first.union(second)).select(*NEWS_COLUMNS)
     assert sorted(spark.read.parquet(scratch("news")).collect()) == sorted(batch.collect())
 
