@@ -65,11 +65,13 @@ def lexicon_pairs(
     df: DataFrame, text_col: str, lexicon: DataFrame, key: str = "id", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
     """(key, pair) of the leftmost lexicon word of each text, for lexicons too large for one
-    pattern. Single-word keywords only; texts without a hit give no row."""
+    pattern. Single-word keywords only; texts without a hit give no row, rows of one key each
+    their own."""
+    numbered = df.select(key, text_col, F.monotonically_increasing_id().alias("_row"))
     found = F.posexplode(F.array_distinct(words(F.col(text_col)))).alias("_pos", "_kw")
     side = lexicon.select(F.col("keyword").alias("_kw"), "pair")
-    hits = unique_side_join(df.select(key, found), side, ["_kw"], "inner", limit)
-    return hits.groupBy(key).agg(F.min_by("pair", "_pos").alias("pair"))
+    hits = unique_side_join(numbered.select(key, "_row", found), side, ["_kw"], "inner", limit)
+    return hits.groupBy("_row", key).agg(F.min_by("pair", "_pos").alias("pair")).drop("_row")
 
 
 def not_in_target(new: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:

@@ -128,6 +128,8 @@ def test_lexicon_pairs_equal_the_pattern(spark):
     for limit in (100, 1):
         got = {r.id: r.pair for r in lexicon_pairs(df, "t", lexicon, limit=limit).collect()}
         assert got == expected
+    same = spark.createDataFrame([(1, "eth"), (1, "neo"), (1, "eth")], "id int, t string")
+    assert lexicon_pairs(same, "t", lexicon).count() == 3
     keyed = df.select("id", F.upper("t").alias("kw"))
     assert lexicon_join(keyed, lexicon, "kw").filter("pair is not null").count() == 0
 
