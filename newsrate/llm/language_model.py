@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -293,11 +293,17 @@ def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray
     return rows.column("hash").to_numpy(), rows.column("c").to_numpy()
 
 
+def in_round(r: int, rounds: int) -> Column:
+    """Whether a row is learned from in round ``r``: one hash, so each row is in one round."""
+    return F.pmod(F.xxhash64("seed"), F.lit(rounds)) == r
+
+
 def train_model(
     train: DataFrame, known: Known, counts: np.ndarray, replicas: int, rounds: int
-) -> Params:
-    """``rounds`` rounds of replicas, averaged by the symbols they learned from. At most
-    ``replicas`` parameter sets (about 0.2 MB each) come to the driver at once."""
+) -> tuple[Params, int]:
+    """``rounds`` rounds of replicas, averaged by the symbols they learned from, and the number of
+    symbols learned from in all rounds. At most ``replicas`` parameter sets (about 0.2 MB each)
+    come to the driver at once."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(known)
 
@@ -316,7 +322,7 @@ def train_model(
             )
 
     data = stored(train.select("text").mapInArrow(stretches, "seed long, ids binary"), "stretches")
-    params = first_params(counts)
+    params, learned = first_params(counts), 0
     for r in range(rounds):
         begin = spark.sparkContext.broadcast(dump(params))
 
@@ -338,7 +344,7 @@ def train_model(
 
         # Copies of one stretch are spread too: the part comes from the seed and the row's task.
         part = F.pmod(F.xxhash64("seed", F.spark_partition_id()), F.lit(replicas))
-        mine = data.filter(F.pmod(F.xxhash64("seed", F.lit(r)), F.lit(rounds)) == 0)
+        mine = data.filter(in_round(r, rounds))
         found = (
             mine.withColumn("part", part)
             .repartition(replicas, "part")
@@ -349,9 +355,10 @@ def train_model(
         )
         if found:
             total = sum(x.tokens for x in found)
+            learned += total
             sets = [(x.tokens / total, load(x.params)) for x in found]
             params = {k: sum(w * p[k] for w, p in sets).astype("f4") for k in params}
-    return params
+    return params, learned
 
 
 PARTIAL = (
@@ -393,7 +400,7 @@ def scores(
     by_symbol[END] = ends
     other = size.n - by_symbol[2:].sum()
     by_symbol[OTHER] = other
-    params = train_model(train, known, by_symbol, replicas, rounds)
+    params, _ = train_model(train, known, by_symbol, replicas, rounds)
     norm = float(np.log10(n_train + 0.5 * (distinct + 1)))
     other_norm = float(np.log10(other + 0.5 * (size.v - inside.sum() + 1)))
     end_score, end_known = float(np.log10(ends + 0.5)), int(ends > 0)

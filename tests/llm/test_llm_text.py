@@ -208,6 +208,18 @@ def test_language_model(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_every_training_row_is_in_one_round(spark, rounds):
+    texts = [f"w{i} w{i % 7}" for i in range(60)] + ["same text"] * 20
+    train = documents(spark, texts, "c int").select("text")
+    data = spark.range(1000).withColumnRenamed("id", "seed")
+    parts = [data.filter(language_model.in_round(r, rounds)) for r in range(rounds)]
+    assert sorted(x.seed for p in parts for x in p.collect()) == list(range(1000))
+    known = language_model.Known(np.empty(0, "i8"), np.empty(0, "i8"))
+    _, learned = language_model.train_model(train, known, np.ones(language_model.VOCABULARY + 2), 2, rounds)
+    assert learned == 80 * 3
+
+
 def test_state_is_carried_across_windows():
     rng = np.random.default_rng(2)
     params = language_model.first_params(np.ones(1024))
