@@ -4,10 +4,11 @@ Words are counted over all training documents. The ``VOCABULARY`` most frequent
 one symbol for all other words are the network's symbols; the output softmax is factored into a
 class and a word of that class. Another word costs its symbol and its share among all such words.
 
-Training is data-parallel: every training document gives one stretch of words from a seeded place,
-so the training data grow with the corpus. Replicas train on their parts by truncated
-backpropagation (windows of ``WINDOW`` symbols, the state carried on) and are averaged after each of
-``ROUNDS`` rounds. Scoring reads whole documents in windows with the state carried across them.
+Training is data-parallel and reads every word: training documents are cut into stretches of at most
+``STRETCH`` symbols, each of which is learned from once. Replicas train on their parts by truncated
+backpropagation (windows of ``WINDOW`` symbols, the state carried through a stretch) and are averaged
+after each of ``ROUNDS`` rounds. Scoring reads whole documents in windows with the state carried
+across them.
 
 Counts of the ``FREQUENT`` most frequent words are broadcast; the words beyond them are looked up by
 a join on their hash.
@@ -16,6 +17,7 @@ a join on their hash.
 from __future__ import annotations
 
 import io
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +30,12 @@ from newsrate.llm.common import crc_fold, stored, words_of
 
 FOLDS, HELD_OUT = 5, 1
 FREQUENT = 300_000
-CLASSES, CLASS_WORDS = 32, 32
+CLASSES, CLASS_WORDS = 128, 128
 #: Symbols 0 and 1 are the end and all other words.
 END, OTHER = 0, 1
 VOCABULARY = CLASSES * CLASS_WORDS - 2
 EMBEDDING, HIDDEN = 16, 24
-STRETCH, WINDOW, BATCH = 48, 16, 128
+STRETCH, WINDOW, BATCH = 192, 16, 256
 ROUNDS, REPLICAS = 2, 6
 RATE = 4e-3
 SCORE_BATCH = 2048
@@ -51,18 +53,19 @@ def word_hashes(text: str | None) -> np.ndarray:
 
 def first_params(counts: np.ndarray) -> Params:
     """Random inner weights; the output biases make the untrained network the unigram model of
-    ``counts`` (by symbol)."""
+    ``counts`` (by symbol, a square number of them: as many classes as words in a class)."""
     rng = np.random.default_rng(3)
-    p = (counts + 0.5).reshape(CLASSES, CLASS_WORDS)
+    classes = math.isqrt(len(counts))
+    p = (counts + 0.5).reshape(classes, classes)
     normal = lambda *shape: rng.standard_normal(shape).astype("f4")
     return {
-        "E": normal(CLASSES * CLASS_WORDS, EMBEDDING) * np.float32(0.3),
+        "E": normal(len(counts), EMBEDDING) * np.float32(0.3),
         "W": normal(EMBEDDING, 3 * HIDDEN) * np.float32(EMBEDDING**-0.5),
         "b": np.zeros(3 * HIDDEN, "f4"),
         "U": normal(HIDDEN, 3 * HIDDEN) * np.float32(HIDDEN**-0.5),
-        "C": np.zeros((HIDDEN, CLASSES), "f4"),
+        "C": np.zeros((HIDDEN, classes), "f4"),
         "c": np.log(p.sum(1) / p.sum()).astype("f4"),
-        "O": np.zeros((CLASSES, HIDDEN, CLASS_WORDS), "f4"),
+        "O": np.zeros((classes, HIDDEN, classes), "f4"),
         "o": np.log(p / p.sum(1, keepdims=True)).astype("f4"),
     }
 
@@ -100,7 +103,7 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 def outputs(h: np.ndarray, targets: np.ndarray, params: Params, back: bool = False):
     """Natural log probabilities of the targets; with ``back`` also the gradients of their negative
     sum for the states and the output weights."""
-    cls, word = np.divmod(targets, CLASS_WORDS)
+    cls, word = np.divmod(targets, params["o"].shape[1])
     at = np.arange(len(targets))
     classes = log_softmax(h @ params["C"] + params["c"])
     logp = classes[at, cls].astype("f8")
@@ -112,28 +115,34 @@ def outputs(h: np.ndarray, targets: np.ndarray, params: Params, back: bool = Fal
         dh = d @ params["C"].T
         grads |= {k: np.zeros_like(params[k]) for k in ("O", "o")}
     order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        rows = order[ends[k] : ends[k + 1]]
-        if not len(rows):
-            continue
-        own = log_softmax(h[rows] @ params["O"][k] + params["o"][k])
-        logp[rows] += own[np.arange(len(rows)), word[rows]]
+    ends = np.searchsorted(cls[order], np.arange(len(params["c"]) + 1))
+    ordered, word = h[order], word[order]
+    part, down = np.empty(len(targets), "f4"), np.empty_like(ordered)
+    for k in np.flatnonzero(np.diff(ends)):
+        rows = slice(ends[k], ends[k + 1])
+        own = log_softmax(ordered[rows] @ params["O"][k] + params["o"][k])
+        which = at[: len(own)], word[rows]
+        part[rows] = own[which]
         if back:
             d = np.exp(own)
-            d[np.arange(len(rows)), word[rows]] -= 1
-            grads["O"][k], grads["o"][k] = h[rows].T @ d, d.sum(0)
-            dh[rows] += d @ params["O"][k].T
+            d[which] -= 1
+            grads["O"][k], grads["o"][k] = ordered[rows].T @ d, d.sum(0)
+            down[rows] = d @ params["O"][k].T
+    logp[order] += part
+    if back:
+        dh[order] += down
     return (logp, dh, grads) if back else logp
 
 
 def window_gradients(params: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
     """Loss, gradients and last state of one window. ``targets`` are -1 where a text is over."""
     T, B = inputs.shape
-    table = params["E"] @ params["W"] + params["b"]
+    used, places = np.unique(inputs, return_inverse=True)
+    places = places.reshape(T, B)
+    table = params["E"][used] @ params["W"] + params["b"]
     states, kept = np.empty((T, B, HIDDEN), "f4"), []
     for t in range(T):
-        h, memo = step(table[inputs[t]], h, params["U"])
+        h, memo = step(table[places[t]], h, params["U"])
         states[t] = h
         kept.append(memo)
     valid = np.flatnonzero(targets.ravel() >= 0)
@@ -155,12 +164,15 @@ def window_gradients(params: Params, inputs: np.ndarray, targets: np.ndarray, h:
         dx[t] = np.concatenate([pz, pr, pc], axis=1)
         dU += before.T @ da
         ahead = d * z + da @ params["U"].T
-    dtable = np.zeros_like(table)
-    np.add.at(dtable, inputs.ravel(), dx.reshape(T * B, -1))
+    order = np.argsort(places.ravel(), kind="stable")
+    first = np.searchsorted(places.ravel()[order], np.arange(len(used)))
+    dtable = np.add.reduceat(dx.reshape(T * B, -1)[order], first, axis=0)
+    dE = np.zeros_like(params["E"])
+    dE[used] = dtable @ params["W"].T
     grads |= {
         "U": dU,
-        "E": dtable @ params["W"].T,
-        "W": params["E"].T @ dtable,
+        "E": dE,
+        "W": params["E"][used].T @ dtable,
         "b": dtable.sum(0),
     }
     return -float(logp.sum()), len(valid), grads, h
@@ -183,17 +195,20 @@ class Trainer:
             self.params[k] -= (RATE * m / (np.sqrt(v) + 1e-8)).astype("f4")
 
     def learn(self, texts: list[np.ndarray]) -> None:
-        """Truncated backpropagation over texts side by side."""
-        longest = max(map(len, texts))
-        inputs = np.full((longest, len(texts)), END, "i8")
-        targets = np.full((longest, len(texts)), -1, "i8")
+        """Truncated backpropagation over stretches side by side. A stretch is the symbol before it
+        and its own."""
+        texts = sorted(texts, key=len, reverse=True)
+        lengths = np.array([len(ids) - 1 for ids in texts])
+        inputs = np.full((lengths[0], len(texts)), END, "i8")
+        targets = np.full((lengths[0], len(texts)), -1, "i8")
         for i, ids in enumerate(texts):
-            targets[: len(ids), i] = ids
-            inputs[1 : len(ids), i] = ids[:-1]
+            targets[: lengths[i], i] = ids[1:]
+            inputs[: lengths[i], i] = ids[:-1]
         h = np.zeros((len(texts), HIDDEN), "f4")
-        for at in range(0, longest, WINDOW):
-            part = slice(at, at + WINDOW)
-            _, n, grads, h = window_gradients(self.params, inputs[part], targets[part], h)
+        for at in range(0, lengths[0], WINDOW):
+            active = int(np.searchsorted(-lengths, -at))
+            part = slice(at, at + WINDOW), slice(active)
+            _, n, grads, h = window_gradients(self.params, inputs[part], targets[part], h[:active])
             self.update(grads, n)
             self.tokens += n
 
@@ -298,28 +313,34 @@ def in_round(r: int, rounds: int) -> Column:
     return F.pmod(F.xxhash64("seed"), F.lit(rounds)) == r
 
 
+def cut(ids: np.ndarray) -> list[np.ndarray]:
+    """The consecutive stretches of a text's symbols, each after the symbol before it."""
+    ids = np.concatenate([[END], ids])
+    return [ids[at : at + STRETCH + 1] for at in range(0, len(ids) - 1, STRETCH)]
+
+
 def train_model(
     train: DataFrame, known: Known, counts: np.ndarray, replicas: int, rounds: int
 ) -> tuple[Params, int]:
     """``rounds`` rounds of replicas, averaged by the symbols they learned from, and the number of
-    symbols learned from in all rounds. At most ``replicas`` parameter sets (about 0.2 MB each)
+    symbols learned from in all rounds. At most ``replicas`` parameter sets (about 2.7 MB each)
     come to the driver at once."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(known)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, seeds = [], []
-            for text in batch.column(0):
-                hashes = word_hashes(text.as_py())
-                seed = int(xxh3_64_intdigest(hashes.tobytes()) >> 1)
-                places = max(1, len(hashes) + 2 - STRETCH)
-                ids = shared.value.symbol_ids(hashes)[seed % places :][:STRETCH]
-                out.append(ids.astype("<u2").tobytes())
-                seeds.append(seed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seeds, pa.int64()), pa.array(out, pa.binary())], ["seed", "ids"]
-            )
+            for at in range(0, batch.num_rows, 500):
+                out, seeds = [], []
+                for text in batch.column(0).slice(at, 500):
+                    hashes = word_hashes(text.as_py())
+                    seed = xxh3_64_intdigest(hashes.tobytes())
+                    for i, ids in enumerate(cut(shared.value.symbol_ids(hashes))):
+                        out.append(ids.astype("<u2").tobytes())
+                        seeds.append(xxh3_64_intdigest(i.to_bytes(8, "little"), seed) >> 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(seeds, pa.int64()), pa.array(out, pa.binary())], ["seed", "ids"]
+                )
 
     data = stored(train.select("text").mapInArrow(stretches, "seed long, ids binary"), "stretches")
     params, learned = first_params(counts), 0

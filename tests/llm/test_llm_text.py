@@ -220,6 +220,22 @@ def test_every_training_row_is_in_one_round(spark, rounds):
     assert learned == 80 * 3
 
 
+def test_every_word_is_learned_from(spark):
+    words = [0, 1, 3, 191, 192, 193, 400, 5000]
+    train = documents(spark, [" ".join(f"w{i % 50}" for i in range(n)) for n in words], "c int").select("text")
+    known = language_model.Known(np.empty(0, "i8"), np.empty(0, "i8"))
+    _, learned = language_model.train_model(train, known, np.ones(language_model.VOCABULARY + 2), 2, 2)
+    assert learned == sum(n + 1 for n in words)
+    ids = np.arange(1, 1001)
+    parts = language_model.cut(ids)
+    assert np.concatenate([p[1:] for p in parts]).tolist() == ids.tolist()
+    assert [p[0] for p in parts] == [language_model.END, *(p[-1] for p in parts[:-1])]
+
+
+def test_network_knows_most_tokens():
+    assert language_model.VOCABULARY > 16000 and language_model.VOCABULARY + 2 <= 1 << 16
+
+
 def test_state_is_carried_across_windows():
     rng = np.random.default_rng(2)
     params = language_model.first_params(np.ones(1024))
