@@ -59,3 +59,17 @@ def test_stages_take_odd_rows(spark):
             some = stage(spark, some, SF_DIR)
             assert some.columns == docs.columns
         assert corpus_pipeline.STAGES[-1][1](spark, some, SF_DIR).count() == some.count()
+
+
+def test_stage_finds_pairs_from_080_on(spark):
+    # Texts of 104 distinct words have 100 shingles; ends of n other words leave 100 - n in common.
+    rows, expected = [], []
+    for i, n in enumerate([9, 9, 10, 10, 11, 11, 12, 13]):
+        words = [f"w{i}x{k}" for k in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-n] + [f"v{i}x{k}" for k in range(n)]))]
+        expected += [2 * i] if (100 - n) / (100 + n) >= 0.8 else [2 * i, 2 * i + 1]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect())
+    assert kept == expected
+    at_85 = corpus_pipeline.near_dup.near_duplicates(docs)
+    assert at_85.filter("not kept").count() == 0
