@@ -16,9 +16,19 @@ from newsrate.session import scratch_dir
 #: of signature miss about 4 in ten million pairs.
 SIMILARITY_PERCENT, CHUNKS = 80, 24
 
+#: The key of a row of documents inside the pipeline: ids may be null or repeated.
+ROW = "_pipeline_row"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a unique ``ROW``, stored so that it stays the same; as they are if numbered."""
+    if ROW in docs.columns:
+        return docs
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. Its fit reads labelled documents of ``docs``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,27 +38,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: that with the smallest id."""
-    found = near_dup.near_duplicates(docs, percent=SIMILARITY_PERCENT, chunks=CHUNKS)
-    gone = found.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group: that with the smallest id, or any of them."""
+    rows = numbered(docs)
+    found = near_dup.near_duplicates(rows, ROW, percent=SIMILARITY_PERCENT, chunks=CHUNKS)
+    members = stored(
+        found.join(rows.select(ROW, "doc_id"), ROW).select(
+            "component_id", F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("_member")
+        ),
+        "members",
+    )
+    kept = members.groupBy("component_id").agg(F.min("_member").alias("_member"))
+    kept = kept.select(F.col(f"_member.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits = stored(decontaminate.leaks(docs, benchmark).select("doc_id").distinct(), "leaks")
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decontaminate.leaks(rows, benchmark, ROW).select(F.col("doc_id").alias(ROW))
+    hits = stored(found.distinct(), "leaks")
+    return rows.join(hits, ROW, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, once for each begun pass over them (twice at most)."""
-    taken = mixing.mix(docs).filter("taken > 0").select(
-        "doc_id", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")
+    """The rows that the mix takes, once for each begun pass over them (twice at most)."""
+    rows = numbered(docs)
+    times = mixing.mix(rows, row_col=ROW).filter("taken > 0").select(
+        ROW, F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times")
     )
-    times = taken.groupBy("doc_id").agg(F.max("_times").alias("_times"))
     copies = F.explode(F.sequence(F.lit(1), F.col("_times")))
-    return docs.join(times.withColumn("_copy", copies), "doc_id").select(*docs.columns)
+    return rows.join(times.withColumn("_copy", copies), ROW).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = numbered(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return STAGES[-1][1](spark, docs.drop(ROW), sf_dir)

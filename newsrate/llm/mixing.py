@@ -100,11 +100,14 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    row_col: str | None = None,
 ) -> DataFrame:
     """(id, size, source_size, target, taken), one row per input row. ``taken`` counts the words
     of the document in the mix, repeats included, ``cap`` times its size at most. Null texts have
     no words; a null source is a source; null ids and repeated rows are documents of their own,
-    ordered by their hash, size and a hash of the text. The same rows give the same result."""
+    ordered by their hash, size and a hash of the text. The same rows give the same result.
+    ``row_col``, a unique key of the rows, is returned too."""
+    row = [] if row_col is None else [row_col]
     text, key = F.col(text_col), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     sized = stored(
         docs.select(
@@ -113,6 +116,7 @@ def mix(
             word_count(text).alias("size"),
             F.md5(F.concat_ws(":", F.lit(str(seed)), key)).alias("place"),
             F.xxhash64(text).alias("tie"),
+            *row,
         ),
         "mix-sizes",
     )
@@ -136,7 +140,7 @@ def mix(
     )
     inside = (
         Window.partitionBy("key", "group")
-        .orderBy("place", "doc_id", "size", "tie")
+        .orderBy("place", "doc_id", "size", "tie", *row)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     placed = rows.withColumn("_end", F.sum("size").over(inside)).join(starts, ["key", "group"])
@@ -153,5 +157,5 @@ def mix(
         taken = taken + c
     return placed.select(
         F.col("doc_id").alias(id_col), "size", "source_size", "target",
-        taken.cast("long").alias("taken"),
+        taken.cast("long").alias("taken"), *row,
     )

@@ -73,3 +73,27 @@ def test_stage_finds_pairs_from_080_on(spark):
     assert kept == expected
     at_85 = corpus_pipeline.near_dup.near_duplicates(docs)
     assert at_85.filter("not kept").count() == 0
+
+
+def test_stages_keep_rows_with_null_and_repeated_ids(spark):
+    benchmark = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").filter("length(text) > 0").first().text
+    text = lambda k, n=40: " ".join(f"{k}w{i}" for i in range(n))
+    schema = "doc_id long, text string, source string"
+
+    def kept(stage, rows):
+        return sorted((tuple(r) for r in stage(spark, spark.createDataFrame(rows, schema), SF_DIR).collect()), key=str)
+
+    # Two texts under id 5, of which one is a copy; a copy without an id; one row three times.
+    rows = [(1, text("a"), "x"), (5, text("a"), "x"), (5, text("b"), "x"), (None, text("b"), "x"), (None, text("c"), "x")]
+    rows += [(7, text("d"), "x")] * 3 + [(None, None, None), (None, "", None)]
+    clean = [rows[0], rows[2], rows[4], rows[5], rows[8], rows[9]]
+    assert kept(corpus_pipeline.drop_near_duplicates, rows) == sorted(clean, key=str)
+
+    leaky = [(None, f"{text('e')} {benchmark} {text('f')}", "x"), (3, f"{benchmark} {text('g')}", "x")]
+    clean = [(None, text("h"), "x"), (3, text("i"), "x"), (3, text("i"), "x"), (None, None, None)]
+    assert kept(corpus_pipeline.drop_leaks, leaky + clean) == sorted(clean, key=str)
+
+    # One source gives 1.5 times its words: each row once or twice, half of them twice.
+    rows = [(None, text(f"j{i}", 32), "x") for i in range(20)] + [(9, text(f"k{i}", 32), "x") for i in range(20)]
+    mixed = kept(corpus_pipeline.mix_sources, rows)
+    assert set(mixed) == set(rows) and len(mixed) == 60
