@@ -12,6 +12,7 @@ from newsrate.llm import (
     mixing,
     near_dup,
     quality,
+    resampling,
     token_counts,
     toxicity,
     warc,
@@ -74,6 +75,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_token_counts": op2_token_counts,
@@ -85,4 +92,5 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op13_resampling": op13_resampling,
 }
