@@ -11,6 +11,7 @@ from newsrate.llm import (
     licenses,
     mixing,
     near_dup,
+    neighbours,
     quality,
     resampling,
     token_counts,
@@ -75,6 +76,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbour_quality(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -92,5 +99,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op12_quality_neighbours": op12_quality_neighbours,
     "op13_resampling": op13_resampling,
 }
