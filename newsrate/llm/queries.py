@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from newsrate.llm import (
+    collocations,
     decontaminate,
     language_model,
     licenses,
@@ -76,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbour_quality(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_licenses": op9_licenses,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_quality_neighbours": op12_quality_neighbours,
     "op13_resampling": op13_resampling,
 }
