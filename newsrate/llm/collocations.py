@@ -1,7 +1,7 @@
 """Phrase collocations by vertical partitioning of a word-level suffix tree.
 
 Every occurrence of a frequent word starts a suffix, cut after ``LONGEST`` words, at the end of its
-piece, and before a word that is too rare to stand in a phrase. Prefixes of words are counted first:
+piece, and before a word or a pair of words that is too rare to stand in a phrase. Prefixes of words are counted first:
 while a prefix has more occurrences than a task should get, it is extended by a word and its
 extensions are counted. The prefixes left over are packed into groups of at most that many
 occurrences. Each group is one partition: its suffixes are sorted, so the leaves of the subtrees come in
@@ -11,9 +11,10 @@ path to the current leaf is held, whatever the size of a subtree.
 A phrase's cuts are looked up among the counted nodes; what lies inside a longer phrase as frequent is
 dropped; the best of each language are ranked, first in parts, then together.
 
-What is broadcast has a fixed bound: a bitmap of the frequent words' hashes (``FILTER_BITS``; a word
-that is let through wrongly only adds rows, its count decides), the prefixes over the budget (at most
-``MOST_HEAVY``, since a budget grows with the corpus), and the group of each of ``BINS`` prefix bins.
+What is broadcast has a fixed bound: bitmaps of the frequent words' and pairs' hashes (``FILTER_BITS``
+each; what is let through wrongly only adds rows, its count decides), the prefixes over the budget (at
+most ``MOST_HEAVY`` of a length, since the budget grows with the corpus), and the group of each of
+``BINS`` prefix bins.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from newsrate.llm.common import stored
+from newsrate.llm.common import discard, stored
 from newsrate.operators.lookup import unique_side_join
 
 LONGEST = 5
@@ -42,7 +43,9 @@ SCALE = 1000
 BUDGET, MOST_HEAVY = 2_000_000, 100_000
 BINS = 1 << 14
 FILTER_BITS = 1 << 29
-CHUNK_WORDS = 1 << 20
+#: Bits of the pairs' bitmap that one task adds up.
+BLOCK_BITS = 1 << 22
+CHUNK_WORDS = 1 << 21
 #: Candidates ranked together in the first round.
 RANKED_ROWS = 100_000
 MISSING_LANG = "und"
@@ -147,35 +150,58 @@ class Plan:
     """How suffixes are cut and where they go."""
 
     longest: int
-    filter: np.ndarray
+    #: Bitmaps by hash; the second is empty until the pairs are counted.
+    words: np.ndarray
+    pairs: np.ndarray
     #: Prefixes over the budget, as (lang, words joined).
     heavy: set[tuple[str, bytes]]
     #: The group of each bin of prefixes.
     groups: np.ndarray
 
 
-def suffixes(c: Chunk, plan: Plan) -> tuple[list[np.ndarray], np.ndarray]:
-    """(codes of the first, second, ... word, number) of the distinct suffixes of a chunk; the code
-    is -1 after a suffix's end."""
-    seed = zlib.crc32(c.lang.encode() + JOIN)
-    hashes = np.fromiter(map(partial(_crc, seed), c.words.to_pylist()), "u4", len(c.words))
-    place = hashes % np.uint32(len(plan.filter) * 8)
-    known = (plan.filter[place >> 3] >> (place & 7).astype("u1") & 1).astype(bool)
+def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return (bits[place >> 3] >> (place & 7).astype("u1") & 1).astype(bool)
+
+
+def pair_places(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
+    """The places of pairs of words, given by their hashes, among ``bits`` (a power of two)."""
+    both = first.astype("u8") << np.uint64(32) | second.astype("u8")
+    both = (both ^ both >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return (both >> np.uint64(65 - bits.bit_length())).astype("i8")
+
+
+def suffixes(c: Chunk, plan: Plan, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(codes of the first, second, ... word, number) of the distinct suffixes of a chunk, cut after
+    ``longest`` words; the code is -1 after a suffix's end."""
+    hashes = word_hashes(c)
+    known = _has(plan.words, hashes % np.uint32(len(plan.words) * 8))
     known[c.end] = False
     alive = known[c.codes]
+    linked = alive[:-1] & alive[1:]
+    if len(plan.pairs):
+        at = np.flatnonzero(linked)
+        found = hashes[c.codes]
+        places = pair_places(found[at], found[at + 1], len(plan.pairs) * 8)
+        linked[at] = _has(plan.pairs, places)
+    linked = np.append(linked, np.zeros(longest, bool))
+    codes = np.append(c.codes, np.zeros(longest, "i4"))
     starts = np.flatnonzero(alive)
-    columns, alive = [c.codes[starts]], np.append(alive, False)
+    columns = [codes[starts]]
     running = np.ones(len(starts), bool)
-    for i in range(1, plan.longest):
-        at = np.minimum(starts + i, len(alive) - 1)
-        running = running & alive[at]
-        columns.append(np.where(running, c.codes[np.minimum(at, len(c.codes) - 1)], -1).astype("i4"))
-    names = [f"w{i}" for i in range(plan.longest)]
+    for i in range(1, longest):
+        running &= linked[starts + i - 1]
+        columns.append(np.where(running, codes[starts + i], -1).astype("i4"))
+    names = [f"w{i}" for i in range(longest)]
     grouped = pa.table([pa.array(col) for col in columns], names).group_by(names, use_threads=False)
     found = grouped.aggregate([([], "count_all")])
     return [found[n].to_numpy() for n in names], found["count_all"].to_numpy()
 
 
+def word_hashes(c: Chunk) -> np.ndarray:
+    hashed = partial(_crc, zlib.crc32(c.lang.encode() + JOIN))
+    return np.fromiter(map(hashed, c.words.to_pylist()), "u4", len(c.words))
+
+
 def _crc(seed: int, word: bytes) -> int:
     return zlib.crc32(word, seed)
 
@@ -193,7 +219,8 @@ def cut_prefixes(
     """For each length from 1 on, (rows, prefixes, extended): the first words of the rows whose
     shorter prefixes are all over the budget, and which of them are extended further."""
     rows = np.arange(len(columns[0]))
-    for n in range(1, plan.longest + 1):
+    longest = len(columns)
+    for n in range(1, longest + 1):
         if not len(rows):
             return
         if n == 1:
@@ -204,12 +231,26 @@ def cut_prefixes(
         else:
             prefixes = joined(c.words, [col[rows] for col in columns[:n]])
             over = np.array([(c.lang, w) in plan.heavy for w in prefixes.to_pylist()], bool)
-        longer = columns[n][rows] >= 0 if n < plan.longest else np.zeros(len(rows), bool)
+        longer = columns[n][rows] >= 0 if n < longest else np.zeros(len(rows), bool)
         over = over & longer
         yield rows, prefixes, over
         rows = rows[over]
 
 
+def _extended(c: Chunk, columns: list, n: np.ndarray, plan: Plan, length: int) -> pa.Table:
+    """(lang, prefix, n) of the prefixes of ``length`` words in a chunk that extend heavy ones."""
+    prefixes, counts = pa.array([], pa.binary()), n[:0]
+    for step, (rows, found, _) in enumerate(cut_prefixes(c, columns, plan), 1):
+        if step == length:
+            prefixes, counts = found, n[rows]
+    table = pa.table([prefixes, pa.array(counts, pa.int64())], ["prefix", "n"])
+    table = table.group_by("prefix").aggregate([("n", "sum")])
+    return pa.table(
+        [pa.array([c.lang] * len(table), pa.string()), table["prefix"].cast(pa.string()), table["n_sum"]],
+        ["lang", "prefix", "n"],
+    )
+
+
 def extension_counts(texts: DataFrame, plan: Plan, length: int) -> DataFrame:
     """(lang, prefix, n) of the prefixes of ``length`` words that extend heavy ones."""
     shared = texts.sparkSession.sparkContext.broadcast(plan)
@@ -217,24 +258,78 @@ def extension_counts(texts: DataFrame, plan: Plan, length: int) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for c in chunks(batches):
-            columns, n = suffixes(c, plan)
-            for step, (rows, prefixes, _) in enumerate(cut_prefixes(c, columns, plan), 1):
-                if step == length:
-                    table = pa.table([prefixes, pa.array(n[rows])], ["prefix", "n"])
-                    table = table.group_by("prefix").aggregate([("n", "sum")])
-                    yield from pa.table(
-                        [
-                            pa.array([c.lang] * len(table)),
-                            table["prefix"].cast(pa.string()),
-                            table["n_sum"],
-                        ],
-                        ["lang", "prefix", "n"],
-                    ).to_batches()
+            columns, n = suffixes(c, plan, length)
+            yield from _extended(c, columns, n, plan, length).to_batches()
 
     found = texts.mapInArrow(counts, "lang string, prefix string, n long")
     return found.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(texts: DataFrame, plan: Plan, least: int, bits: int) -> DataFrame:
+    """One pass over the pairs of frequent words, stored. Rows with a ``block`` hold the places and
+    numbers of a chunk's pairs in that part of the bitmap, a number above ``least`` as ``least``; rows
+    without one are (lang, prefix, n) of the pairs that extend heavy words."""
+    shared = texts.sparkSession.sparkContext.broadcast(plan)
+    block_bits, kind = min(bits, BLOCK_BITS), np.min_scalar_type(least)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = shared.value
+        for c in chunks(batches):
+            columns, n = suffixes(c, plan, 2)
+            whole = columns[1] >= 0
+            hashes = word_hashes(c)
+            places = pair_places(hashes[columns[0][whole]], hashes[columns[1][whole]], bits)
+            order = np.argsort(places, kind="stable")
+            places = places[order]
+            starts = np.flatnonzero(np.diff(places, prepend=-1))
+            sums = np.add.reduceat(n[whole][order], starts) if len(starts) else np.zeros(0, "i8")
+            places, sums = places[starts], np.minimum(sums, least).astype(kind)
+            blocks = np.unique(places // block_bits)
+            ends = np.searchsorted(places, (blocks + 1) * block_bits)
+            parts = list(zip(np.append(0, ends[:-1])[: len(ends)].tolist(), ends.tolist()))
+            local = (places % block_bits).astype("u4")
+            extended = _extended(c, columns, n, plan, 2)
+            none = len(extended)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(extended["lang"].to_pylist() + [None] * len(blocks), pa.string()),
+                    pa.array(extended["prefix"].to_pylist() + [None] * len(blocks), pa.string()),
+                    pa.array(extended["n"].to_pylist() + [None] * len(blocks), pa.int64()),
+                    pa.array([None] * none + blocks.tolist(), pa.int32()),
+                    pa.array([None] * none + [local[a:b].tobytes() for a, b in parts], pa.binary()),
+                    pa.array([None] * none + [sums[a:b].tobytes() for a, b in parts], pa.binary()),
+                ],
+                ["lang", "prefix", "n", "block", "places", "counts"],
+            )
+
+    kinds = "lang string, prefix string, n long, block int, places binary, counts binary"
+    return stored(texts.mapInArrow(counts, kinds), "pairs")
+
+
+def pair_filter(pairs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bits of the pairs counted ``least`` times or more. A task adds up one block."""
+    block_bits, kind = min(bits, BLOCK_BITS), np.min_scalar_type(least)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, places, counts in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                total = totals.setdefault(block, np.zeros(block_bits, "u4"))
+                total[np.frombuffer(places.as_buffer(), "u4")] += np.frombuffer(counts.as_buffer(), kind)
+        bitmaps = [np.packbits(t >= least, bitorder="little").tobytes() for t in totals.values()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.int32()), pa.array(bitmaps, pa.binary())], ["block", "bits"]
+        )
+
+    rows = pairs.filter(F.col("block").isNotNull()).select("block", "places", "counts")
+    rows = rows.repartitionById(bits // block_bits, F.col("block"))
+    out = np.zeros(bits // 8, "u1")
+    for r in rows.mapInArrow(merged, "block int, bits binary").collect():  # bits / 8 bytes
+        start = r.block * (block_bits // 8)
+        out[start : start + block_bits // 8] = np.frombuffer(bytes(r.bits), "u1")
+    return out
+
+
 def pack(loads: np.ndarray, budget: int) -> np.ndarray:
     """Bins of prefixes into groups, largest first, each into the group with the smallest load. There
     are as many groups as the total needs."""
@@ -249,9 +344,11 @@ def pack(loads: np.ndarray, budget: int) -> np.ndarray:
 def partition_prefixes(
     texts: DataFrame, words: DataFrame, total: int, longest: int, least: int, budget: int
 ) -> Plan:
-    """The plan: prefixes over the budget are extended until none is, or they are whole suffixes."""
+    """The plan: prefixes over the budget are extended until none is, or they are whole suffixes. The
+    pass that counts all pairs also counts those that extend words."""
     budget = max(budget, -(-total // MOST_HEAVY))
-    plan = Plan(longest, word_filter(words), set(), np.zeros(BINS, "i4"))
+    bits = min(FILTER_BITS, max(1 << 15, 1 << int(total).bit_length()))
+    plan = Plan(longest, word_filter(words), np.zeros(0, "u1"), set(), np.zeros(BINS, "i4"))
     loads = np.zeros(BINS, "i8")
     counted = words
     for length in range(1, longest + 1):
@@ -261,11 +358,19 @@ def partition_prefixes(
         place = F.pmod(native_hash(F.col("lang"), F.col("prefix")), F.lit(BINS))
         for r in light.groupBy(place.alias("bin")).agg(F.sum("n").alias("n")).collect():
             loads[r.bin] += r.n
+        plan.heavy |= {(r.lang, r.prefix.encode()) for r in heavy}
+        if length == 1 and longest > 1:
+            pairs = pair_counts(texts, plan, least, bits)
+            plan.pairs = pair_filter(pairs, least, bits)
+            counted = pairs.filter(F.col("block").isNull()).groupBy("lang", "prefix")
+            counted = counted.agg(F.sum("n").alias("n"))
+        elif heavy:
+            counted = extension_counts(texts, plan, length + 1)
         if not heavy:
             break
-        plan.heavy |= {(r.lang, r.prefix.encode()) for r in heavy}
-        counted = stored(extension_counts(texts, plan, length + 1), "prefixes")
-        counted = counted.filter(F.col("n") >= least)
+        counted = stored(counted.filter(F.col("n") >= least), "prefixes")
+    if longest > 1:
+        discard(pairs)
     plan.groups = pack(loads, budget)
     return plan
 
@@ -277,13 +382,12 @@ def grouped_suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for c in chunks(batches):
-            columns, n = suffixes(c, plan)
+            columns, n = suffixes(c, plan, plan.longest)
             part = np.zeros(len(n), "i4")
             hashed = partial(_crc, zlib.crc32(c.lang.encode() + JOIN))
             for step, (at, prefixes, over) in enumerate(cut_prefixes(c, columns, plan), 1):
                 if step == 1:
-                    table = np.fromiter(map(hashed, c.words.to_pylist()), "u4", len(c.words))
-                    place = table[columns[0]]
+                    place = word_hashes(c)[columns[0]]
                 else:
                     place = np.fromiter(map(hashed, prefixes.to_pylist()), "u4", len(at))
                 part[at] = plan.groups[place % np.uint32(BINS)]

@@ -10,7 +10,7 @@ from newsrate.session import write_table
 #: A word as the contracts define it, for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "BoundedCache", "crc_fold", "stored", "word_list", "words_of"]
+__all__ = ["WORD", "BoundedCache", "crc_fold", "discard", "stored", "word_list", "words_of"]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -36,6 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return write_table(df, f"llm-{name}")
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a frame that ``stored`` returned. Nothing that still reads it may run
+    later."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class BoundedCache(dict):
     """A dict that computes missing values and holds 2 * ``limit`` of them at most. When the
     newer ``limit`` are full they become the older ones, and the older are dropped unless they

@@ -81,6 +81,7 @@ def test_equals_restatement(spark, monkeypatch, seed, longest, least, percent, t
     monkeypatch.setattr(col, "CHUNK_WORDS", chunk)
     monkeypatch.setattr(col, "RANKED_ROWS", 20)
     monkeypatch.setattr(col, "MOST_HEAVY", 10_000)
+    monkeypatch.setattr(col, "BLOCK_BITS", 1 << 13)
     docs = corpus(seed)
     got = col.collocations(frame(spark, docs), longest, least, percent, top, budget)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
