@@ -39,8 +39,8 @@ LEAST_COUNT = 100
 COVERED_PERCENT = 100
 TOP = 2000
 SCALE = 1000
-#: Suffixes in one group, and prefixes over that at most.
-BUDGET, MOST_HEAVY = 2_000_000, 100_000
+#: Suffixes in one group, groups at least, and prefixes over the budget at most.
+BUDGET, LEAST_GROUPS, MOST_HEAVY = 2_000_000, 64, 100_000
 BINS = 1 << 14
 FILTER_BITS = 1 << 29
 #: Bits of the pairs' bitmap that one task adds up.
@@ -346,7 +346,7 @@ def partition_prefixes(
 ) -> Plan:
     """The plan: prefixes over the budget are extended until none is, or they are whole suffixes. The
     pass that counts all pairs also counts those that extend words."""
-    budget = max(budget, -(-total // MOST_HEAVY))
+    budget = max(1, min(budget, total // LEAST_GROUPS), -(-total // MOST_HEAVY))
     bits = min(FILTER_BITS, max(1 << 15, 1 << int(total).bit_length()))
     plan = Plan(longest, word_filter(words), np.zeros(0, "u1"), set(), np.zeros(BINS, "i4"))
     loads = np.zeros(BINS, "i8")
