@@ -33,7 +33,7 @@ NEIGHBOURS, SHARPNESS = 25, 4
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
 CACHED_WORDS = 200_000
-BLOCK_ROWS = 512
+BLOCK_ROWS, BLOCK_CHARS = 512, 1 << 22
 
 #: What a byte is in a word's form; bytes of other scripts' letters count as small letters.
 _FORM = bytes(
@@ -76,18 +76,19 @@ def term_counts(text: str | None, terms_of=word_terms) -> dict[bytes, int]:
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """(text, label) of at most ``max_rows`` labelled rows outside the held-out fold, stored. Rows
-    are taken in the order of a hash of id, text and label; equal rows count once."""
+    are taken in the order of a hash of id, text and label; equal rows count once. Only keys are
+    shuffled: the keys taken, at most ``max_rows``, are then broadcast to the texts."""
     known = labels.filter(
         F.col("quality").isNotNull()
         & F.col("doc_id").isNotNull()
         & (crc_fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     ).select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
-    place = F.xxhash64("doc_id", "label", "text").alias("place")
-    joined = docs.select("doc_id", "text").join(known, "doc_id").select("text", "label", place)
-    taken = joined.select("place").distinct().orderBy("place").limit(max_rows)
-    last = taken.agg(F.max("place")).first()[0]
-    near = joined.filter(F.col("place") <= F.lit(last)) if last is not None else joined.limit(0)
-    rows = near.groupBy("place").agg(F.first("text").alias("text"), F.first("label").alias("label"))
+    content = F.xxhash64("text").alias("content")
+    keys = docs.select("doc_id", content).join(known, "doc_id").distinct()
+    place = F.xxhash64("doc_id", "label", "content")
+    taken = stored(keys.orderBy(place, "doc_id", "label", "content").limit(max_rows), "taken")
+    texts = docs.select("doc_id", "text", content).join(F.broadcast(taken), ["doc_id", "content"])
+    rows = texts.groupBy("doc_id", "content", "label").agg(F.first("text").alias("text"))
     return stored(rows.select("text", "label"), "labelled")
 
 
@@ -119,16 +120,51 @@ def _known_terms(places: dict[bytes, int]) -> BoundedCache:
     return BoundedCache(known, CACHED_WORDS)
 
 
-def sparse_counts(
-    text: str | None, places: dict[bytes, int], cache: BoundedCache
-) -> tuple[np.ndarray, np.ndarray]:
-    """(places, counts) of the known terms of a text."""
-    found = term_counts(text, cache.__getitem__)
-    for term in (t for terms in SHARE_TERMS.values() for t in terms):
-        if n := found.pop(term, 0):
+def text_blocks(texts: list) -> Iterator[list]:
+    """``texts`` in blocks of at most ``BLOCK_ROWS`` and about ``BLOCK_CHARS``."""
+    block: list = []
+    chars = 0
+    for text in texts:
+        block.append(text)
+        chars += len(text or "")
+        if len(block) == BLOCK_ROWS or chars >= BLOCK_CHARS:
+            yield block
+            block, chars = [], 0
+    if block:
+        yield block
+
+
+def block_counts(texts: list, places: dict[bytes, int], cache: BoundedCache) -> np.ndarray:
+    """The numbers of all known terms (columns) in a block of texts: ``term_counts`` of each, with
+    every distinct word of the block looked up once."""
+    words: list[bytes] = []
+    sizes = []
+    out = np.zeros((len(texts), len(places)), "i4")
+    again = np.zeros((len(texts), 2))
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        found = raw.split()
+        words += found
+        sizes.append(len(found))
+        lines = [line for line in raw.split(b"\n") if line.strip()]
+        again[i, 1] = (len(lines) - len(set(lines))) / max(1, len(lines))
+    if not words:
+        return out
+    coded = pa.array(words, pa.binary()).dictionary_encode()
+    codes, row = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), sizes)
+    terms = [cache[w] for w in coded.dictionary.to_pylist()]
+    flat = out.reshape(-1)
+    for i in range(2):
+        place = np.array([t[i] if len(t) > i else -1 for t in terms], "i8")[codes]
+        at = place >= 0
+        flat += np.bincount(row[at] * len(places) + place[at], minlength=len(flat)).astype("i4")
+    same = (codes[1:] == codes[:-1]) & (row[1:] == row[:-1])
+    again[:, 0] = np.bincount(row[1:][same], minlength=len(texts)) / np.maximum(1, sizes)
+    for kind, names in enumerate(SHARE_TERMS.values()):
+        for term, level in zip(names, SHARES):
             if term in places:
-                found[places[term]] = n
-    return np.fromiter(found, "i4", len(found)), np.fromiter(found.values(), "i8", len(found))
+                out[:, places[term]] = again[:, kind] >= level
+    return out
 
 
 def document_frequencies(docs: DataFrame, places: dict[bytes, int]) -> tuple[np.ndarray, int]:
@@ -139,8 +175,8 @@ def document_frequencies(docs: DataFrame, places: dict[bytes, int]) -> tuple[np.
         cache = _known_terms(shared.value)
         n = np.zeros(len(shared.value) + 1, "i8")
         for batch in batches:
-            for text in batch.column(0):
-                n[sparse_counts(text.as_py(), shared.value, cache)[0]] += 1
+            for texts in text_blocks(batch.column(0).to_pylist()):
+                n[:-1] += np.count_nonzero(block_counts(texts, shared.value, cache), axis=0)
             n[-1] += batch.num_rows
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
@@ -216,7 +252,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Space:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _known_terms(shared.value)
         for batch in batches:
-            found = [sparse_counts(t.as_py(), shared.value, cache) for t in batch.column(0)]
+            found = [
+                (np.flatnonzero(row).astype("i4"), row[row > 0].astype("i8"))
+                for texts in text_blocks(batch.column(0).to_pylist())
+                for row in block_counts(texts, shared.value, cache)
+            ]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(1),
@@ -248,13 +288,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Space:
     )
 
 
-def votes(space: Space, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def votes(space: Space, counts: np.ndarray) -> np.ndarray:
     """Scores of a block of texts: the labels of the nearest labelled vectors, weighted by the
-    similarity. Exact: the product with all labelled vectors is formed."""
-    near = _unit(_dense(rows, space.weight) @ space.project) @ space.vectors.T
+    similarity. Exact: the product with all labelled vectors is formed. A text's length needs no
+    norm before its projection has one."""
+    weighted = np.log1p(counts, dtype="f4") * space.weight.astype("f4")
+    near = _unit(weighted @ space.project) @ space.vectors.T
     k = min(NEIGHBOURS, near.shape[1])
     if not k:
-        return np.full(len(rows), space.rate)
+        return np.full(len(counts), space.rate)
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
     power = np.maximum(np.take_along_axis(near, at, 1).astype("f8"), 0.0) ** SHARPNESS
     total = power.sum(1)
@@ -272,8 +314,8 @@ def scorer(docs: DataFrame, space: Space):
         cache = _known_terms(space.places)
         for texts in batches:
             parts = [
-                votes(space, [sparse_counts(t, space.places, cache) for t in block])
-                for block in _blocks(texts.tolist())
+                votes(space, block_counts(block, space.places, cache))
+                for block in text_blocks(texts.tolist())
             ]
             yield pd.Series(np.concatenate([*parts, np.zeros(0)]))
 
