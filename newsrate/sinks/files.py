@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from newsrate.functions.text import to_line
 from newsrate.schemas import TIME_FORMAT
 
-# Keeps a multi-line CSV file, which is read as one split, to a moderate size.
+# Keeps files to a moderate size for readers that take one with line breaks as one split.
 ROWS_PER_FILE = 1_000_000
 
 

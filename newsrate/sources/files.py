@@ -9,6 +9,10 @@ from pyspark.sql import types as T
 from newsrate.functions.binding import bind
 from newsrate.functions.text import split_fields, trunc_int
 from newsrate.schemas import MARKED_COLUMNS, NEWS, TIME_FORMAT
+from newsrate.sources.records import csv_records
+
+
+_CSV = {"header": "false", "quote": '"', "escape": '"', "timestampFormat": TIME_FORMAT}
 
 
 def read_news_csv(
@@ -17,22 +21,17 @@ def read_news_csv(
     """(news, bad records) of header-less eight-column CSV. A record with another number of
     fields, or with a field that its type can not hold, is bad: (value, status), never shifted.
 
-    Quoted fields may span lines, which makes a file one split: ``append_csv`` bounds its files
-    for this reason. Pass ``multi_line=False`` for files without line breaks in fields, so that
-    large ones are split."""
-    read = (
-        spark.read.schema(T.StructType([*NEWS.fields, T.StructField("_record", T.StringType())]))
-        .option("columnNameOfCorruptRecord", "_record")
-        .option("columnPruning", False)
-        .option("header", False)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("timestampFormat", TIME_FORMAT)
-        .csv(path)
-    )
-    # Always true. A field that a query does not need is not parsed, and its fault not found.
-    read = read.filter(F.abs(F.hash(*NEWS.fieldNames()).cast("bigint")) >= 0)
+    Quoted fields may span lines; a large file is read by many tasks all the same. Pass
+    ``multi_line=False`` for files without line breaks in fields, which are then scanned once."""
+    schema = T.StructType([*NEWS.fields, T.StructField("_record", T.StringType())])
+    options = {**_CSV, "columnNameOfCorruptRecord": "_record"}
+    if multi_line:
+        row = F.from_csv("value", schema.toDDL(), options)
+        read = bind(csv_records(spark, path), _row=row).select("_row.*")
+    else:
+        read = spark.read.schema(schema).options(**options).option("columnPruning", False).csv(path)
+        # Always true. A field that a query does not need is not parsed, and its fault not found.
+        read = read.filter(F.abs(F.hash(*NEWS.fieldNames()).cast("bigint")) >= 0)
     record = F.col("_record")
     good = read.filter(record.isNull()).drop("_record")
     bad = read.filter(record.isNotNull()).select(
