@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsrate.functions.binding import let
+from newsrate.functions.keywords import PATTERN_WORDS, first_listed, listed_pair
 from newsrate.lexicon import DEFAULT_LEXICON
 from newsrate.schemas import TIME_FORMAT
 
@@ -43,7 +44,10 @@ def whole_word_pattern(words) -> str:
 
 
 def first_keyword(col: Column, words=tuple(DEFAULT_LEXICON)) -> Column:
-    """Leftmost whole-word, case-insensitive hit of any word, else ``''``."""
+    """Leftmost whole-word, case-insensitive hit of any word, else ``''``. Long lists go through an
+    automaton."""
+    if len(words) > PATTERN_WORDS:
+        return first_listed(col, words)
     return F.regexp_extract(col, whole_word_pattern(words), 1)
 
 
@@ -58,6 +62,8 @@ def keyword_to_pair(col: Column, lexicon: dict[str, str] = DEFAULT_LEXICON) -> C
 
 def text_pair(col: Column, lexicon: dict[str, str] = DEFAULT_LEXICON) -> Column:
     """Pair of the first keyword: ``''`` without a keyword, NULL when the hit has no pair."""
+    if len(lexicon) > PATTERN_WORDS:
+        return listed_pair(col, lexicon)
     return keyword_to_pair(first_keyword(col, tuple(lexicon)), {"": "", **lexicon})
 
 
@@ -73,6 +79,9 @@ def trade_pair(
     """
     if mode == "compat":
         return F.coalesce(text_pair(title, lexicon), text_pair(description, lexicon), F.lit(""))
+    if len(lexicon) > PATTERN_WORDS:
+        found = [F.nullif(text_pair(c, lexicon), F.lit("")) for c in (title, description)]
+        return F.coalesce(*found, F.lit(""))
     words_ = tuple(lexicon)
     return F.coalesce(
         keyword_to_pair(first_keyword(title, words_), lexicon),
@@ -90,6 +99,8 @@ def keyword_match(col: Column, terms, mode: str = "intended") -> Column:
     text that has at least one word character."""
     if mode == "compat" and "" in terms:
         return col.rlike(WORD)
+    if len(terms) > PATTERN_WORDS:
+        return first_listed(col, terms) != ""
     return col.rlike(whole_word_pattern(terms))
 
 

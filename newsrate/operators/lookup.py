@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
+from newsrate.functions.keywords import folded, listed_pair
 from newsrate.functions.text import words
 
 # A broadcast lexicon or hot-key list stays below some tens of MB: by rows and by bytes.
@@ -64,14 +66,31 @@ def lexicon_join(
 def lexicon_pairs(
     df: DataFrame, text_col: str, lexicon: DataFrame, key: str = "id", limit: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """(key, pair) of the leftmost lexicon word of each text, for lexicons too large for one
-    pattern. Single-word keywords only; texts without a hit give no row, rows of one key each
-    their own."""
+    """(key, pair) of the leftmost hit of a lexicon table in each text: what ``text_pair`` finds, with
+    a NULL pair for a hit that has none. Texts without a hit give no row, rows of one key each
+    their own.
+
+    Up to ``limit`` rows (and the size of a broadcast) the lexicon is matched by an automaton; of equal
+    starts the smallest ``ord`` wins, if there is such a column. Beyond, words are joined, and the
+    keywords must be single words."""
+    if is_small(lexicon, limit):
+        order = "ord" if "ord" in lexicon.columns else "keyword"
+        rows = lexicon.select("keyword", "pair", order).orderBy(order).collect()
+        pair = listed_pair(F.col(text_col), {r.keyword: r.pair for r in rows if r.keyword})
+        return bind(df.select(key, text_col), pair=pair).select(key, "pair").filter(
+            F.col("pair").isNull() & F.col(text_col).isNotNull() | (F.col("pair") != "")
+        )
     numbered = df.select(key, text_col, F.monotonically_increasing_id().alias("_row"))
-    found = F.posexplode(F.array_distinct(words(F.col(text_col)))).alias("_pos", "_kw")
-    side = lexicon.select(F.col("keyword").alias("_kw"), "pair")
-    hits = unique_side_join(numbered.select(key, "_row", found), side, ["_kw"], "inner", limit)
-    return hits.groupBy("_row", key).agg(F.min_by("pair", "_pos").alias("pair")).drop("_row")
+    words_ = F.transform(words(F.col(text_col)), lambda w: F.struct(w.alias("word"), folded(w).alias("_kw")))
+    found = numbered.select(key, "_row", F.posexplode(F.array_distinct(words_)).alias("_pos", "_word"))
+    found = found.select(key, "_row", "_pos", "_word.word", "_word._kw")
+    own = F.struct(F.col("keyword").alias("_own"), "pair")
+    side = lexicon.groupBy(folded(F.col("keyword")).alias("_kw")).agg(F.max(own).alias("_entry"))
+    side = side.select("_kw", "_entry.*")
+    hits = unique_side_join(found, side, ["_kw"], "inner", limit)
+    own = F.struct(F.when(F.col("word") == F.col("_own"), F.col("pair")).alias("pair"))
+    first = hits.groupBy("_row", key).agg(F.min_by(own, "_pos").alias("_hit"))
+    return first.select(key, "_hit.pair")
 
 
 def not_in_target(new: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:

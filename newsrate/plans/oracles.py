@@ -21,6 +21,14 @@ def _keyword(col: str) -> str:
     return f"regexp_extract({col}, '{_words(views.STAND_IN)}', 2)"
 
 
+def _listed(col: str) -> str:
+    return f"regexp_extract({col}, '{_words(views.LONG_LIST)}', 2)"
+
+
+def _listed_pair(col: str) -> str:
+    return f"nullif(upper(replace({_listed(col)}, ' ', '-')) || '/USDT', '/USDT')"
+
+
 def _pair(col: str) -> str:
     return f"(CASE WHEN {_keyword(col)} <> '' THEN upper({_keyword(col)}) || '/USDT' END)"
 
@@ -240,6 +248,9 @@ ORACLES: dict[str, str] = {
         {_pair('description')} AS pair, {_pair('description')} AS mapped FROM news""",
     "lexicon_pairs": f"""WITH {NEWS} SELECT id, {_pair('description')} AS pair FROM news
         WHERE {_keyword('description')} <> ''""",
+    "keyword_list": f"""WITH {NEWS} SELECT id, {_listed('description')} AS keyword,
+        coalesce({_listed_pair('title')}, {_listed_pair('description')}, '') AS tp,
+        {_listed('title')} <> '' AS in_title FROM news""",
     "trade_pair": f"""WITH {NEWS} SELECT id, {TRADE_PAIR} AS tp,
         coalesce({_pair('title')}, '') AS tp_compat FROM news""",
     "vote_ratio": f"""WITH {NEWS} SELECT id, CASE WHEN up_count + down_count > 0 THEN

@@ -237,6 +237,18 @@ def lexicon_pairs(spark, d):
     return lookup.lexicon_pairs(views.news(spark, d), "description", lexicon)
 
 
+@query
+def keyword_list(spark, d):
+    """Keywords of one and two words, too many for one pattern."""
+    description = F.col("description")
+    return views.news(spark, d).select(
+        "id",
+        text.first_keyword(description, tuple(views.LONG_LIST)).alias("keyword"),
+        text.trade_pair(F.col("title"), description, views.LONG_LIST).alias("tp"),
+        text.keyword_match(F.col("title"), tuple(views.LONG_LIST)).alias("in_title"),
+    )
+
+
 @query
 def trade_pair(spark, d):
     title, description = F.col("title"), F.col("description")

@@ -21,6 +21,14 @@ from newsrate.sources.feeds import extract_posts
 STAND_IN = pairs_for(
     ("from", "this", "que", "der", "für", "una", "which", "être", "sind", "año"), asset_codes={}
 )
+# More keywords than one pattern takes: common words, and any two of them next to each other.
+COMMON = (
+    "the of and to is was it for that le la les un et de des die der und zu mit el los en del".split()
+)
+LONG_LIST = {
+    **{f"{a} {b}": f"{a}-{b}/USDT".upper() for a in COMMON for b in COMMON},
+    **pairs_for(COMMON, asset_codes={}),
+}
 POST_TERMS = ("the", "que", "les", "und", "", "")
 SYMBOLS = ("view", "click", "error", "signup", "purchase")
 MARKET = dict(zip(SYMBOLS, ("DERUSDT", "QUEUSDT", "THISUSDT", "FROMUSDT", "FÜRUSDT")))
