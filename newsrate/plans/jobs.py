@@ -37,6 +37,7 @@ from newsrate.operators.filters import (
 from newsrate.operators.interval import WINDOW_SECONDS, interval_join
 from newsrate.operators.lookup import HOT_ROWS
 from newsrate.operators.ordering import dedup, since
+from newsrate.plans.epochs import Head
 from newsrate.plans.model import score
 from newsrate.schemas import MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
 from newsrate.session import write_table
@@ -242,7 +243,7 @@ def scorable(
 
 def batch_score(
     lines: DataFrame,
-    model: PipelineModel,
+    model: PipelineModel | Head,
     lexicon: dict[str, str] = DEFAULT_LEXICON,
     mode: str = "intended",
 ) -> tuple[DataFrame, DataFrame]:

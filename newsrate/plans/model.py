@@ -9,7 +9,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsrate.functions.rating import index_to_rate
@@ -23,11 +23,11 @@ from newsrate.operators.metrics import (
     score_rows,
 )
 from newsrate.operators.ordering import batch_number
+from newsrate.plans.epochs import EPOCHS, Head, fit_epochs
 from newsrate.session import write_table
 
-# Rows per metric batch and number of epochs.
+# Fixed value: rows per metric batch.
 BATCH_ROWS = 4
-EPOCHS = 2
 FEATURES = 1 << 18
 
 
@@ -97,23 +97,34 @@ def score_vectors(df: DataFrame, vector_col: str, weights, bias=None) -> DataFra
     return probs.withColumn("label", index_to_rate(argmax(F.col("probs"))))
 
 
-def predict(df: DataFrame, model: PipelineModel) -> DataFrame:
+def predict(df: DataFrame, model: PipelineModel | Head) -> DataFrame:
     """Add ``probs``, the class probabilities."""
+    if isinstance(model, Head):
+        return model.predict(df)
     out = model.transform(df)
     return out.select(*df.columns, vector_to_array("_probability").alias("probs"))
 
 
-def score(df: DataFrame, model: PipelineModel) -> DataFrame:
+def score(df: DataFrame, model: PipelineModel | Head) -> DataFrame:
     """Add ``probs`` and the rating ``label``; one text is a one-row table."""
     return predict(df, model).withColumn("label", index_to_rate(argmax(F.col("probs"))))
 
 
-def save_best(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_best(model: PipelineModel | Head, path: str) -> None:
+    if isinstance(model, Head):
+        model.save(SparkSession.active(), path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str) -> PipelineModel | Head:
+    """What ``save_best`` wrote: a pipeline keeps its stages and metadata in folders, a head is one
+    table."""
+    spark = SparkSession.active()
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return PipelineModel.load(path)
+    return Head.load(spark, path)
 
 
 class Evaluation(NamedTuple):
@@ -123,7 +134,7 @@ class Evaluation(NamedTuple):
 
 
 def evaluate(
-    candidates: list[PipelineModel],
+    candidates: list[PipelineModel] | list[Head],
     valid: DataFrame,
     key: str = "id",
     batch_rows: int = BATCH_ROWS,
@@ -152,14 +163,15 @@ def fit_and_score(
     valid: DataFrame,
     path: str,
     key: str = "id",
-    max_iters=tuple(10 * e for e in range(1, EPOCHS + 1)),
+    epochs: int = EPOCHS,
+    **options,
 ) -> tuple[Evaluation, DataFrame]:
-    """Fit one candidate per epoch, keep the best on ``path`` and score ``valid`` with it. Where
-    no epoch is better than 0 nothing is kept, and the last candidate scores."""
-    candidates = fit_candidates(train, max_iters)
-    result = evaluate(candidates, valid, key, train=train)
-    chosen = candidates[-1]
+    """Train one head for some epochs, each going on from the last, keep the best on ``path`` and
+    score ``valid`` with it. Where no epoch is better than 0 nothing is kept, and the last scores."""
+    heads, _ = fit_epochs(train, epochs, key=key, **options)
+    result = evaluate(heads, valid, key, train=train)
+    chosen = heads[-1]
     if result.best:
-        save_best(candidates[result.best - 1], path)
+        save_best(heads[result.best - 1], path)
         chosen = load_model(path)
     return result, score(valid.withColumnRenamed("label", "truth"), chosen)

@@ -304,6 +304,15 @@ ORACLES: dict[str, str] = {
         WHERE status = 200 AND page < c GROUP BY page""",
     "feed_quarantine": f"""WITH {FEED} SELECT page, 'body' AS status FROM feed
         WHERE status = 200 AND page < c AND page % 7 = 3 GROUP BY page""",
+    "fit_and_score": f"""WITH {NEWS} SELECT id, ({RATE} + 2)::INTEGER AS truth,
+        TRUE AS saved_equals_fitted, 1.0::DOUBLE AS total FROM news
+        WHERE ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 10 < 1""",
+    "train_epochs": "SELECT unnest([1, 2, 3])::INTEGER AS epoch, TRUE AS better",
+    "batch_score": f"""WITH {NEWS}, lines AS (
+          SELECT id, {INPUT_TIME} AS time, replace({_sanitize('title')}, chr(13), ' ') AS title,
+            {LINE.format('description')} AS body, up_count, down_count, hits, url FROM news)
+        SELECT concat_ws(',', id, time, title, body, up_count, down_count, hits, url) AS value,
+          {_pair('body')} AS tp, TRUE AS known_label FROM lines WHERE {_keyword('body')} <> ''""",
     "tradable_news": f"WITH {NEWS}, {LABELLED} SELECT id, tp FROM labelled WHERE tp <> ''",
     "alerts": f"WITH {NEWS}, {LABELLED} SELECT id, tp, rate FROM labelled WHERE rate <> 0",
     "author_range": f"""WITH {NEWS} SELECT id, inputtime::DATE::VARCHAR AS date FROM news

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from newsrate.functions import rating, text, vectors
 from newsrate.lexicon import lexicon_frame
 from newsrate.operators import encode, filters, interval, lookup, metrics, ordering
-from newsrate.plans import jobs, model, views
-from newsrate.schemas import MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
+from newsrate.plans import epochs, jobs, model, views
+from newsrate.schemas import LABELS, MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
 from newsrate.session import scratch_dir, use_utc, write_table
 from newsrate.sinks import files as file_sinks
 from newsrate.sinks import tables as table_sinks
@@ -630,9 +630,31 @@ def _votes(spark, d) -> DataFrame:
 
 @query
 def fit_and_score(spark, d):
+    """Scores of the model read back, next to those of the head in memory: the same, and probabilities
+    that add up to 1."""
     train, valid = file_sources.train_valid(_votes(spark, d))
-    result, scored = model.fit_and_score(train, valid, scratch_dir(spark, "model"))
-    return scored.select("id", "truth", "label", F.lit(result.best).alias("epoch"))
+    path = scratch_dir(spark, "model")
+    heads, _ = epochs.fit_epochs(train, key="id")
+    result = model.evaluate(heads, valid)
+    kept = heads[(result.best or len(heads)) - 1]
+    model.save_best(kept, path)
+    saved = model.score(valid.withColumnRenamed("label", "truth"), model.load_model(path))
+    fitted = kept.predict(saved.withColumnRenamed("probs", "_saved"))
+    return fitted.select(
+        "id",
+        "truth",
+        (F.col("probs") == F.col("_saved")).alias("saved_equals_fitted"),
+        _r(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), "total"),
+    )
+
+
+@query
+def train_epochs(spark, d):
+    """Whether each epoch goes on from the last: its loss is lower than that of the epoch before."""
+    _, seen = epochs.fit_epochs(_votes(spark, d), epochs=3, key="id")
+    first = [None, *(h["loss"] for h in seen)]
+    rows = [(h["epoch"], b is None or h["loss"] < b) for h, b in zip(seen, first)]
+    return spark.createDataFrame(rows, "epoch int, better boolean")
 
 
 @query
@@ -648,11 +670,20 @@ def fit_head(spark, d):
 
 @query
 def batch_score(spark, d):
-    fitted = model.fit(_votes(spark, d))
+    """(line, pair, whether the label is one of the list) of the appended predictions, read back."""
+    heads, _ = epochs.fit_epochs(_votes(spark, d), epochs=1, key="id")
     path = scratch_dir(spark, "predictions")
-    scored, _ = jobs.batch_score(views.news_lines(spark, d), fitted, views.STAND_IN)
+    scored, _ = jobs.batch_score(views.news_lines(spark, d), heads[0], views.STAND_IN)
     file_sinks.append_predictions(scored, path)
-    return file_sources.read_lines(spark, path)
+    line = F.col("value")
+    label = F.substring_index(line, ",", -1)
+    rest = F.left(line, F.length(line) - F.length(label) - 1)
+    tp = F.substring_index(rest, ",", -1)
+    return file_sources.read_lines(spark, path).select(
+        F.left(rest, F.length(rest) - F.length(tp) - 1).alias("value"),
+        tp.alias("tp"),
+        label.isin([str(x) for x in LABELS]).alias("known_label"),
+    )
 
 
 # Streams: the table is landed in files first, then read as a stream

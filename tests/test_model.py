@@ -82,7 +82,7 @@ def test_fit_save_score(spark, scratch):
     words = [("down eth", 0), ("flat eth", 2), ("up eth", 4)]
     rows = [(i, *words[i % 3]) for i in range(90)]
     df = spark.createDataFrame(rows, "id int, text string, label int")
-    result, scored = fit_and_score(df, df, scratch("model"), max_iters=(5, 10))
+    result, scored = fit_and_score(df, df, scratch("model"), features=1024)
     assert result.best == 1 and result.epochs.count() == 2
     assert sorted((r.epoch, r.split, r.acc) for r in result.splits.collect()) == [
         (e, split, approx(1.0)) for e in (1, 2) for split in ("train", "valid")
