@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -89,30 +89,55 @@ def stream_label(
     return label_news(df, lexicon, mode)
 
 
-def stream_interval(
-    news: DataFrame,
-    bars: DataFrame,
-    seconds: int = WINDOW_SECONDS,
-    delay: str = "10 minutes",
-    salts: int = 8,
-) -> DataFrame:
-    """Price rating of each news row once its window is complete.
+#: Bars are summed up by second and by this many seconds.
+SPAN = 60
 
-    ``news``: id, symbol, inputtime (whole seconds count); ``bars``: symbol, open_time, open,
-    high, low. Bars are first reduced to slots of a second, so a news row meets at most two
-    slots per second of its window, whatever the number of bars. The left outer stream-stream
-    join then works on symbol, time bucket and a salt (a symbol alone would be one hot group;
-    the few slots are copied to every salt), and an aggregate per news row follows. The
-    watermark drops the state of complete windows.
-    """
-    opened = F.unix_micros("open_time")
-    on_second = F.pmod(opened, F.lit(1_000_000)) == 0
-    slots = (
+
+def _units(start: Column, seconds: int) -> Column:
+    """The whole spans, and the single seconds before and after them, that make up the window from
+    ``start`` on: an array of (span, unit)."""
+    last = start + seconds
+    first_span = F.ceil(start / SPAN)
+    end_span = F.floor(last / SPAN)
+    none = F.array().cast("array<bigint>")
+
+    def numbers(wanted: Column, low: Column, high: Column) -> Column:
+        return F.when(wanted, F.sequence(low, high)).otherwise(none)
+
+    before = numbers(start < first_span * SPAN, start, F.least(first_span * SPAN - 1, last))
+    spans = numbers(first_span < end_span, first_span, end_span - 1)
+    after = numbers(first_span <= end_span, end_span * SPAN, last)
+
+    def units(of: Column, span: int) -> Column:
+        return F.transform(of, lambda u: F.struct(F.lit(span).alias("span"), u.alias("unit")))
+
+    return F.concat(units(before, 1), units(spans, SPAN), units(after, 1))
+
+
+def _bar_units(bars: DataFrame, delay: str) -> DataFrame:
+    """Bars summed up by second (those on the full second apart from the others) and by span."""
+    second = F.unix_seconds("open_time")
+    full = F.pmod(F.unix_micros("open_time"), F.lit(1_000_000)) == 0
+
+    def unit(span: int, number: Column, last: Column) -> Column:
+        return F.struct(
+            F.lit(span).alias("bar_span"), number.alias("bar_unit"), last.alias("last_second")
+        )
+
+    of_span = F.floor(second / SPAN)
+    both = F.array(
+        unit(1, second, second + F.when(full, 0).otherwise(1)),
+        unit(SPAN, of_span, (of_span + 1) * SPAN),
+    )
+    summed = (
         bars.withWatermark("open_time", delay)
+        .select("*", F.inline(both))
         .groupBy(
-            F.window("open_time", "1 second"),
+            F.window("open_time", f"{SPAN} seconds"),
             F.col("symbol").alias("bar_symbol"),
-            on_second.alias("on_second"),
+            "bar_span",
+            "bar_unit",
+            "last_second",
         )
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -122,50 +147,68 @@ def stream_interval(
             F.min(no_nan(F.col("low"))).alias("low"),
         )
     )
-    second = F.unix_seconds("window.start")
-    keyed_slots = slots.select(
-        "bar_symbol",
-        F.window_time("window").alias("slot_time"),
-        second.alias("first_second"),
-        (second + F.when(F.col("on_second"), 0).otherwise(1)).alias("last_second"),
-        (second - F.pmod(second, F.lit(seconds))).alias("bar_bucket"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("bar_salt"),
-        "n",
-        "first_time",
-        "first_open",
-        "high",
-        "low",
+    return summed.select(F.window_time("window").alias("bar_time"), *summed.columns[1:])
+
+
+def stream_interval(
+    news: DataFrame, bars: DataFrame, seconds: int = WINDOW_SECONDS, delay: str = "10 minutes"
+) -> DataFrame:
+    """Price rating of each news row once its window is complete.
+
+    ``news``: id, symbol, inputtime (whole seconds count); ``bars``: symbol, open_time, open,
+    high, low. Four stateful steps, the watermark drops the state of each:
+
+    1. News become distinct (symbol, second), bars become sums by second and by ``SPAN``.
+    2. Every second asks for the units of its window, some 140, each by its own key: the join is one
+       on equal keys, without a range and without a hot group, and it meets no news row.
+    3. What was found is summed up by (symbol, second).
+    4. The summary is joined back to the news of its second.
+    """
+    dated = news.withWatermark("inputtime", delay)
+    asked = dated.groupBy(F.window("inputtime", "1 second"), F.col("symbol").alias("of")).agg(
+        F.count(F.lit(1)).alias("rows")
     )
-    start = F.unix_seconds("inputtime")
-    own = start - F.pmod(start, F.lit(seconds))
-    asked = news.withWatermark("inputtime", delay).select(
-        "id",
-        "symbol",
-        "inputtime",
-        start.alias("start"),
-        F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
-        F.explode(F.array(own, own + seconds)).alias("bucket"),
+    asked = asked.select(
+        "of",
+        F.unix_seconds("window.start").alias("second"),
+        F.window_time("window").alias("asked_time"),
     )
-    reach = F.expr(f"INTERVAL {int(seconds) + 2} SECONDS")
-    in_window = (
-        (F.col("symbol") == F.col("bar_symbol"))
-        & (F.col("bucket") == F.col("bar_bucket"))
-        & (F.col("salt") == F.col("bar_salt"))
-        & (F.col("first_second") >= F.col("start"))
-        & (F.col("last_second") <= F.col("start") + seconds)
-        # The same range once more, loosely, on the event times, which bounds the join state.
-        & (F.col("slot_time") >= F.col("inputtime") - F.expr("INTERVAL 1 SECOND"))
-        & (F.col("slot_time") <= F.col("inputtime") + reach)
+    asked = asked.select("*", F.inline(_units(F.col("second"), seconds)))
+    reach = F.expr(f"INTERVAL {int(seconds) + SPAN + 2} SECONDS")
+    moment = F.expr("INTERVAL 1 SECOND")
+    in_unit = (
+        (F.col("of") == F.col("bar_symbol"))
+        & (F.col("span") == F.col("bar_span"))
+        & (F.col("unit") == F.col("bar_unit"))
+        & (F.col("last_second") <= F.col("second") + seconds)
+        # On the event times, which bounds the join state.
+        & (F.col("bar_time") >= F.col("asked_time") - moment)
+        & (F.col("bar_time") <= F.col("asked_time") + reach)
     )
     summary = (
-        asked.join(keyed_slots, in_window, "left_outer")
-        .groupBy("id", "inputtime")
+        asked.join(_bar_units(bars, delay), in_unit, "left_outer")
+        .groupBy("of", "second", "asked_time")
         .agg(
             F.min_by("first_open", "first_time").alias("first_open"),
             F.max("high").alias("high"),
             F.min("low").alias("low"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_bars"),
+            F.sum("n").alias("n_bars"),
         )
     )
+    own = (
+        (F.col("symbol") == F.col("of"))
+        & (F.unix_seconds("inputtime") == F.col("second"))
+        & (F.col("asked_time") >= F.col("inputtime"))
+        & (F.col("asked_time") <= F.col("inputtime") + moment)
+    )
+    rated = dated.select("id", "symbol", "inputtime").join(summary, own, "left_outer")
     move = price_move(F.col("first_open"), F.col("high"), F.col("low"))
-    return summary.withColumn("rate", price_rating(move["rise"], move["drop"]))
+    return rated.select(
+        "id",
+        "inputtime",
+        "first_open",
+        "high",
+        "low",
+        F.coalesce("n_bars", F.lit(0)).alias("n_bars"),
+        price_rating(move["rise"], move["drop"]).alias("rate"),
+    )
