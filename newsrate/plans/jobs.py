@@ -31,7 +31,6 @@ from newsrate.operators.filters import (
     ok_pages,
     require_id,
     tradable,
-    until_empty_page,
     with_pair,
 )
 from newsrate.operators.interval import WINDOW_SECONDS, interval_join
@@ -40,9 +39,9 @@ from newsrate.operators.ordering import dedup, since
 from newsrate.plans.epochs import Head
 from newsrate.plans.model import score
 from newsrate.schemas import MARKED_COLUMNS, NEWS_COLUMNS, POST_COLUMNS, TIME_FORMAT
-from newsrate.session import write_table
+from newsrate.session import scratch_dir, write_table
 from newsrate.sinks.tables import absent_rows, insert_if_absent
-from newsrate.sources.feeds import page_size, read_feed_pages
+from newsrate.sources.feeds import land_pages, pages_before_stop, read_feed_pages
 
 # Defaults of a row that is not rated yet; category 1 is "policy".
 DEFAULTS = {"risk": 0, "tp": "", "rate": -101, "cat": 1}
@@ -150,7 +149,8 @@ def mark_rows(
 
 
 def feed_rows(pages: DataFrame) -> DataFrame:
-    """Clean news rows of feed pages; the part of the ingest that has no end condition."""
+    """Clean news rows of feed pages, raw or parsed; the part of the ingest that has no end
+    condition. An item whose time can not be read has a NULL time."""
     return read_feed_pages(ok_pages(pages)).withColumns(
         {
             "inputtime": epoch_to_text(F.col("inputtime")),
@@ -160,25 +160,35 @@ def feed_rows(pages: DataFrame) -> DataFrame:
     )
 
 
+def landed(pages: DataFrame) -> DataFrame:
+    """Pages as ``land_pages`` writes them; raw pages are landed in the shared folder first, so that
+    no body is parsed twice."""
+    if "body" not in pages.columns:
+        return pages
+    path = scratch_dir(pages.sparkSession, "pages")
+    land_pages(pages, path)
+    return pages.sparkSession.read.parquet(path)
+
+
 def ingest_feed(pages: DataFrame, cutoff: str | None = None, mode: str = "intended") -> DataFrame:
-    """News of the pages before the first empty one, newer than ``cutoff`` (time text)."""
-    read = until_empty_page(ok_pages(pages), page_size(F.col("body")))
-    rows = feed_rows(read)
+    """News of the pages before the first empty one, newer than ``cutoff`` (time text). What can
+    not be read is in ``feed_quarantine`` and nowhere else. ``pages``: raw, or a landed table."""
+    rows = feed_rows(pages_before_stop(landed(pages)))
     if cutoff is not None:
         rows = since(rows, "inputtime", cutoff, mode)
-    return rows.select(*NEWS_COLUMNS)
+    return rows.filter(F.col("inputtime").isNotNull()).select(*NEWS_COLUMNS)
 
 
 def feed_quarantine(pages: DataFrame) -> DataFrame:
-    """(page, pos, status) of what ``ingest_feed`` cannot read: whole pages whose body is not JSON
-    (``pos`` NULL) and items without a readable time."""
-    size = page_size(F.col("body"))
-    read = until_empty_page(ok_pages(pages), size)
-    bodies = read.filter(size.isNull()).select(
-        "page", F.lit(None).cast("int").alias("pos"), F.lit("body").alias("status")
+    """(page, pos, status) of what ``ingest_feed`` cannot read: whole pages (``pos`` NULL) whose body
+    is not a JSON object (``body``) or has no item list (``data``), and items without a readable
+    time."""
+    read = pages_before_stop(landed(pages))
+    faulty = read.filter(F.col("fault").isNotNull()).select(
+        "page", F.lit(None).cast("int").alias("pos"), F.col("fault").alias("status")
     )
     late = feed_rows(read).filter(F.col("inputtime").isNull())
-    return bodies.unionByName(late.select("page", "pos", F.lit("time").alias("status")))
+    return faulty.unionByName(late.select("page", "pos", F.lit("time").alias("status")))
 
 
 def post_clean(posts: DataFrame, terms=FILTER_TERMS, mode: str = "intended") -> DataFrame:

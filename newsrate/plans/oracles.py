@@ -301,9 +301,11 @@ ORACLES: dict[str, str] = {
           SELECT coalesce(min(n), 9223372036854775807) FROM fed
           WHERE inputtime <= TIMESTAMP '{views.EARLY}')""",
     "until_empty_page": f"""WITH {FEED} SELECT page, count(*)::INTEGER AS n_items FROM feed
-        WHERE status = 200 AND page < c GROUP BY page""",
+        WHERE status = 200 AND page < c GROUP BY page
+        UNION ALL SELECT c // 2, NULL FROM cut""",
     "feed_quarantine": f"""WITH {FEED} SELECT page, 'body' AS status FROM feed
-        WHERE status = 200 AND page < c AND page % 7 = 3 GROUP BY page""",
+        WHERE status = 200 AND page < c AND page % 7 = 3 GROUP BY page
+        UNION ALL SELECT c // 2, CASE WHEN c // 2 % 7 = 3 THEN 'body' ELSE 'data' END FROM cut""",
     "fit_and_score": f"""WITH {NEWS} SELECT id, ({RATE} + 2)::INTEGER AS truth,
         TRUE AS saved_equals_fitted, 1.0::DOUBLE AS total FROM news
         WHERE ('0x' || substr(md5(id::VARCHAR), 1, 8))::BIGINT % 10 < 1""",

@@ -159,7 +159,8 @@ def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed pages of twenty items (page, status, body). An empty page comes after nine
-    tenths of them; a page whose first two items are both German failed."""
+    tenths of them; a page whose first two items are both German failed; one page in the middle was
+    also answered without items."""
     rows = news(spark, sf_dir).withColumn("_page", F.floor(F.col("id") / PAGE_ITEMS))
     cut = rows.agg(F.floor(F.max("_page") * 9 / 10)).scalar()
     item = F.struct(
@@ -178,7 +179,10 @@ def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = rows.agg(F.floor(F.max("_page") * 9 / 10).alias("page")).select(
         "page", F.lit(200).alias("status"), F.lit('{"data":[]}').alias("body")
     )
-    return union_pages(full, empty)
+    refused = rows.agg(F.floor(F.floor(F.max("_page") * 9 / 10) / 2).alias("page")).select(
+        "page", F.lit(200).alias("status"), F.lit('{"error":"rate limit"}').alias("body")
+    )
+    return union_pages(full, empty, refused)
 
 
 def bar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,34 +5,79 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
 from newsrate.schemas import BAR_BODY, FEED_BODY
 
 _ITEM_TYPES = {"id": "bigint", "up_count": "int", "down_count": "int", "hits": "bigint"}
 
 
+#: Pages in one folder of the landed table.
+PAGES_PER_RANGE = 1000
+#: What counts as an empty item list besides an empty array and null.
+NOTHING = ("", "0", "0.0", "false", "{}")
+
+
 def page_items(json_col: Column) -> Column:
     """The item array of a page body; NULL when missing or unreadable."""
     return F.from_json(json_col, FEED_BODY)["data"]
 
 
+def _size(json_col: Column, items: Column) -> Column:
+    listed = F.array_contains(F.json_object_keys(json_col), "data")
+    value = F.get_json_object(json_col, "$.data")
+    nothing = listed & (value.isNull() | value.isin(*NOTHING))
+    return F.when(items.isNotNull(), F.size(items)).when(nothing, F.lit(0))
+
+
 def page_size(json_col: Column) -> Column:
-    """Number of items of a page body, without converting their fields: 0 without an item list,
-    NULL if the body is not JSON."""
-    items = F.from_json(json_col, "data array<struct<id: string>>")["data"]
-    readable = F.get_json_object(json_col, "$").isNotNull()
-    return F.when(items.isNotNull(), F.size(items)).when(readable, F.lit(0))
+    """Number of items of a page body, without converting their fields: 0 for a list that is there
+    and empty or null, NULL where there is no list or the body is not a JSON object."""
+    return _size(json_col, F.from_json(json_col, "data array<struct<id: string>>")["data"])
+
+
+def parse_pages(pages: DataFrame, json_col: str = "body") -> DataFrame:
+    """The body replaced by ``items``, ``n_items`` (as ``page_size``) and ``fault``: ``body`` if it
+    is not a JSON object, ``data`` if it has no item list. Every body is parsed here, once."""
+    body = F.col(json_col)
+    parsed = bind(pages, items=page_items(body)).withColumn("n_items", _size(body, F.col("items")))
+    fault = F.when(F.json_object_keys(body).isNull(), "body").when(F.col("n_items").isNull(), "data")
+    return parsed.withColumn("fault", fault).drop(json_col)
+
+
+def land_pages(
+    pages: DataFrame, path: str, page_col: str = "page", per_range: int = PAGES_PER_RANGE
+) -> None:
+    """Append parsed pages to the table at ``path``, in folders of page ranges."""
+    folder = F.floor(F.col(page_col) / per_range)
+    parse_pages(pages).withColumn("page_range", folder).write.mode("append").partitionBy(
+        "page_range"
+    ).parquet(path)
+
+
+def pages_before_stop(
+    landed: DataFrame, page_col: str = "page", per_range: int = PAGES_PER_RANGE
+) -> DataFrame:
+    """The answered pages of a landed table before the first empty one. It is looked for in the item
+    counts alone; then folders of later pages are not read."""
+    answered = landed.filter(F.col("status") == 200)
+    stop = answered.filter("n_items = 0").agg(F.min(page_col)).first()[0]
+    if stop is None:
+        return answered
+    return answered.filter((F.col("page_range") <= stop // per_range) & (F.col(page_col) < stop))
 
 
 def read_feed_pages(df: DataFrame, json_col: str = "body") -> DataFrame:
     """One row per feed item: the other page columns, ``pos`` and the eight item fields.
-    ``inputtime`` stays epoch text; extra keys are dropped."""
-    kept = [c for c in df.columns if c != json_col]
-    items = df.select(*kept, F.posexplode(page_items(F.col(json_col))).alias("pos", "_item"))
+    ``inputtime`` stays epoch text; extra keys are dropped. Parsed pages are taken as they are."""
+    parsed = "items" in df.columns and json_col not in df.columns
+    items = F.col("items") if parsed else page_items(F.col(json_col))
+    kept = [c for c in df.columns if c not in (("items", "n_items", "fault", "page_range") if parsed else (json_col,))]
+    rows = df.select(*kept, F.posexplode(items).alias("pos", "_item"))
     fields = [
         F.col(f"_item.{c}").try_cast(_ITEM_TYPES.get(c, "string")).alias(c)
         for c in FEED_BODY["data"].dataType.elementType.fieldNames()
     ]
-    return items.select(*kept, "pos", *fields)
+    return rows.select(*kept, "pos", *fields)
 
 
 def read_bars(df: DataFrame, json_col: str = "body", symbol_col: str = "symbol") -> DataFrame:

@@ -48,6 +48,7 @@ def stream_ingest(
     rows = feed_rows(pages)
     if cutoff is not None:
         rows = since(rows, "inputtime", cutoff)
+    rows = rows.filter(F.col("inputtime").isNotNull())
     return stream_insert(rows.select(*NEWS_COLUMNS), sink, checkpoint, trigger=trigger)
 
 

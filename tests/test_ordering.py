@@ -1,3 +1,5 @@
+import re
+
 from newsrate.operators.filters import (
     alerts,
     author_range,
@@ -175,11 +177,35 @@ def test_pages_beyond_any_number_and_broken_pages(spark):
     item = '{"id":%d,"inputtime":"%s","title":"t","description":"d","up_count":1,"down_count":0,"hits":1,"url":"u"}'
     body = lambda i, time="1700000000": '{"data":[%s]}' % (item % (i, time))
     rows = [(0, 200, body(1)), (1, 200, "<html>"), (2, 200, body(2, "soon")), (25000, 200, body(3)),
+            (9, 200, '{"error":"rate limit"}'), (10, 200, '{"data":"later"}'), (11, 200, "[1]"),
             (25001, 200, '{"data":null}'), (25002, 200, body(4))]
     pages = spark.createDataFrame(rows, "page int, status int, body string")
-    assert {r.id for r in ingest_feed(pages).collect()} == {1, 2, 3}
+    assert {r.id for r in ingest_feed(pages).collect()} == {1, 3}
     bad = sorted(tuple(r) for r in feed_quarantine(pages).select("page", "status").collect())
-    assert bad == [(1, "body"), (2, "time")]
+    assert bad == [(1, "body"), (2, "time"), (9, "data"), (10, "data"), (11, "body")]
+    for end in ('{"data":[]}', '{"data":{}}', '{"data":""}', '{"data":0}', '{"data":false}', '{"data": null}'):
+        ended = spark.createDataFrame([(0, 200, body(1)), (1, 200, end), (2, 200, body(2))], pages.schema)
+        assert [r.id for r in ingest_feed(ended).collect()] == [1], end
+
+
+def test_landed_pages_are_parsed_once_and_pruned(spark, scratch):
+    from newsrate.plans.jobs import feed_quarantine, ingest_feed
+    from newsrate.sources.feeds import land_pages
+
+    item = '{"id":%d,"inputtime":"1700000000","title":"t","description":"d","up_count":1,"down_count":0,"hits":1,"url":"u"}'
+    rows = [(i, 200, '{"data":[%s]}' % (item % i)) for i in range(0, 9000, 500)]
+    rows += [(2600, 200, '{"data":[]}'), (700, 500, '{"data":[]}'), (900, 200, "{}")]
+    land_pages(spark.createDataFrame(rows, "page long, status int, body string"), scratch("landed"))
+    table = spark.read.parquet(scratch("landed"))
+    found = ingest_feed(table)
+    assert sorted(r.id for r in found.collect()) == [0, 500, 1000, 1500, 2000, 2500]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*page_range#\d+L? <= 2\)", plan), plan
+    assert "from_json" not in plan and "JsonToStructs" not in plan
+    assert [tuple(r) for r in feed_quarantine(table).collect()] == [(900, None, "data")]
+    # A later poll lands more pages.
+    land_pages(spark.createDataFrame([(1, 200, '{"data":[%s]}' % (item % 1))], "page long, status int, body string"), scratch("landed"))
+    assert ingest_feed(spark.read.parquet(scratch("landed"))).count() == 7
 
 
 def test_positions_by_many_groups(spark):
