@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from newsrate.functions.binding import bind
 from newsrate.functions.text import tokens
-from newsrate.operators.lookup import BROADCAST_BYTES, BROADCAST_ROWS, HOT_ROWS, is_small, unique_side_join
+from newsrate.operators.lookup import BROADCAST_BYTES, HOT_ROWS, is_small, unique_side_join
 from newsrate.operators.ordering import global_position
 from newsrate.session import write_table
 
 # Ids of padding, unknown word, start and end marker; words follow.
 PAD_ID, UNKNOWN_ID, START_ID, END_ID, FIRST_WORD_ID = 0, 100, 101, 102, 106
 MAX_LEN = 256
+# Words that travel with the tasks; what bounds them is the size of a broadcast, in bytes.
+VOCABULARY_ROWS = 2_000_000
 
 
 def build_vocabulary(df: DataFrame, col: str, size: int | None = None) -> DataFrame:
@@ -65,7 +67,7 @@ def encode_text(
     col: str,
     vocab: DataFrame,
     max_len: int = MAX_LEN,
-    limit: int = BROADCAST_ROWS,
+    limit: int = VOCABULARY_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``n_tokens``, all tokens of the text, and ``input_ids``, ``token_type_ids`` and
