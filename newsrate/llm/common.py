@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from newsrate.session import write_table
 #: A word as the contracts define it, for Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "BoundedCache", "crc_fold", "discard", "stored", "word_list", "words_of"]
+__all__ = ["WORD", "BoundedCache", "crc_fold", "discard", "discarding", "stored", "word_list", "words_of"]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,7 +36,29 @@ def crc_fold(key: Column, folds: int) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
-    return write_table(df, f"llm-{name}")
+    table = write_table(df, f"llm-{name}")
+    if _open:
+        _open[-1].append(table)
+    return table
+
+
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def discarding() -> Iterator[Callable[[DataFrame], None]]:
+    """Inside, all tables that ``stored`` writes are deleted at the end, but for those handed to the
+    function that this yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield kept.append
+    finally:
+        _open.remove(made)
+        for table in made:
+            if not any(table is k for k in kept):
+                discard(table)
 
 
 def discard(df: DataFrame) -> None:

@@ -19,7 +19,7 @@ def test_equals_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {n.split("_")[0] for n in queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries() if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert queries()["pipeline"] is corpus_pipeline.run
 
 
