@@ -2,15 +2,21 @@
 
 Rules vote good (1) or bad (-1) or abstain (0). What a rule votes on good and on bad texts is not
 given: expectation-maximisation estimates it, with the share of bad texts, from the counts of vote
-patterns (3 to the number of rules at most) of all rows that pass the base test. A text is kept when its posterior
-probability of being good is at least ``LEAST_POSTERIOR`` and it does not fail the base test.
+patterns (3 to the number of rules at most) of all rows that pass the base test, until it settles. A text is
+kept when its posterior probability of being good is at least ``LEAST_POSTERIOR`` and it does not fail the base test.
 
-Everything is DataFrame expressions; texts are read once and only their counts are written.
+The rules' accuracies are bounded (``TRUSTED``): each votes bad on at most 0.2 % of the good texts and on 5 to
+90 % of the bad ones. Without bounds the likelihood is free to take any dependence between rules for the two
+classes, and bad texts that a single rule knows become good ones. What the bounds cost: a kind of bad text
+that only one rule knows and that is rarer than about 1 % cannot be told from false votes and is kept.
+
+Everything over rows is DataFrame expressions; texts are read once and only their counts are written.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +29,8 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 LEAST_POSTERIOR = 0.5
-ROUNDS, SETTLED = 12, 1e-4
+#: Settled when no pattern's posterior moves more than this; that takes 20 to 300 rounds.
+SETTLED, MOST_ROUNDS = 1e-9, 20_000
 #: A text with a bad vote begins as bad with this probability, others as good.
 FIRST = 0.9
 SMOOTHING = 0.5
@@ -33,6 +40,19 @@ COUNTS = (
 ).split()
 
 
+class Bounds(NamedTuple):
+    """The largest share of good texts a rule calls bad, the least and the largest share of bad texts it
+    finds, and of bad texts among all."""
+
+    most_false: float
+    found: tuple[float, float]
+    share: tuple[float, float]
+
+
+LOOSE = Bounds(0.99, (0.01, 0.99), (0.001, 0.5))
+TRUSTED = Bounds(0.002, (0.05, 0.9), (0.001, 0.5))
+
+
 def _pairs(values: Column, step: int, count: Column) -> Column:
     """Hashes of each value with that ``step`` places on, ``count`` of them."""
     n = F.greatest(count, F.lit(0))
@@ -146,57 +166,61 @@ def _odds(model: dict[str, dict[int, float]], prior: float) -> Column:
     return total
 
 
-def estimate(votes: DataFrame) -> tuple[dict[str, dict[int, float]], float]:
+Pattern = tuple[tuple[int, ...], int]
+
+
+def settle(
+    patterns: list[Pattern], rules: int, bounds: Bounds = LOOSE, rounds: int = MOST_ROUNDS
+) -> tuple[list[tuple[float, float]], float, bool]:
+    """(share of bad votes on bad and on good texts by rule, share of bad texts, whether it settled)
+    from the vote patterns and their rows. Of each class a rule's share is over the rows it votes on,
+    clipped to its bounds, which is the bounded maximum of a round."""
+    total = sum(n for _, n in patterns)
+    bad = [FIRST if -1 in votes else 1 - FIRST for votes, _ in patterns]
+    accuracy, share, settled = [(0.5, 0.5)] * rules, 0.5, not patterns
+    clip = lambda x, low, high: min(max(x, low), high)
+    for _ in range(rounds if patterns else 0):
+        rows = sum(n * p for (_, n), p in zip(patterns, bad))
+        share = clip((rows + SMOOTHING) / (total + 2 * SMOOTHING), *bounds.share)
+        odds = [math.log(share / (1 - share))] * len(patterns)
+        for j in range(rules):
+            sums = {(v, k): SMOOTHING for v in (-1, 1) for k in (0, 1)}
+            for (votes, n), p in zip(patterns, bad):
+                if votes[j]:
+                    sums[votes[j], 1] += n * p
+                    sums[votes[j], 0] += n * (1 - p)
+            found = clip(sums[-1, 1] / (sums[-1, 1] + sums[1, 1]), *bounds.found)
+            false = min(sums[-1, 0] / (sums[-1, 0] + sums[1, 0]), bounds.most_false)
+            accuracy[j] = found, false
+            ratio = {-1: math.log(found / false), 0: 0.0, 1: math.log((1 - found) / (1 - false))}
+            odds = [o + ratio[votes[j]] for o, (votes, _) in zip(odds, patterns)]
+        now = [1 / (1 + math.exp(-o)) for o in odds]
+        settled = max(abs(x - y) for x, y in zip(now, bad)) < SETTLED
+        bad = now
+        if settled:
+            break
+    return accuracy, share, settled
+
+
+def estimate(votes: DataFrame, bounds: Bounds = LOOSE) -> tuple[dict[str, dict[int, float]], float]:
     """(log likelihood ratios good to bad by rule and vote, share of good) by
-    expectation-maximisation. A rule's accuracy on either class is over the rows it votes on.
+    expectation-maximisation.
 
-    ``votes`` has a column per rule. Every round is one aggregate over the patterns; only its
-    sums come to the driver. Without rows all rules are uninformative.
+    ``votes`` has a column per rule. Only the counts of vote patterns come to the driver, 3 to the
+    number of rules at most. Without rows all rules are uninformative. An estimate that does not
+    settle is an error.
     """
     names = votes.columns
-    patterns = stored(
-        votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).orderBy(*names).coalesce(1),
-        "votes",
-    )
-    bad_vote = F.lit(False)
-    for name in names:
-        bad_vote = bad_vote | (F.col(name) == -1)
-    good = F.when(bad_vote, 1 - FIRST).otherwise(FIRST)
-    # One row per rule and vote of a pattern, so a round's sums are a few rows.
-    cast = F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("vote")) for n in names]))
-    before: list[float] = []
-    model: dict[str, dict[int, float]] = {n: {-1: 0.0, 1: 0.0} for n in names}
-    prior = 0.5
-    for _ in range(ROUNDS):
-        shares = [
-            (F.col("_rows") * good).alias("_good"),
-            (F.col("_rows") * (1 - good)).alias("_bad"),
-        ]
-        sums = (
-            patterns.select(*names, *shares)
-            .select("_good", "_bad", cast)
-            .groupBy("rule", "vote")
-            .agg(F.sum("_good").alias("good"), F.sum("_bad").alias("bad"))
-            .collect()
-        )
-        if not sums:
-            break
-        got = {(r.rule, r.vote): (r.good, r.bad) for r in sums}
-        ones, zeros = (
-            sum(got.get((names[0], v), (0.0, 0.0))[k] for v in (-1, 0, 1)) + SMOOTHING for k in (0, 1)
-        )
-        prior = ones / (ones + zeros)
-        for name in names:
-            bad, fine = (got.get((name, v), (0.0, 0.0)) for v in (-1, 1))
-            odds = (bad[1] + fine[1] + 2 * SMOOTHING) / (bad[0] + fine[0] + 2 * SMOOTHING)
-            for v, (a, b) in ((-1, bad), (1, fine)):
-                model[name][v] = math.log((a + SMOOTHING) / (b + SMOOTHING) * odds)
-        now = [prior, *(x for t in model.values() for x in t.values())]
-        if before and max(abs(x - y) for x, y in zip(now, before)) < SETTLED:
-            break
-        before = now
-        good = 1 / (1 + F.exp(-_odds(model, prior)))
-    return model, prior
+    counted = votes.groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).collect()
+    patterns = sorted((tuple(r[n] for n in names), r["_rows"]) for r in counted)
+    accuracy, share, settled = settle(patterns, len(names), bounds)
+    if not settled:
+        raise RuntimeError(f"the estimate did not settle in {MOST_ROUNDS} rounds")
+    model = {
+        n: {-1: math.log(false / found), 1: math.log((1 - false) / (1 - found))}
+        for n, (found, false) in zip(names, accuracy)
+    }
+    return model, 1 - share
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,7 +233,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT
     )
     voted = found.select("*", *[v.alias(n) for n, v in votes.items()])
-    model, prior = estimate(voted.filter(~failed).select(*votes))
+    model, prior = estimate(voted.filter(~failed).select(*votes), TRUSTED)
     posterior = 1 / (1 + F.exp(-_odds(model, prior)))
     return voted.select(
         F.col("doc_id").alias(id_col), *COUNTS[:5], failed.alias("base_failed"),

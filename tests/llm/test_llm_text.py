@@ -63,6 +63,54 @@ def test_estimates_find_a_wrong_rule(spark):
     assert np.mean([(o > 0) == t for o, t in zip(odds, truth)]) > 0.95
 
 
+def votes_by_hand(patterns, bounds, rounds):
+    """The verdicts of bounded expectation-maximisation, restated over arrays."""
+    votes = np.array([v for v, _ in patterns])
+    rows = np.array([n for _, n in patterns], float)
+    p = np.where((votes == -1).any(1), 0.9, 0.1)
+    for _ in range(rounds):
+        share = np.clip(((rows * p).sum() + 0.5) / (rows.sum() + 1), *bounds.share)
+        cast = lambda v, w: ((votes == v) * (rows * w)[:, None]).sum(0) + 0.5
+        found = np.clip(cast(-1, p) / (cast(-1, p) + cast(1, p)), *bounds.found)
+        false = np.minimum(cast(-1, 1 - p) / (cast(-1, 1 - p) + cast(1, 1 - p)), bounds.most_false)
+        odds = np.log(share / (1 - share)) + ((votes == -1) @ np.log(found / false) + (votes == 1) @ np.log((1 - found) / (1 - false)))
+        p = 1 / (1 + np.exp(-odds))
+    return p < 0.5
+
+
+def verdicts(patterns, rounds=quality.MOST_ROUNDS):
+    accuracy, share, settled = quality.settle(patterns, len(patterns[0][0]), quality.TRUSTED, rounds)
+    odds = lambda v: math.log(share / (1 - share)) + sum(
+        {-1: math.log(f / g), 0: 0.0, 1: math.log((1 - f) / (1 - g))}[x] for x, (f, g) in zip(v, accuracy)
+    )
+    return [odds(v) < 0 for v, _ in patterns], settled
+
+
+@pytest.mark.parametrize("junk", [10, 20, 75, 400])
+def test_verdict_holds_when_the_estimate_settles(junk):
+    # Of 1000 texts ``junk`` are known to one rule only; two other rules fail together on four clean ones.
+    patterns = [
+        ((1, 1, 1, 1, 1, 1, 1, 1), 900), ((0, 1, 1, 1, 1, 1, 1, 1), 30), ((1, 1, 0, 0, 1, 1, 1, 1), 40),
+        ((1, 1, -1, -1, 1, 1, 1, 1), 1), ((1, 1, 0, -1, 1, 1, 1, 1), 3), ((1, -1, 1, 1, 1, 1, 1, 1), junk),
+    ]
+    short, _ = verdicts(patterns, 50)
+    long, _ = verdicts(patterns, 500)
+    whole, settled = verdicts(patterns)
+    assert settled and short == long == whole
+    assert whole == votes_by_hand(patterns, quality.TRUSTED, 3000).tolist()
+    assert whole[:3] == [True] * 3 and not whole[5]
+    assert quality.settle([], 8, quality.TRUSTED)[2]
+
+
+def test_quality_finds_junk_known_to_one_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "quality AS good")
+    got = quality.quality(docs).filter("not base_failed").join(labels, "doc_id").groupBy("good", "kept").count().collect()
+    n = {(r.good, r.kept): r["count"] for r in got}
+    assert n[0, False] >= 25 and n[0, False] + n.get((0, True), 0) == 28
+    assert n.get((1, False), 0) <= 0.01 * n[1, True]
+
+
 def test_license_template_regions():
     auto = licenses.compile_template("use [[only]] under {{2}} the terms [[a [[b]]]]", "x")
     end = lambda t: auto.end(t.encode().split(), 0)
