@@ -4,12 +4,14 @@ Documents are cut into passages of ``BLOCK`` words, two neighbours form a window
 benchmark passages are TF-IDF vectors over the benchmark's terms (document frequencies of the whole
 corpus). A randomised SVD of all windows and the benchmark gives a latent space: every task sums
 A'(A Omega) over its own windows, the sums are added up and only a terms x rank matrix reaches the
-driver. In that space each window is compared with each benchmark passage by cosine. Candidates
-are confirmed on words: by the longest common subsequence with the text around the window, or a
-shorter one where the passage's answer, its last words, stands there too.
-
-The benchmark is a stated query set, taken in blocks of ``BLOCK_ITEMS`` items; only a block is
-ever broadcast. All documents are searched whole.
+driver. In that space each window is compared with each benchmark passage by cosine; words that are in
+no passage count for nothing there, so cosines do not fall as the corpus grows. Candidates are confirmed
+on words: by the longest common subsequence with the text around the window, or a shorter one where the
+passage's answer, its last words, stands there too.
+
+The benchmark is a stated query set, taken in blocks of at most ``BLOCK_ITEMS`` items and
+``BLOCK_CHARS`` characters (or one item); only a block is ever broadcast. All documents are searched
+whole, ``SLICE`` windows at a time.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ from newsrate.llm.common import stored
 
 BLOCK = 16
 PASSAGE_WORDS = 48
-BLOCK_ITEMS = 2000
+BLOCK_ITEMS, BLOCK_CHARS = 2000, 2_000_000
+SLICE = 2048
+#: Texts are looked up together up to this many words; a longer one alone.
+TOGETHER = 200_000
 RANK, OVERSAMPLING = 64, 8
 #: Weight of the benchmark's own rows in the decomposition, against all windows.
 BENCHMARK_ENERGY = 4.0
-COSINE = 0.25
+#: Finds all but a few in a thousand of the paraphrases that the check on words accepts.
+COSINE = 0.4
 LCS, LCS_WITH_ANSWER = 0.8, 0.6
 ANSWER_SHARE = 0.25
 TERM_ROWS = 256
@@ -120,10 +126,57 @@ def _windows(rows: np.ndarray, place: np.ndarray, blocks: int) -> np.ndarray:
     return sums[:-1] + sums[1:]
 
 
-def _documents(batches) -> Iterator[tuple[int, np.ndarray]]:
+@dataclass
+class Texts:
+    """Word ids of some texts, one after the other. Each text begins on a block of its own, with an
+    empty block before it, so no window holds words of two texts."""
+
+    docs: list
+    ids: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    """Its first block by text."""
+    blocks: int
+
+    @classmethod
+    def of(cls, docs: list, parts: list[np.ndarray]) -> Texts:
+        sizes = np.array([len(x) for x in parts], "i8")
+        ends = np.cumsum(1 - -sizes // BLOCK)
+        return cls(docs, np.concatenate(parts), np.cumsum(sizes), ends + sizes // -BLOCK, int(ends[-1]))
+
+    def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words that are terms: their texts, places and columns."""
+        at, col = _columns(terms, self.ids)
+        sizes = np.diff(self.ends, prepend=0)
+        text = np.repeat(np.arange(len(sizes)), sizes)[at]
+        return text, at + (self.first * BLOCK - self.ends + sizes)[text], col
+
+    def slices(self, place: np.ndarray) -> Iterator[tuple[int, int, slice]]:
+        """(first window, number of blocks, words) of ``SLICE`` windows each; the last window of a
+        slice stands on one block more."""
+        for at in range(0, self.blocks, SLICE):
+            low, high = np.searchsorted(place, [at * BLOCK, (at + SLICE + 1) * BLOCK])
+            if low < high:
+                yield at, min(SLICE + 1, self.blocks - at), slice(low, high)
+
+    def empty(self, at: int) -> np.ndarray:
+        """The windows from ``at`` on, within a slice, that begin on an empty block."""
+        gaps = self.first - 1 - at
+        return gaps[(gaps >= 0) & (gaps < SLICE)]
+
+
+def _texts(batches) -> Iterator[Texts]:
+    docs, parts, n = [], [], 0
     for batch in batches:
         for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-            yield doc, np.frombuffer(ids.as_buffer(), "u4")
+            docs.append(doc)
+            parts.append(np.frombuffer(ids.as_buffer(), "u4"))
+            n += len(parts[-1])
+            if n >= TOGETHER or len(docs) >= TOGETHER:
+                yield Texts.of(docs, parts)
+                docs, parts, n = [], [], 0
+    if docs:
+        yield Texts.of(docs, parts)
 
 
 def document_frequencies(words: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -133,9 +186,11 @@ def document_frequencies(words: DataFrame, terms: np.ndarray) -> tuple[np.ndarra
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, docs = np.zeros(len(known.value) + 1, "i8"), 0
-        for _, ids in _documents(batches):
-            n[np.unique(_columns(known.value, ids)[1])] += 1
-            docs += 1
+        size = max(1, len(known.value))
+        for texts in _texts(batches):
+            text, _, col = texts.known(known.value)
+            n[:-1] += np.bincount(np.unique(text * size + col) % size, minlength=len(n) - 1)
+            docs += len(texts.docs)
         n[-1] = docs
         places = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n[places])], ["term", "n"])
@@ -159,21 +214,22 @@ def corpus_product(
         terms, idf, omega = shared.value
         total, energy = np.zeros((len(terms), width), "f8"), 0.0
         weighted = omega * idf[:, None]
-        for _, ids in _documents(batches):
-            place, col = _columns(terms, ids)
-            if not len(col):
-                continue
-            blocks = -(-len(ids) // BLOCK)
-            seen = _windows(weighted[col], place, blocks)
-            # A word stands in the window of its block and in that before it.
-            block = place // BLOCK
-            back = seen[block]
-            back[block > 0] += seen[block[block > 0] - 1]
-            order = np.argsort(col, kind="stable")
-            first = np.flatnonzero(np.diff(col[order], prepend=-1))
-            which = col[order[first]]
-            total[which] += np.add.reduceat(back[order], first, axis=0) * idf[which, None]
+        for texts in _texts(batches):
+            _, place, col = texts.known(terms)
             energy += 2 * float((idf[col] ** 2).sum())
+            for at, blocks, rows in texts.slices(place):
+                here, own = place[rows] - at * BLOCK, col[rows]
+                seen = _windows(weighted[own], here, blocks)
+                seen[texts.empty(at)] = 0
+                seen[SLICE:] = 0
+                # A word stands in the window of its block and in that before it.
+                block = here // BLOCK
+                back = seen[block]
+                back[block > 0] += seen[block[block > 0] - 1]
+                order = np.argsort(own, kind="stable")
+                first = np.flatnonzero(np.diff(own[order], prepend=-1))
+                which = own[order[first]]
+                total[which] += np.add.reduceat(back[order], first, axis=0) * idf[which, None]
         starts = range(0, len(terms), TERM_ROWS)
         yield pa.RecordBatch.from_arrays(
             [
@@ -219,58 +275,93 @@ def latent_space(product: np.ndarray, omega: np.ndarray, rank: int) -> np.ndarra
     return np.linalg.svd(half, full_matrices=False)[0][:, :rank]
 
 
-def _search_block(words: DataFrame, queries: list[Passage]) -> DataFrame:
-    spark = words.sparkSession
+@dataclass
+class Index:
+    """A block of passages in the latent space."""
+
+    terms: np.ndarray
+    idf: np.ndarray
+    project: np.ndarray
+    query: np.ndarray
+    queries: list[Passage]
+
+
+def own_terms(queries: list[Passage], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passages x terms matrix of occurrences by its entries: passage and term of each word."""
+    sizes = [len(p.words) for p in queries]
+    cols = np.searchsorted(terms, np.concatenate([p.words for p in queries]))
+    return np.repeat(np.arange(len(queries)), sizes), cols
+
+
+def index_of(words: DataFrame, queries: list[Passage]) -> Index:
+    """The latent space of all windows and the passages, and the passages in it."""
     terms = np.unique(np.concatenate([p.words for p in queries]))
     df, docs = document_frequencies(words, terms)
     idf = np.log((1.0 + docs) / (1.0 + df)) + 0.1
-    rare = float(np.log(1.0 + docs) + 0.1)
-    own = np.zeros((len(queries), len(terms)))
-    for row, p in zip(own, queries):
-        np.add.at(row, np.searchsorted(terms, p.words), 1.0)
-    own *= idf
+    row, col = own_terms(queries, terms)
+    first = np.flatnonzero(np.diff(row, prepend=-1))
+
+    def own(x: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(x[col] * idf[col, None], first, axis=0)
+
     omega = np.random.default_rng(11).standard_normal((len(terms), RANK + OVERSAMPLING))
     product, energy = corpus_product(words, terms, idf, omega)
-    weight = BENCHMARK_ENERGY * max(energy, 1.0) / (own**2).sum()
-    product += weight * (own.T @ (own @ omega))
+    cell, times = np.unique(row * len(terms) + col, return_counts=True)
+    squares = (times * idf[cell % len(terms)]) ** 2
+    norm = np.sqrt(np.bincount(cell // len(terms), squares, len(queries)))
+    weight = BENCHMARK_ENERGY * max(energy, 1.0) / squares.sum()
+    np.add.at(product, col, weight * own(omega)[row] * idf[col, None])
     space = latent_space(product, omega, RANK)
-    placed = own @ space
-    norm = np.linalg.norm(own, axis=1)
+    placed = own(space)
     # The cosine, relative to what the space keeps of the passage itself.
     kept = np.maximum((placed**2).sum(1), 1e-9)
     query = (placed * (norm / kept)[:, None]).T.astype("f4")
     project = (space * idf[:, None]).astype("f4")
-    shared = spark.sparkContext.broadcast((terms, idf.astype("f4"), project, query, queries))
+    return Index(terms, idf.astype("f4"), project, query, queries)
+
+
+def matches(texts: Texts, index: Index, cosine: float = COSINE) -> list[tuple]:
+    """(doc, item, first word of the region, share, cosine) of the items that the texts hold. A
+    ``cosine`` of ``-inf`` leaves the candidate search out."""
+    _, place, col = texts.known(index.terms)
+    best: dict[tuple[int, int], tuple] = {}
+    begins = np.concatenate([[0], texts.ends])
+    for at, blocks, rows in texts.slices(place):
+        here, own = place[rows] - at * BLOCK, col[rows]
+        sums = _windows(index.project[own], here, blocks)[:SLICE]
+        length = np.sqrt(_windows(index.idf[own, None] ** 2, here, blocks)[:SLICE])
+        near = (sums @ index.query) / np.maximum(length, 1e-6)
+        windows, found = np.nonzero(near >= cosine)
+        owner = np.searchsorted(texts.first, windows + at, "right") - 1
+        skip = np.zeros(SLICE + 1, bool)
+        skip[texts.empty(at)] = True
+        last, around, around_words, start = -1, texts.ids, set(), 0
+        keep = ~skip[windows]
+        for w, q, t in zip(windows[keep].tolist(), found[keep].tolist(), owner[keep].tolist()):
+            p = index.queries[q]
+            key = t, p.item_id
+            if key in best and best[key][3] == 1.0:
+                continue
+            if w != last:
+                ids = texts.ids[begins[t] : begins[t + 1]]
+                word = (at + w - int(texts.first[t])) * BLOCK
+                start = max(0, word - PASSAGE_WORDS)
+                around = ids[start : word + 2 * BLOCK + PASSAGE_WORDS]
+                last, around_words = w, set(around.tolist())
+            if p.present(around_words) < LCS_WITH_ANSWER:
+                continue
+            share = matched(around, p)
+            if share > (best[key][3] if key in best else 0.0):
+                best[key] = (texts.docs[t], p.item_id, start, share, float(near[w, q]))
+    return [found for found in best.values() if found[0] is not None]
+
+
+def _search_block(words: DataFrame, queries: list[Passage]) -> DataFrame:
+    shared = words.sparkSession.sparkContext.broadcast(index_of(words, queries))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, idf, project, query, queries = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for doc, ids in _documents([batch]):
-                place, col = _columns(terms, ids)
-                if not len(col) or doc is None:
-                    continue
-                blocks = -(-len(ids) // BLOCK)
-                squares = np.full((len(ids), 1), rare * rare, "f4")
-                squares[place, 0] = idf[col] ** 2
-                length = np.sqrt(_windows(squares, np.arange(len(ids)), blocks))
-                near = (_windows(project[col], place, blocks) @ query) / length
-                best: dict[int, tuple] = {}
-                last, around, around_words = -1, ids, set()
-                for w, q in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
-                    p = queries[q]
-                    if p.item_id in best and best[p.item_id][3] == 1.0:
-                        continue
-                    if w != last:
-                        start = max(0, w * BLOCK - PASSAGE_WORDS)
-                        around = ids[start : (w + 2) * BLOCK + PASSAGE_WORDS]
-                        last, around_words = w, set(around.tolist())
-                    if p.present(around_words) < LCS_WITH_ANSWER:
-                        continue
-                    share = matched(around, p)
-                    if share > best.get(p.item_id, (0, 0, 0, 0.0))[3]:
-                        best[p.item_id] = (doc, p.item_id, start, share, float(near[w, q]))
-                out += best.values()
+        for texts in _texts(batches):
+            out = matches(texts, shared.value)
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.float64()] * 2)],
@@ -290,7 +381,8 @@ def leaks(
     """(doc_id, item_id, start, similarity, cosine): which documents hold which items, the word
     from which the matching region was read, the share of the passage found there in order, and
     the cosine. Null or empty texts and items match nothing; rows with a null id on either side
-    are left out; repeated rows give their matches again, repeated items once."""
+    are left out; repeated rows give their matches again, repeated items once. A very long text is searched
+    in slices of windows."""
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +394,8 @@ def leaks(
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words = stored(source.mapInArrow(coded, "doc_id long, words binary"), "words")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    blocks = max(1, -(-items.count() // block_items))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    blocks = max(1, -(-size.n // block_items), -(-(size.chars or 0) // BLOCK_CHARS))
     found = None
     for b in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)

@@ -192,10 +192,48 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in found} == expected
     in_blocks = decontaminate.leaks(docs, benchmark, block_items=3).collect()
     assert {(r.doc_id, r.item_id) for r in in_blocks} == expected
+    twice = docs.union(docs).withColumn("item_id", docs.doc_id).withColumn("words", docs.text)
+    assert decontaminate.leaks(twice, benchmark).count() == 2 * len(found)
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leaks_recall_against_the_check_on_words(spark):
+    rng = random.Random(8)
+    folder = "/root/testdata/sf0.01"
+    hosts = [decontaminate.word_ids(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").limit(300).collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    queries = decontaminate.passages(items)
+    pool = np.concatenate(hosts).tolist()
+    rows = [(i, bytearray(h.tobytes())) for i, h in enumerate(hosts)]
+    index = decontaminate.index_of(spark.createDataFrame(rows, "doc_id long, words binary"), queries)
+    wanted, got = set(), set()
+    cases = []
+    for p in queries:
+        for share in (0.62, 0.7, 0.85):
+            kept = p.words.copy()
+            body = range(len(kept) - len(p.answer) if share < 0.8 else len(kept))
+            lost = rng.sample(body, len(kept) - math.ceil(share * len(kept)))
+            kept[lost] = rng.choices(pool, k=len(lost))
+            host = rng.choice(hosts)
+            cases.append(np.concatenate([host[:300], kept, host[300:600]]).astype("u4"))
+        spread = [x for w in p.words.tolist() for x in [w, *rng.choices(pool, k=rng.random() < 0.4)]]
+        cases.append(np.concatenate([rng.choice(hosts)[:200], np.array(spread, "u4")]).astype("u4"))
+    for doc, ids in enumerate(cases):
+        one = decontaminate.Texts.of([doc], [ids])
+        wanted |= {m[:2] for m in decontaminate.matches(one, index, -np.inf)}
+        got |= {m[:2] for m in decontaminate.matches(one, index)}
+    assert got <= wanted and len(wanted) >= 0.9 * len(cases)
+    assert len(got) >= 0.98 * len(wanted)
+    # The same together, in slices, and for a text of many slices.
+    together = decontaminate.matches(decontaminate.Texts.of(list(range(len(cases))), cases), index)
+    assert {m[:2] for m in together} == got
+    long = np.concatenate(cases[:400] * 2).astype("u4")
+    assert len(long) > 2 * decontaminate.SLICE * decontaminate.BLOCK
+    items = {m[1] for m in decontaminate.matches(decontaminate.Texts.of([None, 1], [long, long]), index)}
+    assert items >= {i for d, i in got if d < 400}
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(60):
