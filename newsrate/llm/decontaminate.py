@@ -284,6 +284,8 @@ class Index:
     project: np.ndarray
     query: np.ndarray
     queries: list[Passage]
+    columns: np.ndarray
+    """The terms of each passage's words, padded with the number of terms."""
 
 
 def own_terms(queries: list[Passage], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -317,13 +319,53 @@ def index_of(words: DataFrame, queries: list[Passage]) -> Index:
     kept = np.maximum((placed**2).sum(1), 1e-9)
     query = (placed * (norm / kept)[:, None]).T.astype("f4")
     project = (space * idf[:, None]).astype("f4")
-    return Index(terms, idf.astype("f4"), project, query, queries)
+    columns = np.full((len(queries), max(len(p.words) for p in queries)), len(terms))
+    columns[row, np.arange(len(row)) - first[row]] = col
+    return Index(terms, idf.astype("f4"), project, query, queries, columns)
+
+
+#: Blocks before a window and after its first block that its surroundings reach.
+BEFORE, AFTER = PASSAGE_WORDS // BLOCK, 1 + PASSAGE_WORDS // BLOCK
+#: Cells of the table of terms by window.
+CELLS = 1 << 24
+
+
+def present(
+    texts: Texts, index: Index, word: tuple, windows: np.ndarray, queries: np.ndarray
+) -> np.ndarray:
+    """For pairs of window and passage, windows ascending: whether enough of the passage's words stand
+    around the window, in its text. ``word`` are texts, places and columns of the known words."""
+    text, place, col = word
+    good = np.zeros(len(windows), bool)
+    sizes = np.array([len(p.words) for p in index.queries])
+    last = np.concatenate([texts.first[1:] - 1, [texts.blocks]])
+    step = max(1, CELLS // (len(index.terms) + 1))
+    table = np.zeros((min(step, SLICE), len(index.terms) + 1), bool)
+    step = len(table)
+    done = 0
+    while done < len(windows):
+        begin = windows[done]
+        until = np.searchsorted(windows, begin + step)
+        low, high = np.searchsorted(place, [(begin - BEFORE) * BLOCK, (begin + step + AFTER) * BLOCK])
+        block, own, t = place[low:high] // BLOCK, col[low:high], text[low:high]
+        table[:] = False
+        for k in range(-AFTER, BEFORE + 1):
+            w = block + k
+            here = (w >= begin) & (w < begin + step) & (w >= texts.first[t]) & (w < last[t])
+            table[w[here] - begin, own[here]] = True
+        for at in range(done, until, 1 << 16):
+            part = slice(at, min(until, at + (1 << 16)))
+            q = queries[part]
+            found = table[(windows[part] - begin)[:, None], index.columns[q]].sum(1)
+            good[part] = found >= LCS_WITH_ANSWER * sizes[q] - 1e-9
+        done = until
+    return good
 
 
 def matches(texts: Texts, index: Index, cosine: float = COSINE) -> list[tuple]:
     """(doc, item, first word of the region, share, cosine) of the items that the texts hold. A
     ``cosine`` of ``-inf`` leaves the candidate search out."""
-    _, place, col = texts.known(index.terms)
+    _, place, col = word = texts.known(index.terms)
     best: dict[tuple[int, int], tuple] = {}
     begins = np.concatenate([[0], texts.ends])
     for at, blocks, rows in texts.slices(place):
@@ -332,27 +374,28 @@ def matches(texts: Texts, index: Index, cosine: float = COSINE) -> list[tuple]:
         length = np.sqrt(_windows(index.idf[own, None] ** 2, here, blocks)[:SLICE])
         near = (sums @ index.query) / np.maximum(length, 1e-6)
         windows, found = np.nonzero(near >= cosine)
-        owner = np.searchsorted(texts.first, windows + at, "right") - 1
-        skip = np.zeros(SLICE + 1, bool)
-        skip[texts.empty(at)] = True
-        last, around, around_words, start = -1, texts.ids, set(), 0
-        keep = ~skip[windows]
-        for w, q, t in zip(windows[keep].tolist(), found[keep].tolist(), owner[keep].tolist()):
+        gap = np.zeros(SLICE + 1, bool)
+        gap[texts.empty(at)] = True
+        keep = ~gap[windows]
+        windows, found = windows[keep] + at, found[keep]
+        keep = present(texts, index, word, windows, found)
+        windows, found = windows[keep], found[keep]
+        owner = np.searchsorted(texts.first, windows, "right") - 1
+        last, around, start = -1, texts.ids, 0
+        for w, q, t in zip(windows.tolist(), found.tolist(), owner.tolist()):
             p = index.queries[q]
             key = t, p.item_id
             if key in best and best[key][3] == 1.0:
                 continue
             if w != last:
                 ids = texts.ids[begins[t] : begins[t + 1]]
-                word = (at + w - int(texts.first[t])) * BLOCK
-                start = max(0, word - PASSAGE_WORDS)
-                around = ids[start : word + 2 * BLOCK + PASSAGE_WORDS]
-                last, around_words = w, set(around.tolist())
-            if p.present(around_words) < LCS_WITH_ANSWER:
-                continue
+                first = (w - int(texts.first[t])) * BLOCK
+                start = max(0, first - PASSAGE_WORDS)
+                around = ids[start : first + 2 * BLOCK + PASSAGE_WORDS]
+                last = w
             share = matched(around, p)
             if share > (best[key][3] if key in best else 0.0):
-                best[key] = (texts.docs[t], p.item_id, start, share, float(near[w, q]))
+                best[key] = (texts.docs[t], p.item_id, start, share, float(near[w - at, q]))
     return [found for found in best.values() if found[0] is not None]
 
 

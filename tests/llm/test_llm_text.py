@@ -225,6 +225,13 @@ def test_leaks_recall_against_the_check_on_words(spark):
         got |= {m[:2] for m in decontaminate.matches(one, index)}
     assert got <= wanted and len(wanted) >= 0.9 * len(cases)
     assert len(got) >= 0.98 * len(wanted)
+    for doc, ids in enumerate(cases[:40]):
+        # Without any index: every window and every passage.
+        starts = [max(0, w * decontaminate.BLOCK - decontaminate.PASSAGE_WORDS) for w in range(-(-len(ids) // decontaminate.BLOCK))]
+        ends = [(w + 2) * decontaminate.BLOCK + decontaminate.PASSAGE_WORDS for w in range(len(starts))]
+        brute = {(doc, p.item_id) for p in queries for a, b in zip(starts, ends)
+                 if p.present(set(ids[a:b].tolist())) >= decontaminate.LCS_WITH_ANSWER and decontaminate.matched(ids[a:b], p)}
+        assert brute == {m for m in wanted if m[0] == doc}
     # The same together, in slices, and for a text of many slices.
     together = decontaminate.matches(decontaminate.Texts.of(list(range(len(cases))), cases), index)
     assert {m[:2] for m in together} == got
