@@ -2,13 +2,15 @@
 
 Words are counted over all training documents. The ``VOCABULARY`` most frequent ones, the end and
 one symbol for all other words are the network's symbols; the output softmax is factored into a
-class and a word of that class. Another word costs its symbol and its share among all such words.
+class and a word of that class. Classes are cut by rank so that frequent words share small ones.
+Another word costs its symbol and its share among all such words.
 
 Training is data-parallel and reads every word: training documents are cut into stretches of at most
 ``STRETCH`` symbols, each of which is learned from once. Replicas train on their parts by truncated
-backpropagation (windows of ``WINDOW`` symbols, the state carried through a stretch) and are averaged
-after each of ``ROUNDS`` rounds. Scoring reads whole documents in windows with the state carried
-across them.
+backpropagation (windows of ``WINDOW`` symbols, the state carried through a stretch; stretches of one
+length together) and are averaged after each of ``ROUNDS`` rounds, on Spark and block by block. Their
+number grows with the training words, ``REPLICA_SYMBOLS`` a round for each at most. Scoring reads whole
+documents in windows with the state carried across them.
 
 Counts of the ``FREQUENT`` most frequent words are broadcast; the words beyond them are looked up by
 a join on their hash.
@@ -30,15 +32,17 @@ from newsrate.llm.common import crc_fold, stored, words_of
 
 FOLDS, HELD_OUT = 5, 1
 FREQUENT = 300_000
-CLASSES, CLASS_WORDS = 128, 128
 #: Symbols 0 and 1 are the end and all other words.
 END, OTHER = 0, 1
-VOCABULARY = CLASSES * CLASS_WORDS - 2
+SYMBOLS = 128 * 128
+VOCABULARY = SYMBOLS - 2
 EMBEDDING, HIDDEN = 16, 24
-STRETCH, WINDOW, BATCH = 192, 16, 256
-ROUNDS, REPLICAS = 2, 6
-RATE = 4e-3
-SCORE_BATCH = 2048
+STRETCH, WINDOW, BATCH = 192, 16, 1024
+ROUNDS, REPLICAS, REPLICA_SYMBOLS = 2, 6, 1 << 23
+#: Numbers in one block of parameters when replicas are averaged.
+BLOCK = 1 << 13
+RATE = 1.2e-2
+SCORE_BATCH = 1024
 
 Params = dict[str, np.ndarray]
 
@@ -51,25 +55,44 @@ def word_hashes(text: str | None) -> np.ndarray:
 # The network.
 
 
+def class_starts(symbols: int) -> np.ndarray:
+    """The first symbol of each class and the end of the last one. Symbols stand by falling
+    frequency, sizes grow with the rank; the end and the symbol of other words are alone."""
+    classes = max(math.isqrt(symbols) // 2, 1)
+    squares = (np.linspace(0, 1, classes + 1) ** 2 * symbols).astype("i8")
+    return np.unique(np.concatenate([np.arange(min(symbols, 3)), squares]))
+
+
 def first_params(counts: np.ndarray) -> Params:
     """Random inner weights; the output biases make the untrained network the unigram model of
-    ``counts`` (by symbol, a square number of them: as many classes as words in a class)."""
+    ``counts`` (by symbol)."""
     rng = np.random.default_rng(3)
-    classes = math.isqrt(len(counts))
-    p = (counts + 0.5).reshape(classes, classes)
+    starts = class_starts(len(counts))
+    p = counts + 0.5
+    mass = np.add.reduceat(p, starts[:-1])
     normal = lambda *shape: rng.standard_normal(shape).astype("f4")
     return {
         "E": normal(len(counts), EMBEDDING) * np.float32(0.3),
         "W": normal(EMBEDDING, 3 * HIDDEN) * np.float32(EMBEDDING**-0.5),
         "b": np.zeros(3 * HIDDEN, "f4"),
         "U": normal(HIDDEN, 3 * HIDDEN) * np.float32(HIDDEN**-0.5),
-        "C": np.zeros((HIDDEN, classes), "f4"),
-        "c": np.log(p.sum(1) / p.sum()).astype("f4"),
-        "O": np.zeros((classes, HIDDEN, classes), "f4"),
-        "o": np.log(p / p.sum(1, keepdims=True)).astype("f4"),
+        "C": np.zeros((HIDDEN, len(mass)), "f4"),
+        "c": np.log(mass / p.sum()).astype("f4"),
+        "O": np.zeros((len(counts), HIDDEN), "f4"),
+        "o": np.log(p / np.repeat(mass, np.diff(starts))).astype("f4"),
     }
 
 
+def flat(params: Params) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in params.values()])
+
+
+def views(numbers: np.ndarray, like: Params) -> Params:
+    """Parameters shaped as ``like`` that are parts of one array."""
+    ends = np.cumsum([v.size for v in like.values()])[:-1]
+    return {k: x.reshape(v.shape) for (k, v), x in zip(like.items(), np.split(numbers, ends))}
+
+
 def dump(params: Params) -> bytes:
     out = io.BytesIO()
     np.savez(out, **params)
@@ -81,118 +104,184 @@ def load(data: bytes) -> Params:
         return {k: held[k] for k in held.files}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def gates(x: np.ndarray) -> np.ndarray:
+    """The columns of the update gate, the reset gate and the new state, one after the other, each
+    in a block of its own."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def gated(x: np.ndarray, h: np.ndarray, U: np.ndarray):
+    """One step of the gated unit on ``gates``: the new state and what the way back needs."""
+    a = np.matmul(h, U)
+    zr = x[:2] + a[:2]
+    np.negative(zr, out=zr)
+    np.exp(zr, out=zr)
+    zr += 1
+    np.reciprocal(zr, out=zr)
+    z, r = zr
+    c = r * a[2]
+    c += x[2]
+    np.tanh(c, out=c)
+    new = h - c
+    new *= z
+    new += c
+    return new, (h, z, r, c, a[2])
 
 
 def step(x: np.ndarray, h: np.ndarray, U: np.ndarray):
-    """One step of the gated unit: the new state and what the way back needs."""
-    a = h @ U
-    n = HIDDEN
-    zr = _sigmoid(x[:, : 2 * n] + a[:, : 2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    c = np.tanh(x[:, 2 * n :] + r * a[:, 2 * n :])
-    return c + z * (h - c), (h, z, r, c, a[:, 2 * n :])
+    """``gated`` with the gates side by side."""
+    return gated(gates(x), h, gates(U))
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def tame(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether no exponential of ``weights`` times a state, which is within -1 and 1, plus ``bias``
+    can overflow or vanish."""
+    return float((np.abs(weights).sum(axis=-1) + np.abs(bias)).max(initial=0)) < 60
 
 
-def outputs(h: np.ndarray, targets: np.ndarray, params: Params, back: bool = False):
-    """Natural log probabilities of the targets; with ``back`` also the gradients of their negative
-    sum for the states and the output weights."""
-    cls, word = np.divmod(targets, params["o"].shape[1])
+def picked(x: np.ndarray, which: tuple, back: bool, safe: bool) -> np.ndarray:
+    """Log softmax of the rows of ``x`` at ``which``. With ``back``, ``x`` becomes the gradient of
+    its negative. Unless it is ``safe``, the largest of each row is taken off first."""
+    if not safe:
+        x -= x.max(axis=1, keepdims=True)
+    chosen = x[which]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], "f4")
+    if back:
+        x *= (1 / total)[:, None]
+        x[which] -= 1
+    return chosen - np.log(total)
+
+
+def outputs(h: np.ndarray, targets: np.ndarray, params: Params, grads: Params | None = None):
+    """Natural log probabilities of the targets; with ``grads`` the gradients of their negative sum
+    are added to the output weights' there, and those for the states are returned too."""
+    back = grads is not None
+    starts = class_starts(len(params["o"]))
+    order = np.argsort(targets.astype("u2"), kind="stable")
+    h, targets = h[order], targets[order]
+    cls = np.searchsorted(starts, targets, "right") - 1
     at = np.arange(len(targets))
-    classes = log_softmax(h @ params["C"] + params["c"])
-    logp = classes[at, cls].astype("f8")
-    grads: Params = {}
+    x = h @ params["C"]
+    x += params["c"]
+    part = picked(x, (at, cls), back, tame(params["C"].T, params["c"])).astype("f8")
+    safe = tame(params["O"], params["o"])
     if back:
-        d = np.exp(classes)
-        d[at, cls] -= 1
-        grads = {"C": h.T @ d, "c": d.sum(0)}
-        dh = d @ params["C"].T
-        grads |= {k: np.zeros_like(params[k]) for k in ("O", "o")}
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(len(params["c"]) + 1))
-    ordered, word = h[order], word[order]
-    part, down = np.empty(len(targets), "f4"), np.empty_like(ordered)
-    for k in np.flatnonzero(np.diff(ends)):
-        rows = slice(ends[k], ends[k + 1])
-        own = log_softmax(ordered[rows] @ params["O"][k] + params["o"][k])
-        which = at[: len(own)], word[rows]
-        part[rows] = own[which]
+        grads["C"] += h.T @ x
+        grads["c"] += x.sum(0)
+        down = x @ params["C"].T
+    ends = np.searchsorted(cls, np.arange(len(starts)))
+    for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(starts) > 1)):
+        rows, words = slice(ends[k], ends[k + 1]), slice(starts[k], starts[k + 1])
+        own = h[rows]
+        x = own @ params["O"][words].T
+        x += params["o"][words]
+        part[rows] += picked(x, (at[: len(own)], targets[rows] - starts[k]), back, safe)
         if back:
-            d = np.exp(own)
-            d[which] -= 1
-            grads["O"][k], grads["o"][k] = ordered[rows].T @ d, d.sum(0)
-            down[rows] = d @ params["O"][k].T
-    logp[order] += part
-    if back:
-        dh[order] += down
-    return (logp, dh, grads) if back else logp
-
-
-def window_gradients(params: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray):
-    """Loss, gradients and last state of one window. ``targets`` are -1 where a text is over."""
+            grads["O"][words] += x.T @ own
+            grads["o"][words] += x.sum(0)
+            down[rows] += x @ params["O"][words]
+    logp = np.empty_like(part)
+    logp[order] = part
+    if not back:
+        return logp
+    dh = np.empty_like(down)
+    dh[order] = down
+    return logp, dh
+
+
+def window_gradients(
+    params: Params, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, grads: Params | None = None
+):
+    """Loss, number of targets, gradients (in ``grads`` if given, which is zero) and last state of one
+    window. ``targets`` are -1 where a text is over."""
     T, B = inputs.shape
+    grads = grads or {k: np.zeros_like(v) for k, v in params.items()}
     used, places = np.unique(inputs, return_inverse=True)
     places = places.reshape(T, B)
-    table = params["E"][used] @ params["W"] + params["b"]
+    table, U = gates(params["E"][used] @ params["W"] + params["b"]), gates(params["U"])
     states, kept = np.empty((T, B, HIDDEN), "f4"), []
     for t in range(T):
-        h, memo = step(table[places[t]], h, params["U"])
+        h, memo = gated(table[:, places[t]], h, U)
         states[t] = h
         kept.append(memo)
     valid = np.flatnonzero(targets.ravel() >= 0)
-    logp, dh, grads = outputs(
-        states.reshape(-1, HIDDEN)[valid], targets.ravel()[valid], params, back=True
-    )
+    logp, dh = outputs(states.reshape(-1, HIDDEN)[valid], targets.ravel()[valid], params, grads)
     down = np.zeros((T * B, HIDDEN), "f4")
     down[valid] = dh
     down = down.reshape(T, B, HIDDEN)
-    dU, dx = np.zeros_like(params["U"]), np.empty((T, B, 3 * HIDDEN), "f4")
-    ahead = np.zeros((B, HIDDEN), "f4")
+    dx, dU = np.empty((T, 3, B, HIDDEN), "f4"), np.zeros_like(U)
+    ahead, back = np.zeros((B, HIDDEN), "f4"), U.transpose(0, 2, 1)
     for t in reversed(range(T)):
         before, z, r, c, a = kept[t]
         d = down[t] + ahead
-        pc = d * (1 - z) * (1 - c * c)
-        pz = d * (before - c) * z * (1 - z)
-        pr = pc * a * r * (1 - r)
-        da = np.concatenate([pz, pr, pc * r], axis=1)
-        dx[t] = np.concatenate([pz, pr, pc], axis=1)
-        dU += before.T @ da
-        ahead = d * z + da @ params["U"].T
-    order = np.argsort(places.ravel(), kind="stable")
+        da = dx[t]
+        pc = d * (1 - z)
+        pc *= 1 - c * c
+        np.multiply(before - c, z, out=da[0])
+        da[0] *= d
+        da[0] *= 1 - z
+        np.multiply(pc, a, out=da[1])
+        da[1] *= r
+        da[1] *= 1 - r
+        np.multiply(pc, r, out=da[2])
+        dU += np.matmul(before.T, da)
+        ahead = d
+        ahead *= z
+        for k in range(3):
+            ahead += da[k] @ back[k]
+        da[2] = pc
+    grads["U"] += dU.transpose(1, 0, 2).reshape(HIDDEN, -1)
+    dx = dx.transpose(0, 2, 1, 3).reshape(T * B, -1)
+    order = np.argsort(places.ravel().astype("u2"), kind="stable")
     first = np.searchsorted(places.ravel()[order], np.arange(len(used)))
-    dtable = np.add.reduceat(dx.reshape(T * B, -1)[order], first, axis=0)
-    dE = np.zeros_like(params["E"])
-    dE[used] = dtable @ params["W"].T
-    grads |= {
-        "U": dU,
-        "E": dE,
-        "W": params["E"][used].T @ dtable,
-        "b": dtable.sum(0),
-    }
+    grads["E"][used] += np.add.reduceat((dx @ params["W"].T)[order], first, axis=0)
+    grads["W"] += params["E"][inputs.ravel()].T @ dx
+    grads["b"] += dx.sum(0)
     return -float(logp.sum()), len(valid), grads, h
 
 
 class Trainer:
+    """Adam over all parameters, which are parts of one array."""
+
     def __init__(self, params: Params):
-        self.params = {k: v.copy() for k, v in params.items()}
-        self.m = {k: np.zeros_like(v) for k, v in params.items()}
-        self.v = {k: np.zeros_like(v) for k, v in params.items()}
+        self.all = flat(params)
+        self.params = views(self.all, params)
+        self.gradient, self.m, self.v, self.spare = np.zeros((4, len(self.all)), "f4")
+        self.grads = views(self.gradient, params)
         self.steps = self.tokens = 0
 
-    def update(self, grads: Params, n: int) -> None:
+    def update(self, n: int) -> None:
+        """One step along the mean gradient of ``n`` symbols, which is zero afterwards."""
         self.steps += 1
-        for k, g in grads.items():
-            g = g / np.float32(max(n, 1))
-            self.m[k] += 0.1 * (g - self.m[k])
-            self.v[k] += 0.001 * (g * g - self.v[k])
-            m, v = self.m[k] / (1 - 0.9**self.steps), self.v[k] / (1 - 0.999**self.steps)
-            self.params[k] -= (RATE * m / (np.sqrt(v) + 1e-8)).astype("f4")
+        g, spare = self.gradient, self.spare
+        g *= np.float32(1 / max(n, 1))
+        self.v *= np.float32(0.999)
+        np.multiply(g, g, out=spare)
+        spare *= np.float32(0.001)
+        self.v += spare
+        self.m *= np.float32(0.9)
+        g *= np.float32(0.1)
+        self.m += g
+        np.sqrt(self.v, out=spare)
+        spare *= np.float32((1 - 0.999**self.steps) ** -0.5)
+        spare += np.float32(1e-8)
+        np.divide(self.m, spare, out=spare)
+        spare *= np.float32(RATE / (1 - 0.9**self.steps))
+        self.all -= spare
+        g[:] = 0
+
+    def learn_all(self, stretches: Iterator[np.ndarray]) -> None:
+        """Learn from stretches of about one length together, the rest at the end."""
+        waiting: dict[int, list[np.ndarray]] = {}
+        for ids in stretches:
+            same = waiting.setdefault((len(ids) - 2) // WINDOW, [])
+            same.append(ids)
+            if len(same) == BATCH:
+                self.learn(waiting.pop((len(ids) - 2) // WINDOW))
+        rest = [ids for k in sorted(waiting) for ids in waiting[k]]
+        for at in range(0, len(rest), BATCH):
+            self.learn(rest[at : at + BATCH])
 
     def learn(self, texts: list[np.ndarray]) -> None:
         """Truncated backpropagation over stretches side by side. A stretch is the symbol before it
@@ -208,44 +297,38 @@ class Trainer:
         for at in range(0, lengths[0], WINDOW):
             active = int(np.searchsorted(-lengths, -at))
             part = slice(at, at + WINDOW), slice(active)
-            _, n, grads, h = window_gradients(self.params, inputs[part], targets[part], h[:active])
-            self.update(grads, n)
+            _, n, _, h = window_gradients(self.params, inputs[part], targets[part], h[:active], self.grads)
+            self.update(n)
             self.tokens += n
 
 
 def log_probabilities(params: Params, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probabilities of whole symbol sequences, in windows with the state carried."""
+    """Natural log probabilities of whole symbol sequences, in windows with the state carried.
+    Windows are longer where few texts go on."""
     total = np.zeros(len(texts))
-    table = params["E"] @ params["W"] + params["b"]
-    by_length = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    table, U = gates(params["E"] @ params["W"] + params["b"]), gates(params["U"])
+    sizes = np.array([len(x) for x in texts], "i8")
+    by_length = np.argsort(-sizes, kind="stable")
     for first in range(0, len(texts), SCORE_BATCH):
-        which = np.array(by_length[first : first + SCORE_BATCH])
-        lengths = np.array([len(texts[i]) for i in which])
-        h = np.zeros((len(which), HIDDEN), "f4")
-        last = np.full(len(which), END)
-        for at in range(0, int(lengths[0]) if len(lengths) else 0, WINDOW):
+        which = by_length[first : first + SCORE_BATCH]
+        lengths = sizes[which]
+        symbols = np.concatenate([texts[i] for i in which])
+        starts = np.cumsum(lengths) - lengths
+        h, last = np.zeros((len(which), HIDDEN), "f4"), np.full(len(which), END)
+        at = 0
+        while at < lengths[0]:
             active = int(np.searchsorted(-lengths, -at))
-            part = np.full((WINDOW, active), -1, "i8")
-            for j in range(active):
-                ids = texts[which[j]][at : at + WINDOW]
-                part[: len(ids), j] = ids
-            states, rows = [], []
-            h, last = h[:active], last[:active]
-            for t in range(WINDOW):
-                n = int(np.searchsorted(-lengths, -(at + t)))
-                if not n:
-                    break
-                h[:n] = step(table[last[:n]], h[:n], params["U"])[0]
-                last[:n] = part[t, :n]
-                states.append(h[:n].copy())
-                rows.append(n)
-            logp = outputs(
-                np.concatenate(states),
-                np.concatenate([part[t, :n] for t, n in enumerate(rows)]),
-                params,
-            )
-            who = np.concatenate([np.arange(n) for n in rows])
+            end = min(at + max(WINDOW, SCORE_BATCH * WINDOW // active), int(lengths[0]))
+            states, targets, rows = [], [], np.searchsorted(-lengths, -np.arange(at, end))
+            for t, n in zip(range(at, end), rows):
+                h = gated(table[:, last[:n]], h[:n], U)[0]
+                last = symbols[starts[:n] + t]
+                states.append(h)
+                targets.append(last)
+            logp = outputs(np.concatenate(states), np.concatenate(targets), params)
+            who = np.arange(len(logp)) - np.repeat(np.cumsum(rows) - rows, rows)
             total[which[:active]] += np.bincount(who, logp, active)
+            at = end
     return total
 
 
@@ -253,28 +336,42 @@ def log_probabilities(params: Params, texts: list[np.ndarray]) -> np.ndarray:
 
 
 class Known:
-    """Counts and symbols of the frequent words, for binary search by hash."""
+    """Counts and symbols of the frequent words, found by the first bits of their hash."""
+
+    BITS = 20
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
         by_count = np.lexsort((hashes, -counts))[:VOCABULARY]
-        symbols = np.full(len(hashes), OTHER, "i8")
+        symbols = np.full(len(hashes), OTHER, "u2")
         symbols[by_count] = np.arange(len(by_count)) + 2
-        order = np.argsort(hashes)
+        order = np.argsort(hashes.view("u8"))
         self.hashes, self.counts, self.symbols = hashes[order], counts[order], symbols[order]
-
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each hash stands and whether it does."""
-        if not len(self.hashes):
-            return np.zeros(len(hashes), "i8"), np.zeros(len(hashes), bool)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return at, self.hashes[at] == hashes
-
-    def symbol_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """The symbols of a text, the end included."""
-        at, found = self.find(hashes)
-        ids = np.full(len(hashes) + 1, OTHER, "i8")
-        ids[:-1][found] = self.symbols[at[found]]
+        self.first = np.searchsorted(self.slots(self.hashes), np.arange((1 << self.BITS) + 1))
+        self.first = self.first.astype("i4")
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes.view("u8") >> np.uint64(64 - self.BITS)).view("i8")
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each hash stands, -1 if it does not."""
+        slots = self.slots(hashes)
+        at, end = self.first[slots], self.first[slots + 1]
+        found = np.full(len(hashes), -1, "i4")
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            same = self.hashes[here] == hashes[left]
+            found[left[same]] = here[same]
+            left = left[~same]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return found
+
+    def symbol_ids(self, at: np.ndarray) -> np.ndarray:
+        """The symbols of a text's words, found at ``at``, and of its end."""
+        ids = np.full(len(at) + 1, OTHER, "u2")
+        known = at >= 0
+        ids[:-1][known] = self.symbols[at[known]]
         ids[-1] = END
         return ids
 
@@ -315,27 +412,45 @@ def in_round(r: int, rounds: int) -> Column:
 
 def cut(ids: np.ndarray) -> list[np.ndarray]:
     """The consecutive stretches of a text's symbols, each after the symbol before it."""
-    ids = np.concatenate([[END], ids])
+    ids = np.concatenate([np.array([END], ids.dtype), ids])
     return [ids[at : at + STRETCH + 1] for at in range(0, len(ids) - 1, STRETCH)]
 
 
+MEAN = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("tokens", pa.int64()), ("numbers", pa.binary())])
+MEAN_DDL = "shard int, block int, tokens long, numbers binary"
+
+
+def mean_block(rows: pa.Table) -> pa.Table:
+    """One row: the mean of a block of parameters, by tokens. Summed in the order of the numbers, so
+    that reruns agree."""
+    order = sorted(rows.to_pylist(), key=lambda x: (x["tokens"], x["numbers"]))
+    tokens = sum(x["tokens"] for x in order)
+    mean = sum(np.frombuffer(x["numbers"], "f4") * (x["tokens"] / tokens) for x in order)
+    first = order[0]
+    return pa.Table.from_pylist(
+        [{**first, "tokens": tokens, "numbers": mean.astype("f4").tobytes()}], schema=MEAN
+    )
+
+
 def train_model(
     train: DataFrame, known: Known, counts: np.ndarray, replicas: int, rounds: int
 ) -> tuple[Params, int]:
     """``rounds`` rounds of replicas, averaged by the symbols they learned from, and the number of
-    symbols learned from in all rounds. At most ``replicas`` parameter sets (about 2.7 MB each)
-    come to the driver at once."""
+    symbols learned from in all rounds. ``counts`` are those of the symbols in ``train``; there are
+    ``replicas`` replicas, or more if that would be over ``REPLICA_SYMBOLS`` for each. One parameter
+    set (about 2.7 MB) comes to the driver in a round."""
     spark = train.sparkSession
     shared = spark.sparkContext.broadcast(known)
+    replicas = max(replicas, math.ceil(float(counts.sum()) / rounds / REPLICA_SYMBOLS))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out, seeds = [], []
                 for text in batch.column(0).slice(at, 500):
-                    hashes = word_hashes(text.as_py())
-                    seed = xxh3_64_intdigest(hashes.tobytes())
-                    for i, ids in enumerate(cut(shared.value.symbol_ids(hashes))):
+                    symbols = shared.value.symbol_ids(shared.value.find(word_hashes(text.as_py())))
+                    seed = xxh3_64_intdigest(symbols.tobytes())
+                    for i, ids in enumerate(cut(symbols)):
                         out.append(ids.astype("<u2").tobytes())
                         seeds.append(xxh3_64_intdigest(i.to_bytes(8, "little"), seed) >> 1)
                 yield pa.RecordBatch.from_arrays(
@@ -344,41 +459,48 @@ def train_model(
 
     data = stored(train.select("text").mapInArrow(stretches, "seed long, ids binary"), "stretches")
     params, learned = first_params(counts), 0
+    shards = math.isqrt(replicas)
     for r in range(rounds):
         begin = spark.sparkContext.broadcast(dump(params))
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trainer, waiting = Trainer(load(begin.value)), []
-            for batch in batches:
-                for ids in batch.column(0):
-                    waiting.append(np.frombuffer(ids.as_buffer(), "<u2").astype("i8"))
-                    if len(waiting) == BATCH:
-                        trainer.learn(waiting)
-                        waiting = []
-            if waiting:
-                trainer.learn(waiting)
-            if trainer.tokens:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([trainer.tokens]), pa.array([dump(trainer.params)], pa.binary())],
-                    ["tokens", "params"],
-                )
+            trainer, part = Trainer(load(begin.value)), 0
+
+            def rows() -> Iterator[np.ndarray]:
+                nonlocal part
+                for batch in batches:
+                    part = batch.column(1)[0].as_py()
+                    for ids in batch.column(0):
+                        yield np.frombuffer(ids.as_buffer(), "<u2").astype("i8")
+
+            trainer.learn_all(rows())
+            for k, at in enumerate(range(0, len(trainer.all), BLOCK)):
+                if trainer.tokens:
+                    numbers = trainer.all[at : at + BLOCK].tobytes()
+                    row = [part % shards], [k], [trainer.tokens], [numbers]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(row, MEAN.types)], MEAN.names
+                    )
 
         # Copies of one stretch are spread too: the part comes from the seed and the row's task.
-        part = F.pmod(F.xxhash64("seed", F.spark_partition_id()), F.lit(replicas))
-        mine = data.filter(in_round(r, rounds))
+        part = F.pmod(F.xxhash64("seed", F.spark_partition_id()), F.lit(replicas)).cast("int")
         found = (
-            mine.withColumn("part", part)
-            .repartition(replicas, "part")
+            data.filter(in_round(r, rounds))
+            .withColumn("part", part)
+            .repartitionById(replicas, F.col("part"))
             .sortWithinPartitions("seed")
-            .select("ids")
-            .mapInArrow(learn, "tokens long, params binary")
+            .select("ids", "part")
+            .mapInArrow(learn, MEAN_DDL)
+            .groupBy("block", "shard")
+            .applyInArrow(mean_block, MEAN_DDL)
+            .groupBy("block")
+            .applyInArrow(mean_block, MEAN_DDL)
             .collect()
         )
         if found:
-            total = sum(x.tokens for x in found)
-            learned += total
-            sets = [(x.tokens / total, load(x.params)) for x in found]
-            params = {k: sum(w * p[k] for w, p in sets).astype("f4") for k in params}
+            learned += found[0].tokens
+            blocks = [x.numbers for x in sorted(found, key=lambda x: x.block)]
+            params = views(np.frombuffer(b"".join(blocks), "f4"), params)
     return params, learned
 
 
@@ -415,7 +537,7 @@ def scores(
     size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, distinct = size.n + ends, size.v + (ends > 0)
     known = Known(*frequent_words(counts, frequent))
-    by_symbol = np.zeros(CLASSES * CLASS_WORDS, "f8")
+    by_symbol = np.zeros(SYMBOLS, "f8")
     inside = known.symbols != OTHER
     by_symbol[known.symbols[inside]] = known.counts[inside]
     by_symbol[END] = ends
@@ -434,16 +556,17 @@ def scores(
             n, found_n, base, extra, rare, texts = [], [], [], [], [], []
             for text in batch.column("text"):
                 hashes = word_hashes(text.as_py())
-                at, found = known.find(hashes)
-                own = logs[at[found]]
-                outside = known.symbols[at[found]] == OTHER
-                left = hashes[~found]
+                at = known.find(hashes)
+                left = hashes[at < 0]
+                texts.append(known.symbol_ids(at))
+                at = at[at >= 0]
+                own = logs[at]
+                outside = known.symbols[at] == OTHER
                 n.append(len(hashes) + 1)
                 found_n.append(len(own) + end_known)
                 base.append(own.sum() + end_score - norm * (len(hashes) + 1))
                 extra.append(own[outside].sum() - other_norm * (outside.sum() + len(left)))
                 rare.append(left)
-                texts.append(known.symbol_ids(hashes).astype("u2"))
             model = log_probabilities(params, texts) / np.log(10)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype("i4")
             values = np.concatenate([np.empty(0, "i8"), *rare])

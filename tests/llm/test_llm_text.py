@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from newsrate.llm import decontaminate, language_model, licenses, quality, toxicity
@@ -343,3 +344,58 @@ def test_state_is_carried_across_windows():
             total += language_model.outputs(h, np.array([t]), params)[0]
             last = t
         assert whole == pytest.approx(total, rel=1e-4)
+
+
+def test_words_are_found_by_their_hash():
+    rng = np.random.default_rng(4)
+    hashes = np.unique(np.concatenate([rng.integers(-(1 << 62), 1 << 62, 5000), np.arange(200), [-1, -(1 << 63), (1 << 63) - 1]]))
+    known = language_model.Known(hashes, rng.integers(1, 99, len(hashes)))
+    for wanted in (hashes, hashes + 1, np.empty(0, "i8")):
+        there = set(hashes.tolist())
+        at = known.find(wanted)
+        assert [a >= 0 for a in at.tolist()] == [h in there for h in wanted.tolist()]
+        assert (known.hashes[at[at >= 0]] == wanted[at >= 0]).all()
+    assert language_model.Known(np.empty(0, "i8"), np.empty(0, "i8")).find(hashes).max() == -1
+
+
+def test_replicas_are_averaged_by_what_they_learned(spark, monkeypatch):
+    """Parts by size, two levels of means: the same as a mean of the replicas at once."""
+    monkeypatch.setattr(language_model, "REPLICA_SYMBOLS", 40)
+    texts = [" ".join(f"w{(i * j) % 9}" for j in range(1 + i % 30)) for i in range(60)]
+    train = documents(spark, texts, "c int").select("text")
+    known = language_model.Known(np.empty(0, "i8"), np.empty(0, "i8"))
+    counts = np.zeros(language_model.SYMBOLS)
+    counts[0], counts[1] = 60, sum(len(t.split()) for t in texts)
+    params, learned = language_model.train_model(train, known, counts, 1, 1)
+    assert learned == counts.sum()
+    assert [v.shape for v in params.values()] == [v.shape for v in language_model.first_params(counts).values()]
+    assert all(np.isfinite(v).all() for v in params.values()) and np.abs(params["C"]).max() > 0
+    rng = np.random.default_rng(5)
+    sets = [(int(n), rng.standard_normal(6).astype("f4")) for n in rng.integers(1, 50, 9)]
+    row = lambda i: {"shard": i % 3, "block": 7, "tokens": sets[i][0], "numbers": sets[i][1].tobytes()}
+    table = lambda rows: pa.Table.from_pylist(rows, schema=language_model.MEAN)
+    level = [language_model.mean_block(table([row(i) for i in range(9) if i % 3 == k])).to_pylist()[0] for k in range(3)]
+    (got,) = language_model.mean_block(table(level)).to_pylist()
+    mean = sum(n * x for n, x in sets) / sum(n for n, _ in sets)
+    assert got["tokens"] == sum(n for n, _ in sets)
+    assert np.frombuffer(got["numbers"], "f4") == pytest.approx(mean, abs=1e-5)
+
+
+def test_wide_weights_are_scored_without_overflow():
+    rng = np.random.default_rng(6)
+    params = language_model.first_params(rng.random(100) * 9)
+    h = np.tanh(rng.standard_normal((50, language_model.HIDDEN))).astype("f4")
+    targets = rng.integers(0, 100, 50)
+    for size in (1, 300):
+        params["C"] = (rng.standard_normal(params["C"].shape) * size).astype("f4")
+        params["O"] = (rng.standard_normal(params["O"].shape) * size).astype("f4")
+        starts = language_model.class_starts(100)
+        got = language_model.outputs(h, targets, params)
+        for i, t in enumerate(targets):
+            k = int(np.searchsorted(starts, t, "right")) - 1
+            total = 0.0
+            for x, j in ((h[i] @ params["C"] + params["c"], k),
+                         ((params["O"] @ h[i] + params["o"])[starts[k] : starts[k + 1]], t - starts[k])):
+                x = x.astype("f8")
+                total += x[j] - x.max() - math.log(np.exp(x - x.max()).sum())
+            assert got[i] == pytest.approx(total, rel=1e-3, abs=1e-3)
