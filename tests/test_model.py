@@ -1,3 +1,4 @@
+from newsrate.operators import encode
 from newsrate.operators.encode import build_vocabulary, encode_text
 from newsrate.operators.metrics import (
     batch_metrics,
@@ -46,6 +47,29 @@ def test_encode_both_ways(spark):
     ]
 
 
+def test_encode_joins_only_rare_words(spark, monkeypatch):
+    # Of a vocabulary beyond the broadcast the first words travel; others and unknown ones are joined.
+    df = spark.createDataFrame(
+        [(i, f"a b a b a b rare{i % 3} new{i}") for i in range(30)] + [(30, None), (31, "b a")],
+        "id int, t string",
+    )
+    words = [("a", 106), ("b", 107), *((f"rare{k}", 108 + k) for k in range(3))]
+    vocab = spark.createDataFrame(words, "token string, token_id int")
+    joined = []
+    join = encode.unique_side_join
+
+    def counted(left, *args):
+        joined.append(left.count())
+        return join(left, *args)
+
+    monkeypatch.setattr(encode, "unique_side_join", counted)
+    want = encode_text(df, "t", vocab, 10).orderBy("id").collect()
+    assert not joined
+    got = encode_text(df, "t", vocab, 10, limit=2, hot_rows=3).orderBy("id").collect()
+    assert [r.asDict() for r in got] == [r.asDict() for r in want]
+    assert joined[0] == 60  # 30 * 8 + 2 occurrences in all
+
+
 def test_training_set(spark):
     lines = spark.createDataFrame([("1,t,a b,d,9,0,3,u",), ("bad",)], "value string")
     vocab = spark.createDataFrame([("a", 106)], "token string, token_id int")
