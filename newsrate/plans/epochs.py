@@ -1,14 +1,14 @@
 """Epochs of one fit: mini-batch gradient passes over a linear softmax head.
 
 Texts become hashed token ids once, stored by mini-batch. A step reads its part of the table, every task
-adds up the gradient of its rows, Spark sums the parts by feature, and the driver makes one AdamW step; a
-gradient has ``features`` times classes numbers at most, whatever the number of rows. Weights and moments
+adds up the gradient of its rows, Spark sums the parts by block of features, and the driver makes one AdamW
+step; there is one part a core, and a gradient has ``features`` times classes numbers at most, whatever the number of rows. Weights and moments
 carry on from one epoch to the next, and each epoch leaves a copy of the weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +26,8 @@ LEARNING_RATE, WEIGHT_DECAY = 0.05, 0.0
 BETAS, EPSILON = (0.9, 0.999), 1e-8
 #: Tokens handled at once in a task.
 CHUNK_TOKENS = 1 << 20
+#: Numbers of a sum that travel in one row.
+BLOCK = 1 << 14
 
 
 def token_ids(text: Column, features: int) -> Column:
@@ -81,9 +83,9 @@ class Head:
         out = [np.bincount(ids, x * d[row], self.features) for d in probs.T]
         return np.vstack([np.stack(out, axis=1), probs.sum(0)]), loss, hits
 
-    def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        """Add ``probs``, the class probabilities."""
-        shared = df.sparkSession.sparkContext.broadcast((self.idf, self.weights))
+    def probs(self, spark: SparkSession, ids: Column) -> Column:
+        """The class probabilities of a column of token ids."""
+        shared = spark.sparkContext.broadcast((self.idf, self.weights))
 
         @F.arrow_udf("array<double>")
         def probs(ids: pa.Array) -> pa.Array:
@@ -93,7 +95,12 @@ class Head:
             offsets = np.arange(0, found.size + 1, found.shape[1], dtype="i4")
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
 
-        return df.withColumn("probs", probs(token_ids(F.col(text_col), self.features)))
+        return probs(ids)
+
+    def predict(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """Add ``probs``, the class probabilities."""
+        ids = token_ids(F.col(text_col), self.features)
+        return df.withColumn("probs", self.probs(df.sparkSession, ids))
 
     def save(self, spark: SparkSession, path: str) -> None:
         n, classes = self.weights.shape
@@ -109,22 +116,57 @@ class Head:
         return cls(rows["idf"].to_numpy()[:-1], np.stack(rows["weights"].to_list()))
 
 
+def summed(rows: DataFrame, size: int, total: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of ``total``, ``size`` numbers, over the tasks that share ``rows``: one a core, as every
+    task sends as many numbers. They travel in blocks, and one array reaches the driver."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = total(batches)
+        starts = [at for at in range(0, size, BLOCK) if values[at : at + BLOCK].any()]
+        blocks = [values[at : at + BLOCK].tobytes() for at in starts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(starts, pa.int64()), pa.array(blocks, pa.binary())], ["start", "part"]
+        )
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, part in zip(batch.column(0).to_pylist(), batch.column(1)):
+                values = np.frombuffer(part.as_buffer(), "f8")
+                held[at] = held[at] + values if at in held else values
+        blocks = pa.array([v.tobytes() for v in held.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), blocks], ["start", "part"])
+
+    kind = "start long, part binary"
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    found = rows.coalesce(cores).mapInArrow(parts, kind).repartition("start").mapInArrow(added, kind)
+    out = np.zeros(size)
+    for r in found.collect():  # size / BLOCK rows at most
+        out[r.start : r.start + BLOCK] = np.frombuffer(r.part, "f8")
+    return out
+
+
 def inverse_frequencies(ids: DataFrame, features: int) -> np.ndarray:
     """log((rows + 1) / (rows with the feature + 1)) by feature."""
-    rows = ids.count()
-    seen = ids.select(F.explode(F.array_distinct("ids")).alias("feature")).groupBy("feature").count()
-    out = np.zeros(features)
-    found = seen.toPandas()  # at most ``features`` rows
-    out[found["feature"].to_numpy("i8")] = found["count"].to_numpy()
-    return np.log((rows + 1) / (out + 1))
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros(features + 1)
+        for batch in batches:
+            out[-1] += batch.num_rows
+            for _, _, flat, _ in _chunks(batch.column(0)):
+                out[:-1] += np.bincount(flat, minlength=features)
+        return out
+
+    found = summed(ids.select(F.array_distinct("ids")), features + 1, counts)
+    return np.log((found[-1] + 1) / (found[:-1] + 1))
 
 
 def batch_gradient(rows: DataFrame, head: Head) -> tuple[np.ndarray, float, int, int]:
     """(sum of the gradients, sum of the losses, hits, rows) of a mini-batch."""
     shared = rows.sparkSession.sparkContext.broadcast((head.idf, head.weights))
-    names = [f"g{k}" for k in range(head.weights.shape[1])]
+    shape = head.weights.shape
 
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gradients(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         head = Head(*shared.value)
         total, loss, hits, n = np.zeros_like(head.weights), 0.0, 0, 0
         for batch in batches:
@@ -132,24 +174,11 @@ def batch_gradient(rows: DataFrame, head: Head) -> tuple[np.ndarray, float, int,
             for start, count, flat, row in _chunks(batch.column(0)):
                 part = head.gradient(count, flat, row, labels[start : start + count])
                 total, loss, hits, n = total + part[0], loss + part[1], hits + part[2], n + count
-        at = np.flatnonzero(total.any(axis=1))
-        # The last three rows carry loss, hits and rows in their first column.
-        extra = np.zeros((3, len(names)))
-        extra[:, 0] = loss, hits, n
-        values = np.vstack([total[at], extra])
-        keys = np.concatenate([at, len(total) + np.arange(3)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.int32()), *map(pa.array, np.ascontiguousarray(values.T))],
-            ["feature", *names],
-        )
+        return np.concatenate([total.ravel(), [loss, hits, n]])
 
-    kinds = ", ".join(["feature int", *(f"{g} double" for g in names)])
-    parts = rows.select("ids", "label").mapInArrow(added, kinds).groupBy("feature")
-    found = parts.agg(*[F.sum(g).alias(g) for g in names]).toPandas()
-    out = np.zeros((len(head.weights) + 3, len(names)))
-    out[found["feature"].to_numpy("i8")] = found[names].to_numpy()
-    loss, hits, n = out[-3:, 0]
-    return out[:-3], float(loss), int(hits), int(n)
+    out = summed(rows.select("ids", "label"), head.weights.size + 3, gradients)
+    loss, hits, n = out[-3:]
+    return out[:-3].reshape(shape), float(loss), int(hits), int(n)
 
 
 def fit_epochs(

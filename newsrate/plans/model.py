@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsrate.functions.binding import bind
 from newsrate.functions.rating import index_to_rate
 from newsrate.functions.text import TOKEN_PATTERN
 from newsrate.functions.vectors import argmax, linear_head, softmax
@@ -23,7 +24,7 @@ from newsrate.operators.metrics import (
     score_rows,
 )
 from newsrate.operators.ordering import batch_number
-from newsrate.plans.epochs import EPOCHS, Head, fit_epochs
+from newsrate.plans.epochs import EPOCHS, Head, fit_epochs, token_ids
 from newsrate.session import write_table
 
 # Fixed value: rows per metric batch.
@@ -127,6 +128,24 @@ def load_model(path: str) -> PipelineModel | Head:
     return Head.load(spark, path)
 
 
+def _predictions(rows: DataFrame, candidates, key: str) -> list[DataFrame]:
+    """Parts with (key, label, probs, epoch) of all candidates. Heads on the same features share the
+    tokens of a text."""
+    heads = [m for m in candidates if isinstance(m, Head)]
+    if heads and len({m.features for m in heads}) == 1 and len(heads) == len(candidates):
+        ids = token_ids(F.col("text"), heads[0].features)
+        coded = bind(rows.select(key, "label", "text"), _ids=ids)
+        found = [
+            F.struct(m.probs(rows.sparkSession, F.col("_ids")).alias("probs"), F.lit(e).alias("epoch"))
+            for e, m in enumerate(heads, 1)
+        ]
+        return [coded.select(key, "label", F.inline(F.array(*found)))]
+    return [
+        predict(rows, m).select(key, "label", "probs", F.lit(e).alias("epoch"))
+        for e, m in enumerate(candidates, 1)
+    ]
+
+
 class Evaluation(NamedTuple):
     epochs: DataFrame
     best: int | None
@@ -145,14 +164,14 @@ def evaluate(
     metrics per epoch and split, those of ``train`` included if it is given."""
     sides = {"valid": valid} if train is None else {"train": train, "valid": valid}
     parts = [
-        predict(rows, m).select(
-            key, "label", "probs", F.lit(e).alias("epoch"), F.lit(split).alias("split")
-        )
-        for e, m in enumerate(candidates, 1)
+        part.withColumn("split", F.lit(split))
         for split, rows in sides.items()
+        for part in _predictions(rows, candidates, key)
     ]
-    preds = reduce(DataFrame.unionByName, parts)
-    batches = batch_number(score_rows(preds, mode), batch_rows, [key], ["epoch", "split"])
+    scored = score_rows(reduce(DataFrame.unionByName, parts), mode)
+    # A sort reads its rows twice; what they are scored by is computed once.
+    stored = write_table(scored.select(key, "epoch", "split", "hit", "loss"), "scored")
+    batches = batch_number(stored, batch_rows, [key], ["epoch", "split"])
     splits = write_table(epoch_metrics(batch_metrics(batches)), "epochs")
     epochs = splits.filter("split = 'valid'")
     return Evaluation(running_best(epochs), best_epoch(epochs).first()["epoch"], splits)

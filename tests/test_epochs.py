@@ -86,3 +86,38 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "a " * 3, "y")], "id int, text string, weights string")
     found = Head(np.ones(8), np.zeros((9, 5))).predict(df).collect()
     assert [r.probs for r in found] == [pytest.approx([0.2] * 5)] * 2
+
+
+def test_one_part_a_core_travels(spark, rows):
+    # Before, each task of a step sent one row for every feature that it had seen.
+    from newsrate.plans import epochs
+
+    ids = rows.repartition(64).select(token_ids(F.col("text"), 1 << 16).alias("ids"))
+    sent = spark.sparkContext.accumulator(0)
+
+    def total(batches):
+        n = sum(b.num_rows for b in batches)
+        sent.add(1)
+        return np.full(3 * epochs.BLOCK // 2, float(n))
+
+    size = 3 * epochs.BLOCK // 2
+    assert (epochs.summed(ids, size, total) == rows.count()).all()
+    assert sent.value <= spark.sparkContext.defaultParallelism
+    seen = ids.select(F.explode(F.array_distinct("ids")).alias("f")).groupBy("f").count().collect()
+    want = np.full(1 << 16, np.log(rows.count() + 1))
+    want[[r.f for r in seen]] -= np.log([r["count"] + 1 for r in seen])
+    assert np.allclose(epochs.inverse_frequencies(ids, 1 << 16), want)
+
+
+def test_evaluation_reads_a_text_once(rows, monkeypatch):
+    from newsrate.plans import model
+
+    calls = []
+    known = rows.filter("label is not null and id < 154")
+    heads, _ = fit_epochs(known, 3, BATCHES, 0.5, features=FEATURES, key="id")
+    split = model.token_ids
+    monkeypatch.setattr(model, "token_ids", lambda *args: calls.append(1) or split(*args))
+    got = {r.epoch: r.acc for r in evaluate(heads, known).epochs.collect()}
+    assert len(calls) == 1
+    for e, head in enumerate(heads, 1):
+        assert {r.epoch: r.acc for r in evaluate([head], known).epochs.collect()}[1] == pytest.approx(got[e])
