@@ -155,6 +155,7 @@ def index_keys(symbols: np.ndarray) -> np.ndarray:
 
 
 def _keys(classes: DataFrame, chunks: int) -> DataFrame:
+    """(key, rep, out): ``out`` is the symbol that the key leaves out, null for the first of a chunk."""
     size = chunks * CHUNK
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +165,20 @@ def _keys(classes: DataFrame, chunks: int) -> DataFrame:
                 symbols = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2")
                 keys = index_keys(symbols.reshape(-1, size))
                 ids = part.column(0).to_numpy()
+                first = np.tile(np.arange(size) % CHUNK == 0, part.num_rows)
+                columns = [keys.ravel(), np.repeat(ids, size), symbols.astype("i4")]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(ids, size))], ["key", "rep"]
+                    [*map(pa.array, columns[:2]), pa.array(columns[2], mask=first)],
+                    ["key", "rep", "out"],
                 )
 
-    return classes.select("rep", "symbols").mapInArrow(keyed, "key long, rep long")
+    return classes.select("rep", "symbols").mapInArrow(keyed, "key long, rep long, out int")
+
+
+def _once(left: str, right: str) -> Column:
+    """Whether two classes under one key are compared there. Two that also agree in the symbol left out
+    share all keys of the chunk, and the first of these serves."""
+    return F.coalesce(F.col(f"{left}.out") != F.col(f"{right}.out"), F.lit(True))
 
 
 def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -303,6 +313,7 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int, chunks: int) -> Da
         .select(
             "key",
             "rep",
+            "out",
             "leader",
             F.coalesce("component", "rep").alias("comp"),
             F.coalesce("_main", "leader").alias("main"),
@@ -319,6 +330,7 @@ def _links(classes: DataFrame, docs: DataFrame, percent: int, chunks: int) -> Da
             (F.col("m.key") == F.col("o.key"))
             & (F.col("m.comp") != F.col("o.comp"))
             & ((F.col("m.comp") == F.col("m.main")) | (F.col("m.rep") < F.col("o.rep")))
+            & _once("m", "o")
             & _close("m", "o", percent, chunks),
         )
         .select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsrate.llm import near_dup
 from newsrate.llm.components import components
@@ -86,6 +87,20 @@ def test_one_error_in_a_chunk_shares_a_key():
     assert set(near_dup.index_keys(one[None])[0]) & set(near_dup.index_keys(two[None])[0])
 
 
+def test_a_chunk_forms_a_pair_once(spark):
+    # Two signatures that differ in one symbol shared five keys in each other chunk.
+    one = np.arange(near_dup.SYMBOLS, dtype="<u2")
+    two, far = one.copy(), one + np.uint16(500)
+    two[7] += 1
+    rows = [(i, bytearray(s.tobytes())) for i, s in enumerate([one, two, far])]
+    classes = spark.createDataFrame(rows, "rep long, symbols binary")
+    keys = near_dup._keys(classes, near_dup.CHUNKS)
+    same = keys.alias("m").join(keys.alias("o"), "key").filter("m.rep < o.rep")
+    assert same.count() == (near_dup.CHUNKS - 1) * near_dup.CHUNK + 1
+    pairs = same.filter(near_dup._once("m", "o")).select("m.rep", F.col("o.rep").alias("other"))
+    assert [tuple(r) for r in pairs.collect()] == [(0, 1)] * near_dup.CHUNKS
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components(spark, seed):
     rng = random.Random(seed)
