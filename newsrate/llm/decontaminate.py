@@ -16,7 +16,6 @@ whole, ``SLICE`` windows at a time.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,13 +42,16 @@ LCS, LCS_WITH_ANSWER = 0.8, 0.6
 ANSWER_SHARE = 0.25
 TERM_ROWS = 256
 
-TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Letters and digits as they are, A-Z lower-cased, all other bytes as spaces.
+LETTERS = bytes(
+    c if c >= 128 or chr(c).isalnum() else ord(" ") for c in (ord(chr(b).lower()) if b < 128 else b for b in range(256))
+)
 MATCH_TYPE = "doc_id long, item_id long, start long, similarity double, cosine double"
 
 
 def word_ids(text: str | None) -> np.ndarray:
     """The words of a text (letters and digits, A-Z lower-cased) as 32-bit hashes."""
-    words = TOKEN.findall(text.encode().lower()) if text else []
+    words = text.encode().translate(LETTERS).split() if text else []
     return np.fromiter(map(zlib.crc32, words), "u4", len(words))
 
 
@@ -285,7 +287,7 @@ class Index:
     query: np.ndarray
     queries: list[Passage]
     columns: np.ndarray
-    """The terms of each passage's words, padded with the number of terms."""
+    """The terms of each passage's words, the rarest first, padded with the number of terms."""
 
 
 def own_terms(queries: list[Passage], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +322,7 @@ def index_of(words: DataFrame, queries: list[Passage]) -> Index:
     query = (placed * (norm / kept)[:, None]).T.astype("f4")
     project = (space * idf[:, None]).astype("f4")
     columns = np.full((len(queries), max(len(p.words) for p in queries)), len(terms))
-    columns[row, np.arange(len(row)) - first[row]] = col
+    columns[row, np.arange(len(row)) - first[row]] = col[np.lexsort((-idf[col], row))]
     return Index(terms, idf.astype("f4"), project, query, queries, columns)
 
 
@@ -338,6 +340,10 @@ def present(
     text, place, col = word
     good = np.zeros(len(windows), bool)
     sizes = np.array([len(p.words) for p in index.queries])
+    needed = LCS_WITH_ANSWER * sizes - 1e-9
+    # If all the others stood there, so many of the rarest half would still be needed.
+    half = -(-index.columns.shape[1] // 2)
+    of_half = needed - np.maximum(0, sizes - half)
     last = np.concatenate([texts.first[1:] - 1, [texts.blocks]])
     step = max(1, CELLS // (len(index.terms) + 1))
     table = np.zeros((min(step, SLICE), len(index.terms) + 1), bool)
@@ -354,10 +360,15 @@ def present(
             here = (w >= begin) & (w < begin + step) & (w >= texts.first[t]) & (w < last[t])
             table[w[here] - begin, own[here]] = True
         for at in range(done, until, 1 << 16):
-            part = slice(at, min(until, at + (1 << 16)))
-            q = queries[part]
-            found = table[(windows[part] - begin)[:, None], index.columns[q]].sum(1)
-            good[part] = found >= LCS_WITH_ANSWER * sizes[q] - 1e-9
+            part = np.arange(at, min(until, at + (1 << 16)))
+            found = np.zeros(len(part), "i8")
+            for columns, least in (index.columns[:, :half], of_half), (index.columns[:, half:], needed):
+                q = queries[part]
+                cells = ((windows[part] - begin) * table.shape[1])[:, None] + columns[q]
+                found += table.ravel().take(cells).sum(1)
+                keep = found >= least[q]
+                part, found = part[keep], found[keep]
+            good[part] = True
         done = until
     return good
 

@@ -399,3 +399,35 @@ def test_wide_weights_are_scored_without_overflow():
                 x = x.astype("f8")
                 total += x[j] - x.max() - math.log(np.exp(x - x.max()).sum())
             assert got[i] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
+def test_presence_looks_at_the_rarest_words_first():
+    rng = np.random.default_rng(2)
+    every = bytes(range(128)).decode() + "äÄßЖ x"
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", every.encode().lower())
+    assert decontaminate.LETTERS and decontaminate.word_ids(every).tolist() == [
+        zlib.crc32(w) for w in words
+    ]
+    terms = np.arange(100, dtype="u4")
+    queries = [
+        decontaminate.Passage(i, rng.integers(0, 100, n).astype("u4"), terms[:1])
+        for i, n in enumerate([48, 48, 47, 20, 3, 1])
+    ]
+    columns = np.full((6, 48), 100)
+    for i, q in enumerate(queries):
+        columns[i, : len(q.words)] = q.words
+    index = decontaminate.Index(terms, np.ones(100, "f4"), None, None, queries, columns)
+    texts = decontaminate.Texts.of([1, 2], [rng.integers(0, 140, n).astype("u4") for n in (900, 300)])
+    pairs = [(w, q) for w in range(texts.blocks) for q in range(6) if w not in texts.first - 1]
+    windows, found = map(np.array, zip(*pairs))
+    got = decontaminate.present(texts, index, texts.known(terms), windows, found)
+    begins = [0, 900]
+    size = decontaminate.BLOCK
+    want = []
+    for w, q in pairs:
+        t = int(np.searchsorted(texts.first, w, "right")) - 1
+        at = (w - texts.first[t]) * size
+        own = texts.ids[begins[t] : texts.ends[t]]
+        near = set(own[max(0, at - 48) : at + 2 * size + 48].tolist())
+        want.append(queries[q].present(near) >= decontaminate.LCS_WITH_ANSWER - 1e-9)
+    assert got.tolist() == want and 0 < sum(want) < len(want)
