@@ -40,6 +40,20 @@ def test_any_text(text):
     assert ids == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_each_part_is_looked_up_once():
+    words = ["Haanth", "ouen", "thé", "naïve", "日本", "x1", "ß", "öÉ", "\x00a", "é́"]
+    marks = ["", ".", ",", "!?", "·", "'s", "-Ab", "É."]
+    texts = [f"{w}{m}  {w}{m}\n{m}{w}" for w in words for m in marks] + [None, "", " \t"]
+    encoder = wavelet.Encoder(WORD_BPE)
+    for _ in range(2):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(texts)]
+        assert got == [WORD_LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encoder = wavelet.Encoder(WORD_BPE)
+    list(encoder.block([w + m for w in ["haanth", "ouen", "thé"] for m in [".", ",", "!?", "'s"]]))
+    assert set(encoder.parts) == {x.encode() for x in ["haanth", "ouen", "thé", ".", ",", "!?", "'s"]}
+    assert list(encoder.block([])) == [] and list(encoder.block([None, ""])) == [b"", b""]
+
+
 def test_cache_stays_bounded():
     cache = tc.BoundedCache(len, 2, {b"a": 7})
     assert [cache[k] for k in (b"a", b"bb", b"ccc", b"dddd", b"a")] == [7, 2, 3, 4, 7]
