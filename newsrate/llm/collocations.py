@@ -1,7 +1,8 @@
 """Phrase collocations by vertical partitioning of a word-level suffix tree.
 
-Every occurrence of a frequent word starts a suffix, cut after ``LONGEST`` words, at the end of its
-piece, and before a word or a pair of words that is too rare to stand in a phrase. Prefixes of words are counted first:
+Every occurrence of a frequent pair of words starts a suffix, cut after ``LONGEST`` words, at the end of its
+piece, and before a run of up to ``MARKED`` words that is too rare to stand in a phrase. Words alone are counted
+apart. Prefixes of words are counted first:
 while a prefix has more occurrences than a task should get, it is extended by a word and its
 extensions are counted. The prefixes left over are packed into groups of at most that many
 occurrences. Each group is one partition: its suffixes are sorted, so the leaves of the subtrees come in
@@ -11,7 +12,7 @@ path to the current leaf is held, whatever the size of a subtree.
 A phrase's cuts are looked up among the counted nodes; what lies inside a longer phrase as frequent is
 dropped; the best of each language are ranked, first in parts, then together.
 
-What is broadcast has a fixed bound: bitmaps of the frequent words' and pairs' hashes (``FILTER_BITS``
+What is broadcast has a fixed bound: bitmaps of the frequent words' and runs' hashes (``FILTER_BITS``
 each; what is let through wrongly only adds rows, its count decides), the prefixes over the budget (at
 most ``MOST_HEAVY`` of a length, since the budget grows with the corpus), and the group of each of
 ``BINS`` prefix bins.
@@ -43,7 +44,9 @@ SCALE = 1000
 BUDGET, LEAST_GROUPS, MOST_HEAVY = 2_000_000, 64, 100_000
 BINS = 1 << 14
 FILTER_BITS = 1 << 29
-#: Bits of the pairs' bitmap that one task adds up.
+#: Words in the longest runs that have a bitmap.
+MARKED = 3
+#: Bits of the runs' bitmap that one task adds up.
 BLOCK_BITS = 1 << 22
 CHUNK_WORDS = 1 << 21
 #: Candidates ranked together in the first round.
@@ -150,9 +153,9 @@ class Plan:
     """How suffixes are cut and where they go."""
 
     longest: int
-    #: Bitmaps by hash; the second is empty until the pairs are counted.
+    #: Bitmaps by hash, of words and of runs of 2, 3, ... words as far as these are counted.
     words: np.ndarray
-    pairs: np.ndarray
+    runs: list[np.ndarray]
     #: Prefixes over the budget, as (lang, words joined).
     heavy: set[tuple[str, bytes]]
     #: The group of each bin of prefixes.
@@ -163,33 +166,46 @@ def _has(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype("u1") & 1).astype(bool)
 
 
-def pair_places(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    """The places of pairs of words, given by their hashes, among ``bits`` (a power of two)."""
-    both = first.astype("u8") << np.uint64(32) | second.astype("u8")
-    both = (both ^ both >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
-    return (both >> np.uint64(65 - bits.bit_length())).astype("i8")
+def run_places(words: list[np.ndarray], bits: int) -> np.ndarray:
+    """The places of runs of words, given by their hashes, among ``bits`` (a power of two)."""
+    run = words[0].astype("u8")
+    for word in words[1:]:
+        run = run << np.uint64(32) ^ run >> np.uint64(32) ^ word.astype("u8")
+        run = (run ^ run >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15)
+    return (run >> np.uint64(65 - bits.bit_length())).astype("i8")
 
 
-def suffixes(c: Chunk, plan: Plan, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """(codes of the first, second, ... word, number) of the distinct suffixes of a chunk, cut after
-    ``longest`` words; the code is -1 after a suffix's end."""
+def fitting(c: Chunk, plan: Plan, shortest: int) -> list[np.ndarray]:
+    """For runs of 1, 2, ... words, whether the run at each place may be frequent, as far as there are
+    bitmaps and up to ``shortest`` words."""
     hashes = word_hashes(c)
     known = _has(plan.words, hashes % np.uint32(len(plan.words) * 8))
     known[c.end] = False
-    alive = known[c.codes]
-    linked = alive[:-1] & alive[1:]
-    if len(plan.pairs):
-        at = np.flatnonzero(linked)
-        found = hashes[c.codes]
-        places = pair_places(found[at], found[at + 1], len(plan.pairs) * 8)
-        linked[at] = _has(plan.pairs, places)
-    linked = np.append(linked, np.zeros(longest, bool))
+    found = hashes[c.codes]
+    fits = [known[c.codes]]
+    for n in range(2, max(len(plan.runs) + 1, shortest) + 1):
+        fit = fits[-1][:-1] & fits[-1][1:]
+        if n - 2 < len(plan.runs):
+            bits, at = plan.runs[n - 2], np.flatnonzero(fit)
+            fit[at] = _has(bits, run_places([found[at + i] for i in range(n)], len(bits) * 8))
+        fits.append(fit)
+    return fits
+
+
+def suffixes(
+    c: Chunk, plan: Plan, longest: int, shortest: int
+) -> tuple[list[np.ndarray], np.ndarray]:
+    """(codes of the first, second, ... word, number) of the distinct suffixes of a chunk that have
+    ``shortest`` words or more, cut after ``longest`` words; the code is -1 after a suffix's end."""
+    fits = fitting(c, plan, shortest)
+    starts = np.flatnonzero(fits[shortest - 1])
+    fits = [np.append(fit, np.zeros(longest + n, bool)) for n, fit in enumerate(fits)]
     codes = np.append(c.codes, np.zeros(longest, "i4"))
-    starts = np.flatnonzero(alive)
     columns = [codes[starts]]
     running = np.ones(len(starts), bool)
     for i in range(1, longest):
-        running &= linked[starts + i - 1]
+        n = min(i, len(fits) - 1)  # the longest known run that ends here
+        running &= fits[n][starts + i - n]
         columns.append(np.where(running, codes[starts + i], -1).astype("i4"))
     names = [f"w{i}" for i in range(longest)]
     grouped = pa.table([pa.array(col) for col in columns], names).group_by(names, use_threads=False)
@@ -258,37 +274,36 @@ def extension_counts(texts: DataFrame, plan: Plan, length: int) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for c in chunks(batches):
-            columns, n = suffixes(c, plan, length)
+            columns, n = suffixes(c, plan, length, length)
             yield from _extended(c, columns, n, plan, length).to_batches()
 
     found = texts.mapInArrow(counts, "lang string, prefix string, n long")
     return found.groupBy("lang", "prefix").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, plan: Plan, least: int, bits: int) -> DataFrame:
-    """One pass over the pairs of frequent words, stored. Rows with a ``block`` hold the places and
-    numbers of a chunk's pairs in that part of the bitmap, a number above ``least`` as ``least``; rows
-    without one are (lang, prefix, n) of the pairs that extend heavy words."""
+def run_counts(texts: DataFrame, plan: Plan, length: int, least: int, bits: int) -> DataFrame:
+    """One pass over the runs of ``length`` words whose shorter runs are frequent, stored. Rows with a
+    ``block`` hold the places and numbers of a chunk's runs in that part of the bitmap, a number above
+    ``least`` as ``least``; rows without one are (lang, prefix, n) of the runs that extend heavy prefixes."""
     shared = texts.sparkSession.sparkContext.broadcast(plan)
     block_bits, kind = min(bits, BLOCK_BITS), np.min_scalar_type(least)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for c in chunks(batches):
-            columns, n = suffixes(c, plan, 2)
-            whole = columns[1] >= 0
+            columns, n = suffixes(c, plan, length, length)
             hashes = word_hashes(c)
-            places = pair_places(hashes[columns[0][whole]], hashes[columns[1][whole]], bits)
+            places = run_places([hashes[col] for col in columns], bits)
             order = np.argsort(places, kind="stable")
             places = places[order]
             starts = np.flatnonzero(np.diff(places, prepend=-1))
-            sums = np.add.reduceat(n[whole][order], starts) if len(starts) else np.zeros(0, "i8")
+            sums = np.add.reduceat(n[order], starts) if len(starts) else np.zeros(0, "i8")
             places, sums = places[starts], np.minimum(sums, least).astype(kind)
             blocks = np.unique(places // block_bits)
             ends = np.searchsorted(places, (blocks + 1) * block_bits)
             parts = list(zip(np.append(0, ends[:-1])[: len(ends)].tolist(), ends.tolist()))
             local = (places % block_bits).astype("u4")
-            extended = _extended(c, columns, n, plan, 2)
+            extended = _extended(c, columns, n, plan, length)
             none = len(extended)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -303,11 +318,11 @@ def pair_counts(texts: DataFrame, plan: Plan, least: int, bits: int) -> DataFram
             )
 
     kinds = "lang string, prefix string, n long, block int, places binary, counts binary"
-    return stored(texts.mapInArrow(counts, kinds), "pairs")
+    return stored(texts.mapInArrow(counts, kinds), "runs")
 
 
-def pair_filter(pairs: DataFrame, least: int, bits: int) -> np.ndarray:
-    """The bits of the pairs counted ``least`` times or more. A task adds up one block."""
+def run_filter(runs: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bits of the runs counted ``least`` times or more. A task adds up one block."""
     block_bits, kind = min(bits, BLOCK_BITS), np.min_scalar_type(least)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +336,7 @@ def pair_filter(pairs: DataFrame, least: int, bits: int) -> np.ndarray:
             [pa.array(list(totals), pa.int32()), pa.array(bitmaps, pa.binary())], ["block", "bits"]
         )
 
-    rows = pairs.filter(F.col("block").isNotNull()).select("block", "places", "counts")
+    rows = runs.filter(F.col("block").isNotNull()).select("block", "places", "counts")
     rows = rows.repartitionById(bits // block_bits, F.col("block"))
     out = np.zeros(bits // 8, "u1")
     for r in rows.mapInArrow(merged, "block int, bits binary").collect():  # bits / 8 bytes
@@ -345,12 +360,12 @@ def partition_prefixes(
     texts: DataFrame, words: DataFrame, total: int, longest: int, least: int, budget: int
 ) -> Plan:
     """The plan: prefixes over the budget are extended until none is, or they are whole suffixes. The
-    pass that counts all pairs also counts those that extend words."""
+    passes that count all pairs and triples also count those that extend prefixes."""
     budget = max(1, min(budget, total // LEAST_GROUPS), -(-total // MOST_HEAVY))
     bits = min(FILTER_BITS, max(1 << 15, 1 << int(total).bit_length()))
-    plan = Plan(longest, word_filter(words), np.zeros(0, "u1"), set(), np.zeros(BINS, "i4"))
+    plan = Plan(longest, word_filter(words), [], set(), np.zeros(BINS, "i4"))
     loads = np.zeros(BINS, "i8")
-    counted = words
+    counted, marked, passes = words, min(MARKED, longest), []
     for length in range(1, longest + 1):
         over = F.col("n") > budget
         heavy = counted.filter(over).collect() if length < longest else []  # at most MOST_HEAVY
@@ -359,30 +374,31 @@ def partition_prefixes(
         for r in light.groupBy(place.alias("bin")).agg(F.sum("n").alias("n")).collect():
             loads[r.bin] += r.n
         plan.heavy |= {(r.lang, r.prefix.encode()) for r in heavy}
-        if length == 1 and longest > 1:
-            pairs = pair_counts(texts, plan, least, bits)
-            plan.pairs = pair_filter(pairs, least, bits)
-            counted = pairs.filter(F.col("block").isNull()).groupBy("lang", "prefix")
+        if length < marked:
+            passes.append(run_counts(texts, plan, length + 1, least, bits))
+            plan.runs.append(run_filter(passes[-1], least, bits))
+            counted = passes[-1].filter(F.col("block").isNull()).groupBy("lang", "prefix")
             counted = counted.agg(F.sum("n").alias("n"))
         elif heavy:
             counted = extension_counts(texts, plan, length + 1)
-        if not heavy:
+        if not heavy and length + 1 >= marked:
             break
         counted = stored(counted.filter(F.col("n") >= least), "prefixes")
-    if longest > 1:
-        discard(pairs)
+    for runs in passes:
+        discard(runs)
     plan.groups = pack(loads, budget)
     return plan
 
 
 def grouped_suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
-    """(part, lang, suffix, n): the distinct suffixes of each chunk and the group of their prefix."""
+    """(part, lang, suffix, n): the distinct suffixes of each chunk, of two words or more, and the group
+    of their prefix."""
     shared = texts.sparkSession.sparkContext.broadcast(plan)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         for c in chunks(batches):
-            columns, n = suffixes(c, plan, plan.longest)
+            columns, n = suffixes(c, plan, plan.longest, min(2, plan.longest))
             part = np.zeros(len(n), "i4")
             hashed = partial(_crc, zlib.crc32(c.lang.encode() + JOIN))
             for step, (at, prefixes, over) in enumerate(cut_prefixes(c, columns, plan), 1):
@@ -474,8 +490,9 @@ class Tree:
         return out
 
 
-def count_nodes(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
-    """(lang, phrase, words, n) of all phrases of at least ``least`` occurrences, words joined."""
+def count_nodes(texts: DataFrame, words: DataFrame, plan: Plan, least: int) -> DataFrame:
+    """(lang, phrase, words, n) of all phrases of at least ``least`` occurrences, words joined. Those of
+    one word come from ``words``, since not every occurrence starts a suffix."""
     shared = texts.sparkSession.sparkContext.broadcast(plan.heavy)
     longest = plan.longest
     schema = pa.schema(
@@ -486,6 +503,7 @@ def count_nodes(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
         tree = Tree(longest, least, shared.value)
 
         def batch(found: list) -> pa.RecordBatch:
+            found = [node for node in found if node[2] > 1]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 4, schema.types)],
                 schema=schema,
@@ -502,7 +520,8 @@ def count_nodes(texts: DataFrame, plan: Plan, least: int) -> DataFrame:
     found = leaves.mapInArrow(nodes, "lang string, phrase string, words int, n long")
     # Only nodes of heavy prefixes come from more than one group.
     whole = found.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
-    return whole.filter(F.col("n") >= least)
+    single = words.select("lang", F.col("prefix").alias("phrase"), F.lit(1).alias("words"), "n")
+    return whole.filter(F.col("n") >= least).union(single)
 
 
 def _exact(*factors: Column) -> Column:
@@ -589,7 +608,7 @@ def collocations(
     totals = counts.filter(F.col("prefix").isNull()).select("lang", "n")
     total = words.agg(F.sum("n")).first()[0] or 0
     plan = partition_prefixes(texts, words, total, longest, least, budget)
-    nodes = stored(count_nodes(texts, plan, least), "nodes")
+    nodes = stored(count_nodes(texts, words, plan, least), "nodes")
     # Words joined by spaces, and the NULs of the text back in their place.
     spaced = F.replace("phrase", F.lit("\0"), F.lit(" "))
     plain = F.replace(spaced, F.lit(NUL_IN_WORD.decode()), F.lit("\0")).alias("phrase")

@@ -89,6 +89,28 @@ def test_equals_restatement(spark, monkeypatch, seed, longest, least, percent, t
     assert sorted(map(tuple, got.collect())) == expected(docs, longest, least, percent, top)
 
 
+def test_rare_runs_make_no_long_suffixes(spark, monkeypatch):
+    rng = random.Random(9)
+    pair = [("en", f"ab cd w{i % 9} ef gh v{i % 7}") for i in range(80)]
+    mixed = [("en", " ".join(rng.choice(["ab cd", "ef gh", "x", "y", "z"]) for _ in range(30))) for _ in range(60)]
+    made = []
+    kept = col.grouped_suffixes
+    monkeypatch.setattr(col, "grouped_suffixes", lambda *a: made.append(kept(*a)) or made[-1])
+    docs = pair + mixed
+    got = col.collocations(frame(spark, docs, 1), least=20)
+    assert sorted(map(tuple, got.collect())) == expected(docs, least=20)
+    runs = Counter()
+    for _, text in docs:
+        words = text.split()
+        runs.update("\0".join(words[i : i + k]) for k in (2, 3) for i in range(len(words) - k + 1))
+    for r in made[0].collect():
+        words = r.suffix.split("\0")
+        assert len(words) >= 2
+        for k in (2, 3):
+            for i in range(len(words) - k + 1):
+                assert runs["\0".join(words[i : i + k])] >= 20
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.lang, r.text) for r in docs.select("lang", "text").collect()]
