@@ -187,17 +187,17 @@ def _similar(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
 
-        def of(doc: int, text: str) -> np.ndarray:
+        def of(doc: int, text: pa.Scalar) -> np.ndarray:
             if doc not in sets:
                 if len(sets) >= 64:
                     sets.clear()
-                sets[doc] = shingle_set(text)
+                sets[doc] = shingle_set(text.as_py())
             return sets[doc]
 
         for batch in batches:
             keep = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = of(a, x), of(b, y)
+            for a, b, x, y in zip(*batch.columns):  # one pair of texts at a time
+                one, two = of(a.as_py(), x), of(b.as_py(), y)
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 union = len(one) + len(two) - both
                 keep.append(union > 0 and 100 * both >= percent * union)

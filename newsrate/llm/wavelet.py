@@ -271,7 +271,11 @@ class Encoder:
             if size >= BLOCK_CHARS:
                 yield from self.block(held)
                 held, size = [], 0
+                # What a block took would stay with the worker, through all later stages too.
+                pa.default_memory_pool().release_unused()
         yield from self.block(held)
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
 
 def encoder(path: str) -> Encoder:
@@ -357,6 +361,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SHARD_TYPE).parquet(path)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _ready.clear()  # the files are written: this worker's encoder would stay for all later stages
         for batch in batches:
             for p, s, data in zip(
                 batch.column("part"), batch.column("shard"), batch.column("data")

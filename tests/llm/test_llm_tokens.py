@@ -1,5 +1,7 @@
 """Token counts and token files against the library itself."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -116,3 +118,26 @@ def test_no_documents(spark, scratch):
     path = scratch("tokens")
     wavelet.write_token_files(docs, path, WORD_BPE)
     assert wavelet.read_token_files(spark, path).count() == 0
+
+
+KEPT_BY_A_WORKER = """
+import re
+import sys
+from newsrate.llm import wavelet
+
+def used():
+    return int(re.search(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+encoder = wavelet.encoder(sys.argv[1])
+text = " ".join(f"w{i * 7919 % 2000}x" for i in range(1200))
+before = used()
+tokens = sum(len(ids) // 4 for ids in encoder.encode_all(text for _ in range(3000)))
+print(tokens > 3_000_000, used() - before)
+"""
+
+
+def test_worker_keeps_little_of_the_blocks_it_encoded():
+    """A worker stays for the stages after: 137 MB were kept of these 25 MB of text."""
+    run = [sys.executable, "-c", KEPT_BY_A_WORKER, WORD_BPE]
+    whole, kept = subprocess.run(run, capture_output=True, text=True, check=True).stdout.split()
+    assert whole == "True" and int(kept) < 70
