@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -43,6 +44,8 @@ ROUNDS, REPLICAS, REPLICA_SYMBOLS = 2, 6, 1 << 23
 BLOCK = 1 << 13
 RATE = 1.2e-2
 SCORE_BATCH = 1024
+#: Bytes of texts whose words are found together; a longer text alone.
+TOGETHER = 1 << 23
 
 Params = dict[str, np.ndarray]
 
@@ -52,6 +55,28 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), "u8", len(words)).view("i8")
 
 
+def hashed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For blocks of consecutive texts: the hashes of their different words, the words as places among
+    these, and where each text begins and, last, the block ends. The words of a text are those of
+    ``word_hashes``, but each different one of a block is hashed once."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(sizes, dtype="i8") // TOGETHER
+    for first, end in zip(*(np.searchsorted(block, np.unique(block), side) for side in ("left", "right"))):
+        # Taken, not sliced: Arrow lower-cases the wrong bytes of a slice that was cast.
+        part = texts.take(pa.array(np.arange(first, end))).cast(pa.large_string()).fill_null("")
+        split = pc.ascii_split_whitespace(pc.ascii_lower(part))
+        found = split.values.dictionary_encode()
+        codes, (_, ends, data) = found.indices.to_numpy(), found.dictionary.buffers()
+        ends, data = np.frombuffer(ends, "i8", len(found.dictionary) + 1).tolist(), bytes(data or b"")
+        words = [data[a:b] for a, b in zip(ends, ends[1:])]
+        # White space at either end of a text leaves an empty word there.
+        empty = np.array([not w for w in words], bool)
+        keep = ~empty[codes]
+        starts = np.append(0, np.cumsum(keep))[split.offsets.to_numpy()]
+        hashes = np.fromiter(map(xxh3_64_intdigest, words), "u8", len(words)).view("i8")
+        yield hashes, codes[keep], starts
+
+
 # The network.
 
 
@@ -136,7 +161,8 @@ def step(x: np.ndarray, h: np.ndarray, U: np.ndarray):
 def tame(weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether no exponential of ``weights`` times a state, which is within -1 and 1, plus ``bias``
     can overflow or vanish."""
-    return float((np.abs(weights).sum(axis=-1) + np.abs(bias)).max(initial=0)) < 60
+    sums = np.abs(weights) @ np.ones(weights.shape[-1], "f4")
+    return float((sums + np.abs(bias)).max(initial=0)) < 60
 
 
 def picked(x: np.ndarray, which: tuple, back: bool, safe: bool) -> np.ndarray:
@@ -159,7 +185,7 @@ def outputs(h: np.ndarray, targets: np.ndarray, params: Params, grads: Params |
     back = grads is not None
     starts = class_starts(len(params["o"]))
     order = np.argsort(targets.astype("u2"), kind="stable")
-    h, targets = h[order], targets[order]
+    h, targets = h.take(order, axis=0), targets[order]
     cls = np.searchsorted(starts, targets, "right") - 1
     at = np.arange(len(targets))
     x = h @ params["C"]
@@ -185,9 +211,9 @@ def outputs(h: np.ndarray, targets: np.ndarray, params: Params, grads: Params |
     logp[order] = part
     if not back:
         return logp
-    dh = np.empty_like(down)
-    dh[order] = down
-    return logp, dh
+    back_again = np.empty_like(order)
+    back_again[order] = at
+    return logp, down.take(back_again, axis=0)
 
 
 def window_gradients(
@@ -197,12 +223,14 @@ def window_gradients(
     window. ``targets`` are -1 where a text is over."""
     T, B = inputs.shape
     grads = grads or {k: np.zeros_like(v) for k, v in params.items()}
-    used, places = np.unique(inputs, return_inverse=True)
-    places = places.reshape(T, B)
+    used = np.flatnonzero(np.bincount(inputs.ravel(), minlength=len(params["E"])))
+    places = np.zeros(len(params["E"]), "i8")
+    places[used] = np.arange(len(used))
+    places = places[inputs]
     table, U = gates(params["E"][used] @ params["W"] + params["b"]), gates(params["U"])
     states, kept = np.empty((T, B, HIDDEN), "f4"), []
     for t in range(T):
-        h, memo = gated(table[:, places[t]], h, U)
+        h, memo = gated(table.take(places[t], axis=1), h, U)
         states[t] = h
         kept.append(memo)
     valid = np.flatnonzero(targets.ravel() >= 0)
@@ -235,8 +263,8 @@ def window_gradients(
     dx = dx.transpose(0, 2, 1, 3).reshape(T * B, -1)
     order = np.argsort(places.ravel().astype("u2"), kind="stable")
     first = np.searchsorted(places.ravel()[order], np.arange(len(used)))
-    grads["E"][used] += np.add.reduceat((dx @ params["W"].T)[order], first, axis=0)
-    grads["W"] += params["E"][inputs.ravel()].T @ dx
+    grads["E"][used] += np.add.reduceat((dx @ params["W"].T).take(order, axis=0), first, axis=0)
+    grads["W"] += params["E"].take(inputs.ravel(), axis=0).T @ dx
     grads["b"] += dx.sum(0)
     return -float(logp.sum()), len(valid), grads, h
 
@@ -254,22 +282,26 @@ class Trainer:
     def update(self, n: int) -> None:
         """One step along the mean gradient of ``n`` symbols, which is zero afterwards."""
         self.steps += 1
-        g, spare = self.gradient, self.spare
-        g *= np.float32(1 / max(n, 1))
-        self.v *= np.float32(0.999)
-        np.multiply(g, g, out=spare)
-        spare *= np.float32(0.001)
-        self.v += spare
-        self.m *= np.float32(0.9)
-        g *= np.float32(0.1)
-        self.m += g
-        np.sqrt(self.v, out=spare)
-        spare *= np.float32((1 - 0.999**self.steps) ** -0.5)
-        spare += np.float32(1e-8)
-        np.divide(self.m, spare, out=spare)
-        spare *= np.float32(RATE / (1 - 0.9**self.steps))
-        self.all -= spare
-        g[:] = 0
+        share, rate = np.float32(1 / max(n, 1)), np.float32(RATE / (1 - 0.9**self.steps))
+        root = np.float32((1 - 0.999**self.steps) ** -0.5)
+        for at in range(0, len(self.all), BLOCK):  # as much as stays in a core's cache
+            part = slice(at, at + BLOCK)
+            g, m, v, spare = self.gradient[part], self.m[part], self.v[part], self.spare[part]
+            g *= share
+            v *= np.float32(0.999)
+            np.multiply(g, g, out=spare)
+            spare *= np.float32(0.001)
+            v += spare
+            m *= np.float32(0.9)
+            g *= np.float32(0.1)
+            m += g
+            np.sqrt(v, out=spare)
+            spare *= root
+            spare += np.float32(1e-8)
+            np.divide(m, spare, out=spare)
+            spare *= rate
+            self.all[part] -= spare
+            g[:] = 0
 
     def learn_all(self, stretches: Iterator[np.ndarray]) -> None:
         """Learn from stretches of about one length together, the rest at the end."""
@@ -321,7 +353,7 @@ def log_probabilities(params: Params, texts: list[np.ndarray]) -> np.ndarray:
             end = min(at + max(WINDOW, SCORE_BATCH * WINDOW // active), int(lengths[0]))
             states, targets, rows = [], [], np.searchsorted(-lengths, -np.arange(at, end))
             for t, n in zip(range(at, end), rows):
-                h = gated(table[:, last[:n]], h[:n], U)[0]
+                h = gated(table.take(last[:n], axis=1), h[:n], U)[0]
                 last = symbols[starts[:n] + t]
                 states.append(h)
                 targets.append(last)
@@ -367,6 +399,13 @@ class Known:
             left = left[at[left] < end[left]]
         return found
 
+    def found(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the hashes of its words and where these stand, -1 if they do not."""
+        for hashes, codes, starts in hashed(texts):
+            at, own = self.find(hashes)[codes], hashes[codes]
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                yield own[a:b], at[a:b]
+
     def symbol_ids(self, at: np.ndarray) -> np.ndarray:
         """The symbols of a text's words, found at ``at``, and of its end."""
         ids = np.full(len(at) + 1, OTHER, "u2")
@@ -381,9 +420,10 @@ def count_words(train: DataFrame) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [word_hashes(t.as_py()) for t in batch.column(0)]
-            hashes, n = np.unique(np.concatenate([np.empty(0, "i8"), *parts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n)], ["hash", "c"])
+            for hashes, codes, _ in hashed(batch.column(0)):
+                n = np.bincount(codes, minlength=len(hashes))
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[used]), pa.array(n[used])], ["hash", "c"])
 
     rows = train.select("text").mapInArrow(counted, "hash long, c long")
     return rows.groupBy("hash").agg(F.sum("c").alias("c"))
@@ -447,8 +487,8 @@ def train_model(
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out, seeds = [], []
-                for text in batch.column(0).slice(at, 500):
-                    symbols = shared.value.symbol_ids(shared.value.find(word_hashes(text.as_py())))
+                for _, places in shared.value.found(batch.column(0).slice(at, 500)):
+                    symbols = shared.value.symbol_ids(places)
                     seed = xxh3_64_intdigest(symbols.tobytes())
                     for i, ids in enumerate(cut(symbols)):
                         out.append(ids.astype("<u2").tobytes())
@@ -554,9 +594,7 @@ def scores(
         logs = np.log10(known.counts + 0.5)
         for batch in batches:
             n, found_n, base, extra, rare, texts = [], [], [], [], [], []
-            for text in batch.column("text"):
-                hashes = word_hashes(text.as_py())
-                at = known.find(hashes)
+            for hashes, at in known.found(batch.column("text")):
                 left = hashes[at < 0]
                 texts.append(known.symbol_ids(at))
                 at = at[at >= 0]

@@ -274,6 +274,25 @@ def test_language_model_gradients():
         assert (losses[0] - losses[1]) / 6e-3 == pytest.approx(float((grads[name] * move).sum()), rel=0.05, abs=0.05)
 
 
+def test_different_words_of_a_block_are_hashed_once(monkeypatch):
+    texts = [None, "", " \t", "a b", " Lead  trail ", "É é\x0bx\x1cy", "a a\x00 b\r\nA", "日本 \u3000b"] * 4
+    whole = pa.array(["x"] + texts + ["x"], pa.string())
+    known = language_model.Known(np.unique(language_model.word_hashes("a b trail é"))[::-1], np.arange(4) + 1)
+    for together in 1, 20, 1 << 20:
+        monkeypatch.setattr(language_model, "TOGETHER", together)
+        got = list(known.found(whole.slice(1, len(texts))))
+        assert len(got) == len(texts)
+        for text, (hashes, at) in zip(texts, got):
+            expected = language_model.word_hashes(text)
+            assert hashes.tolist() == expected.tolist()
+            assert at.tolist() == known.find(expected).tolist()
+    seen = []
+    monkeypatch.setattr(language_model, "xxh3_64_intdigest", lambda w: seen.append(w) or len(seen))
+    list(known.found(pa.array(["the cat the", "cat The"] * 50)))
+    assert sorted(w for w in seen if w) == [b"cat", b"the"]
+    assert list(known.found(pa.array([], pa.string()))) == []
+
+
 def test_language_model(spark):
     rng = random.Random(9)
     nxt = {f"a{i}": f"a{(i * 7 + 3) % 40}" for i in range(40)}
