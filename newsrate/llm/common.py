@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,3 +91,11 @@ class BoundedCache(dict):
             self.update(self.first)
         self[key] = value
         return value
+
+    def hold(self, values: dict) -> None:
+        """Take up values that were computed together, ``limit`` of them at most."""
+        if len(self) + len(values) > self.limit + len(self.first):
+            self.older = dict(self)
+            self.clear()
+            self.update(self.first)
+        self.update(islice(values.items(), self.limit))

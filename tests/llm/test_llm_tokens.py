@@ -62,6 +62,36 @@ def test_cache_stays_bounded():
     assert len(cache) <= 3
 
 
+def test_cache_takes_up_values_within_its_bound():
+    cache = tc.BoundedCache(len, 3, {b"a": 7})
+    cache.hold({b"bb": 2, b"ccc": 3})
+    cache.hold({b"dddd": 4, b"eeeee": 5})
+    assert dict(cache) == {b"a": 7, b"dddd": 4, b"eeeee": 5} and cache.older == {b"a": 7, b"bb": 2, b"ccc": 3}
+    cache.hold({bytes([i]): i for i in range(9)})
+    assert len(cache) == 4 and cache[b"a"] == 7
+
+
+def test_a_block_cuts_each_word_once_and_encodes_new_parts_together(monkeypatch):
+    cut, encoded = [], []
+    kept, together = wavelet.cut_words, wavelet.Encoder.together
+    monkeypatch.setattr(wavelet, "cut_words", lambda words: cut.append(len(words)) or kept(words))
+    monkeypatch.setattr(wavelet.Encoder, "together", lambda self, p: encoded.append(sorted(p)) or together(self, p))
+    monkeypatch.setattr(wavelet, "SIDE_BY_SIDE", 2)
+    monkeypatch.setattr(wavelet, "AT_ONCE", 3)
+    monkeypatch.setattr(wavelet, "CACHED_WORDS", 6)
+    encoder = wavelet.Encoder(WORD_BPE)
+    long = "x" * 70 + "é"
+    blocks = [["ab thé, ab. naïve", "ab thé, x1 ß öÿ"], ["thé, ab. neu", None, long + " " + long], ["ab ß"], []]
+    for texts in blocks:
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.block(texts)]
+        assert got == [WORD_LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(encoder.parts) <= 6
+    # ab, thé, | ab. naïve x1 ß öÿ
+    assert cut[0] == 7
+    assert encoded[0] == sorted(x.encode() for x in ["ab", "thé", ",", "", ".", "naïve", "x", "1", "ß", "öÿ"])
+    assert len(encoded) == len(blocks)
+
+
 def test_token_counts_frame(spark, column):
     rows = [(1, "a b", 0), (1, "a b", 0), (None, None, 1), (2, "x " * 2000, 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
