@@ -42,6 +42,8 @@ STRETCH, WINDOW, BATCH = 192, 16, 1024
 ROUNDS, REPLICAS, REPLICA_SYMBOLS = 2, 6, 1 << 23
 #: Numbers in one block of parameters when replicas are averaged.
 BLOCK = 1 << 13
+#: Parameters that are updated together, and rows of outputs: as much as stays in a core's cache.
+UPDATED, ROWS = 1 << 15, 1 << 12
 RATE = 1.2e-2
 SCORE_BATCH = 1024
 #: Bytes of texts whose words are found together; a longer text alone.
@@ -160,23 +162,29 @@ def step(x: np.ndarray, h: np.ndarray, U: np.ndarray):
 
 def tame(weights: np.ndarray, bias: np.ndarray) -> bool:
     """Whether no exponential of ``weights`` times a state, which is within -1 and 1, plus ``bias``
-    can overflow or vanish."""
+    or its product with another can overflow or vanish."""
     sums = np.abs(weights) @ np.ones(weights.shape[-1], "f4")
-    return float((sums + np.abs(bias)).max(initial=0)) < 60
-
-
-def picked(x: np.ndarray, which: tuple, back: bool, safe: bool) -> np.ndarray:
-    """Log softmax of the rows of ``x`` at ``which``. With ``back``, ``x`` becomes the gradient of
-    its negative. Unless it is ``safe``, the largest of each row is taken off first."""
-    if not safe:
+    return float((sums + np.abs(bias)).max(initial=0)) < 40
+
+
+def picked(x: np.ndarray, bias: np.ndarray, which: tuple, back: bool, safe: bool) -> tuple[np.ndarray, ...]:
+    """Log softmax of the rows of ``x`` plus ``bias`` at ``which``. Then what the exponentials, which
+    ``x`` becomes, are to be multiplied with for shares: by row and by column. With ``back`` they
+    are less the ones at ``which``, so the products are the gradient of its negative. If it is ``safe``,
+    the bias is only a factor of a column; else it is added and the largest of each row taken off first."""
+    if safe:
+        weight = np.exp(bias)
+        chosen = x[which] + bias[which[1]]
+    else:
+        weight = np.ones_like(bias)
+        x += bias
         x -= x.max(axis=1, keepdims=True)
-    chosen = x[which]
+        chosen = x[which]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], "f4")
+    total = x @ weight
     if back:
-        x *= (1 / total)[:, None]
-        x[which] -= 1
-    return chosen - np.log(total)
+        x[which] -= total / weight[which[1]]
+    return chosen - np.log(total), 1 / total, weight
 
 
 def outputs(h: np.ndarray, targets: np.ndarray, params: Params, grads: Params | None = None):
@@ -187,33 +195,39 @@ def outputs(h: np.ndarray, targets: np.ndarray, params: Params, grads: Params |
     order = np.argsort(targets.astype("u2"), kind="stable")
     h, targets = h.take(order, axis=0), targets[order]
     cls = np.searchsorted(starts, targets, "right") - 1
-    at = np.arange(len(targets))
-    x = h @ params["C"]
-    x += params["c"]
-    part = picked(x, (at, cls), back, tame(params["C"].T, params["c"])).astype("f8")
+    at, safe = np.arange(len(targets)), tame(params["C"].T, params["c"])
+    x = np.empty((len(h), params["C"].shape[1]), "f4")
+    part, share, weight = np.empty(len(h)), np.empty((len(h), 1), "f4"), np.float32(1)
+    for first in range(0, len(h), ROWS):
+        rows = slice(first, first + ROWS)
+        own = np.matmul(h[rows], params["C"], out=x[rows])
+        part[rows], share[rows, 0], weight = picked(own, params["c"], (at[: len(own)], cls[rows]), back, safe)
     safe = tame(params["O"], params["o"])
-    if back:
-        grads["C"] += h.T @ x
-        grads["c"] += x.sum(0)
-        down = x @ params["C"].T
     ends = np.searchsorted(cls, np.arange(len(starts)))
+    if back:
+        grads["C"] += (h * share).T @ x * weight
+        grads["c"] += share[:, 0] @ x * weight
+        down = x @ (params["C"] * weight).T
+        down *= share
     for k in np.flatnonzero((np.diff(ends) > 0) & (np.diff(starts) > 1)):
         rows, words = slice(ends[k], ends[k + 1]), slice(starts[k], starts[k + 1])
         own = h[rows]
         x = own @ params["O"][words].T
-        x += params["o"][words]
-        part[rows] += picked(x, (at[: len(own)], targets[rows] - starts[k]), back, safe)
+        logp, share, weight = picked(x, params["o"][words], (at[: len(own)], targets[rows] - starts[k]), back, safe)
+        part[rows] += logp
         if back:
-            grads["O"][words] += x.T @ own
-            grads["o"][words] += x.sum(0)
-            down[rows] += x @ params["O"][words]
+            grads["O"][words] += x.T @ (own * share[:, None]) * weight[:, None]
+            grads["o"][words] += share @ x * weight
+            more = x @ (params["O"][words] * weight[:, None])
+            more *= share[:, None]
+            down[rows] += more
     logp = np.empty_like(part)
     logp[order] = part
     if not back:
         return logp
-    back_again = np.empty_like(order)
-    back_again[order] = at
-    return logp, down.take(back_again, axis=0)
+    back_again = np.empty_like(down)
+    back_again[order] = down
+    return logp, back_again
 
 
 def window_gradients(
@@ -234,25 +248,32 @@ def window_gradients(
         states[t] = h
         kept.append(memo)
     valid = np.flatnonzero(targets.ravel() >= 0)
-    logp, dh = outputs(states.reshape(-1, HIDDEN)[valid], targets.ravel()[valid], params, grads)
-    down = np.zeros((T * B, HIDDEN), "f4")
-    down[valid] = dh
+    flat_states, flat_targets = states.reshape(-1, HIDDEN), targets.ravel()
+    if len(valid) == T * B:
+        logp, down = outputs(flat_states, flat_targets, params, grads)
+    else:
+        logp, dh = outputs(flat_states[valid], flat_targets[valid], params, grads)
+        down = np.zeros((T * B, HIDDEN), "f4")
+        down[valid] = dh
     down = down.reshape(T, B, HIDDEN)
-    dx, dU = np.empty((T, 3, B, HIDDEN), "f4"), np.zeros_like(U)
+    dx, dU = np.empty((3, T, B, HIDDEN), "f4"), np.zeros_like(U)
     ahead, back = np.zeros((B, HIDDEN), "f4"), U.transpose(0, 2, 1)
     for t in reversed(range(T)):
         before, z, r, c, a = kept[t]
         d = down[t] + ahead
-        da = dx[t]
-        pc = d * (1 - z)
-        pc *= 1 - c * c
-        np.multiply(before - c, z, out=da[0])
-        da[0] *= d
-        da[0] *= 1 - z
-        np.multiply(pc, a, out=da[1])
-        da[1] *= r
-        da[1] *= 1 - r
+        da = dx[:, t]
+        stays = 1 - z
+        stays *= d
+        pc = c * c
+        np.subtract(1, pc, out=pc)
+        pc *= stays
+        np.subtract(before, c, out=da[0])
+        da[0] *= z
+        da[0] *= stays
         np.multiply(pc, r, out=da[2])
+        np.multiply(da[2], a, out=da[1])
+        np.subtract(1, r, out=r)
+        da[1] *= r
         dU += np.matmul(before.T, da)
         ahead = d
         ahead *= z
@@ -260,12 +281,17 @@ def window_gradients(
             ahead += da[k] @ back[k]
         da[2] = pc
     grads["U"] += dU.transpose(1, 0, 2).reshape(HIDDEN, -1)
-    dx = dx.transpose(0, 2, 1, 3).reshape(T * B, -1)
+    dx = dx.reshape(3, T * B, HIDDEN)
     order = np.argsort(places.ravel().astype("u2"), kind="stable")
     first = np.searchsorted(places.ravel()[order], np.arange(len(used)))
-    grads["E"][used] += np.add.reduceat((dx @ params["W"].T).take(order, axis=0), first, axis=0)
-    grads["W"] += params["E"].take(inputs.ravel(), axis=0).T @ dx
-    grads["b"] += dx.sum(0)
+    embedded, ones = params["E"].take(inputs.ravel(), axis=0).T, np.ones(T * B, "f4")
+    dE = np.zeros((T * B, EMBEDDING), "f4")
+    for k in range(3):
+        gate = slice(k * HIDDEN, (k + 1) * HIDDEN)
+        dE += dx[k] @ params["W"][:, gate].T
+        grads["W"][:, gate] += embedded @ dx[k]
+        grads["b"][gate] += ones @ dx[k]
+    grads["E"][used] += np.add.reduceat(dE.take(order, axis=0), first, axis=0)
     return -float(logp.sum()), len(valid), grads, h
 
 
@@ -284,8 +310,8 @@ class Trainer:
         self.steps += 1
         share, rate = np.float32(1 / max(n, 1)), np.float32(RATE / (1 - 0.9**self.steps))
         root = np.float32((1 - 0.999**self.steps) ** -0.5)
-        for at in range(0, len(self.all), BLOCK):  # as much as stays in a core's cache
-            part = slice(at, at + BLOCK)
+        for at in range(0, len(self.all), UPDATED):
+            part = slice(at, at + UPDATED)
             g, m, v, spare = self.gradient[part], self.m[part], self.v[part], self.spare[part]
             g *= share
             v *= np.float32(0.999)
@@ -406,6 +432,13 @@ class Known:
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
                 yield own[a:b], at[a:b]
 
+    def symbols_of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The symbols of each text. Binary values are symbols already."""
+        if pa.types.is_binary(texts.type):
+            yield from (np.frombuffer(t.as_buffer(), "<u2") for t in texts)
+        else:
+            yield from (self.symbol_ids(at) for _, at in self.found(texts))
+
     def symbol_ids(self, at: np.ndarray) -> np.ndarray:
         """The symbols of a text's words, found at ``at``, and of its end."""
         ids = np.full(len(at) + 1, OTHER, "u2")
@@ -476,7 +509,7 @@ def train_model(
     train: DataFrame, known: Known, counts: np.ndarray, replicas: int, rounds: int
 ) -> tuple[Params, int]:
     """``rounds`` rounds of replicas, averaged by the symbols they learned from, and the number of
-    symbols learned from in all rounds. ``counts`` are those of the symbols in ``train``; there are
+    symbols learned from in all rounds. ``train`` has texts or, as binary, their symbols. ``counts`` are those of the symbols in ``train``; there are
     ``replicas`` replicas, or more if that would be over ``REPLICA_SYMBOLS`` for each. One parameter
     set (about 2.7 MB) comes to the driver in a round."""
     spark = train.sparkSession
@@ -487,8 +520,7 @@ def train_model(
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 out, seeds = [], []
-                for _, places in shared.value.found(batch.column(0).slice(at, 500)):
-                    symbols = shared.value.symbol_ids(places)
+                for symbols in shared.value.symbols_of(batch.column(0).slice(at, 500)):
                     seed = xxh3_64_intdigest(symbols.tobytes())
                     for i, ids in enumerate(cut(symbols)):
                         out.append(ids.astype("<u2").tobytes())
@@ -497,7 +529,7 @@ def train_model(
                     [pa.array(seeds, pa.int64()), pa.array(out, pa.binary())], ["seed", "ids"]
                 )
 
-    data = stored(train.select("text").mapInArrow(stretches, "seed long, ids binary"), "stretches")
+    data = stored(train.mapInArrow(stretches, "seed long, ids binary"), "stretches")
     params, learned = first_params(counts), 0
     shards = math.isqrt(replicas)
     for r in range(rounds):
@@ -544,9 +576,11 @@ def train_model(
     return params, learned
 
 
-PARTIAL = (
+#: What is known of a document before the network is: its symbols, the share of ``score`` that other
+#: words cost, and the hashes of the words beyond the broadcast ones.
+CODED = (
     "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, "
-    "score double, rare array<long>"
+    "extra double, symbols binary, rare array<long>"
 )
 
 
@@ -583,20 +617,19 @@ def scores(
     by_symbol[END] = ends
     other = size.n - by_symbol[2:].sum()
     by_symbol[OTHER] = other
-    params, _ = train_model(train, known, by_symbol, replicas, rounds)
     norm = float(np.log10(n_train + 0.5 * (distinct + 1)))
     other_norm = float(np.log10(other + 0.5 * (size.v - inside.sum() + 1)))
     end_score, end_known = float(np.log10(ends + 0.5)), int(ends > 0)
-    shared = spark.sparkContext.broadcast((known, dump(params)))
+    shared = spark.sparkContext.broadcast(known)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, params = shared.value[0], load(shared.value[1])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         logs = np.log10(known.counts + 0.5)
         for batch in batches:
-            n, found_n, base, extra, rare, texts = [], [], [], [], [], []
+            n, found_n, base, extra, rare, symbols = [], [], [], [], [], []
             for hashes, at in known.found(batch.column("text")):
                 left = hashes[at < 0]
-                texts.append(known.symbol_ids(at))
+                symbols.append(known.symbol_ids(at).astype("<u2").tobytes())
                 at = at[at >= 0]
                 own = logs[at]
                 outside = known.symbols[at] == OTHER
@@ -605,7 +638,6 @@ def scores(
                 base.append(own.sum() + end_score - norm * (len(hashes) + 1))
                 extra.append(own[outside].sum() - other_norm * (outside.sum() + len(left)))
                 rare.append(left)
-            model = log_probabilities(params, texts) / np.log(10)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in rare])]).astype("i4")
             values = np.concatenate([np.empty(0, "i8"), *rare])
             yield pa.RecordBatch.from_arrays(
@@ -616,22 +648,37 @@ def scores(
                     pa.array(n, pa.int64()),
                     pa.array(found_n, pa.int64()),
                     pa.array(base, pa.float64()),
-                    pa.array(model + np.array(extra, "f8"), pa.float64()),
+                    pa.array(extra, pa.float64()),
+                    pa.array(symbols, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                 ],
-                [c.split()[0] for c in PARTIAL.split(", ")],
+                [c.split()[0] for c in CODED.split(", ")],
             )
 
+    # Each text is cut, looked up and coded once, for training and scoring.
     rows = source.withColumn("row", F.monotonically_increasing_id())
-    part = stored(rows.mapInArrow(partial, PARTIAL), "scores")
-    rare = part.select("row", F.explode("rare").alias("hash"))
+    coded = stored(rows.mapInArrow(code, CODED), "coded")
+    train = coded.filter(~F.col("held_out")).select("symbols")
+    trained = spark.sparkContext.broadcast(dump(train_model(train, known, by_symbol, replicas, rounds)[0]))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        params = load(trained.value)
+        for batch in batches:
+            texts = [np.frombuffer(t.as_buffer(), "<u2") for t in batch.column("symbols")]
+            model = log_probabilities(params, texts) / np.log(10) + batch.column("extra").to_numpy()
+            scored = batch.select(["row", "doc_id", "held_out", "n_tokens", "n_known", "base"])
+            yield scored.append_column("score", pa.array(model, pa.float64()))
+
+    kinds = CODED.split("extra")[0] + "score double"
+    part = stored(coded.drop("rare").mapInArrow(score, kinds), "scores")
+    rare = coded.select("row", F.explode("rare").alias("hash"))
     rare = rare.groupBy("row", "hash").agg(F.count(F.lit(1)).alias("times"))
     found = rare.join(counts, "hash", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("_log"),
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("_known"),
     )
     more = F.coalesce("_log", F.lit(0.0))
-    return part.drop("rare").join(found, "row", "left").select(
+    return part.join(found, "row", "left").select(
         F.col("doc_id").alias(id_col),
         "held_out",
         "n_tokens",

@@ -400,6 +400,44 @@ def test_replicas_are_averaged_by_what_they_learned(spark, monkeypatch):
     assert np.frombuffer(got["numbers"], "f4") == pytest.approx(mean, abs=1e-5)
 
 
+def test_texts_are_coded_once_for_training_and_scoring(spark, monkeypatch):
+    """The network learns from and scores the symbols that one pass over the texts has stored."""
+    texts = ["a b a c", None, "", "c  A unseen", "b " * 300] * 6
+    found, kept = [], language_model.train_model
+    monkeypatch.setattr(language_model, "train_model", lambda train, *a: found.append((train, a[0])) or kept(train, *a))
+    rows = language_model.scores(documents(spark, texts, "c int"), frequent=3, replicas=1, rounds=1).collect()
+    (train, known), = found
+    assert train.columns == ["symbols"]
+    docs = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    expected = [x.astype("<u2").tobytes() for x in known.symbols_of(pa.array(docs, pa.string()))]
+    assert sorted(bytes(r.symbols) for r in train.collect()) == sorted(expected)
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+
+
+def test_bias_as_a_factor_gives_the_same_gradients(monkeypatch):
+    rng = np.random.default_rng(3)
+    params = {k: v.astype("f4") for k, v in language_model.first_params(rng.random(1024) * 9).items()}
+    params["C"] += rng.standard_normal(params["C"].shape).astype("f4") * 0.3
+    params["O"] += rng.standard_normal(params["O"].shape).astype("f4") * 0.3
+    h = np.tanh(rng.standard_normal((500, language_model.HIDDEN))).astype("f4")
+    targets = rng.integers(0, 1024, 500)
+    found = []
+    monkeypatch.setattr(language_model, "ROWS", 64)
+    for safe in True, False:
+        monkeypatch.setattr(language_model, "tame", lambda weights, bias: safe)
+        grads = {k: np.zeros_like(v) for k, v in params.items()}
+        found.append([*language_model.outputs(h, targets, params, grads), *(grads[k] for k in "CcOo")])
+    for a, b in zip(*found):
+        assert a == pytest.approx(b, rel=1e-3, abs=1e-4)
+    # The gradients of all biases add up to nothing.
+    assert [float(found[0][i].sum()) for i in (3, 5)] == pytest.approx([0, 0], abs=1e-2)
+    weights, bias = np.full((2, 24), 0.5, "f4"), np.full(2, 5, "f4")
+    x = weights[:1] @ weights.T
+    logp, share, weight = language_model.picked(x, bias, ([0], [1]), True, True)
+    assert logp == pytest.approx([-math.log(2)], rel=1e-5)
+    assert (x * share[:, None] * weight)[0] == pytest.approx([0.5, -0.5], rel=1e-5)
+
+
 def test_wide_weights_are_scored_without_overflow():
     rng = np.random.default_rng(6)
     params = language_model.first_params(rng.random(100) * 9)
