@@ -8,6 +8,7 @@ place (``rank``) and looked up by occurrence (``select``) without unpacking the
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -347,6 +348,15 @@ def encoder(path: str) -> Encoder:
     return _ready[path]
 
 
+def drop_encoders() -> None:
+    """Free this worker's encoders, which would stay for all later stages. An encoder and its cache
+    refer to each other, so this takes the collector."""
+    if _ready:
+        _ready.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def encode(text: str | None, path: str) -> bytes:
     return next(encoder(path).block([text]))
 
@@ -424,7 +434,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(SHARD_TYPE).parquet(path)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _ready.clear()  # the files are written: this worker's encoder would stay for all later stages
+        drop_encoders()  # the files are written
         for batch in batches:
             for p, s, data in zip(
                 batch.column("part"), batch.column("shard"), batch.column("data")

@@ -1,7 +1,9 @@
 """Token counts and token files against the library itself."""
 
+import gc
 import subprocess
 import sys
+import weakref
 import zlib
 
 import numpy as np
@@ -166,6 +168,17 @@ print(tokens > 3_000_000, used() - before)
 """
 
 
+def test_encoders_are_freed_when_they_are_dropped():
+    wavelet.encode("a cat", WORD_BPE)
+    kept = weakref.ref(wavelet.encoder(WORD_BPE))
+    gc.disable()
+    try:
+        wavelet.drop_encoders()
+        assert kept() is None and not wavelet._ready
+    finally:
+        gc.enable()
+
+
 def test_worker_keeps_little_of_the_blocks_it_encoded():
     """A worker stays for the stages after: 137 MB were kept of these 25 MB of text."""
     run = [sys.executable, "-c", KEPT_BY_A_WORKER, WORD_BPE]
